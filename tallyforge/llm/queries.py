@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, packing
+from . import bpe, media, packing, rules, simhash
 from .common import table
 
 
@@ -18,12 +18,20 @@ def op3_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op4_isolation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_media_columns, op3_bpe_automaton, op8_vector_packing)}
+    return {f.__name__: f for f in (op2_media_columns, op3_bpe_automaton, op4_isolation_rules, op7_simhash_variants, op8_vector_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
