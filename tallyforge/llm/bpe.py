@@ -16,7 +16,6 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from functools import lru_cache
-from hashlib import sha256
 
 import numpy as np
 import pandas as pd
@@ -164,9 +163,12 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         machine, encoder = compiled(path)
         for b in batches:
-            ids = encoder.many([*b["t"]])
-            decoded = [machine.decode(np.frombuffer(x, "<u4")).decode("utf-8", "replace") for x in ids]
-            yield pd.DataFrame({id_col: b["i"], "ids": ids, "decoded": decoded})
+            # Small frames, so that ids and decoded texts of few documents are held at once.
+            for part in np.array_split(np.arange(len(b)), -(-len(b) // 500)):
+                rows = b.iloc[part]
+                ids = [*encoder.many([*rows["t"]])]
+                decoded = [machine.decode(np.frombuffer(x, "<u4")).decode("utf-8", "replace") for x in ids]
+                yield pd.DataFrame({id_col: rows["i"].to_numpy(), "ids": ids, "decoded": decoded})
 
     return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInPandas(run, f"{id_col} {kind}, ids binary, decoded string")
 

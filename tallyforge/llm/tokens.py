@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 #: White space of the pre-splitter (Unicode White_Space); Python's own class has four more.
@@ -13,6 +13,7 @@ SPACE = "\t\n\x0b\x0c\r \x85\xa0                
 _PIECE = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 _RARE = [c for c in SPACE if c not in " \n"] + ["\0", "  ", " \n", "\n ", "\n\n"]
 CACHE_PIECES = 400_000
+LOT_CHARS = 1_000_000
 
 
 def pieces(text: str) -> list[str]:
@@ -48,8 +49,19 @@ class CachedEncoder:
             return pieces(text)
         return [p for x in self.split.split(text) for p in ([x] if x in self.special else pieces(x))]
 
-    def many(self, texts: list[str | None]) -> list[bytes]:
-        """ids of each text; the pieces that are new to the cache are encoded together."""
+    def many(self, texts: list[str | None]) -> Iterator[bytes]:
+        """ids of each text in order; texts are cut in lots of about LOT_CHARS characters, whose new pieces are encoded together."""
+        lot: list[str | None] = []
+        chars = 0
+        for t in texts:
+            lot.append(t)
+            chars += len(t or "")
+            if chars >= LOT_CHARS:
+                yield from self._lot(lot)
+                lot, chars = [], 0
+        yield from self._lot(lot)
+
+    def _lot(self, texts: list[str | None]) -> list[bytes]:
         cuts = [self._cut(t) for t in texts]
         if len(self.cache) > self.limit:
             self.cache = {}
@@ -61,7 +73,7 @@ class CachedEncoder:
         return [b"".join(map(cache.__getitem__, cut)) for cut in cuts]
 
     def ids(self, text: str | None) -> bytes:
-        return self.many([text])[0]
+        return next(self.many([text]))
 
 
 @lru_cache(maxsize=2)
