@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, packing, rules, simhash
+from . import bpe, media, nbsvm, packing, rlz, rules, simhash
 from .common import table
 
 
+def op1_naive_bayes_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbsvm.held_out_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_features(media.store_texts(table(spark, sf_dir, "documents")))
 
@@ -30,8 +34,12 @@ def op8_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rlz.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_media_columns, op3_bpe_automaton, op4_isolation_rules, op7_simhash_variants, op8_vector_packing)}
+    return {f.__name__: f for f in (op1_naive_bayes_svm, op2_media_columns, op3_bpe_automaton, op4_isolation_rules, op7_simhash_variants, op8_vector_packing, op10_relative_lz)}
 
 
 def oracle_sql() -> dict[str, str]:

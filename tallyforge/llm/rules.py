@@ -8,17 +8,14 @@ labelled rows: the one that best separates the labels while at most ``max_loss``
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import WORD, stored
+from .common import WORD, stored, with_columns
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 RATIOS = ("mean_chars", "symbols", "dup_lines", "repeats", "upper", "marks", "bare", "digits")
@@ -76,19 +73,6 @@ def statistics(text: str | None) -> tuple:
     return n, chars, symbols, dup, repeat, chars / m, symbols / m, dup / max(full, 1), repeat / m, upper / c, marks / m, bare / m, digits / c
 
 
-def with_columns(schema: T.StructType, fields: list[T.StructField], compute: Callable[[pa.RecordBatch], list]) -> Callable:
-    """A mapInArrow function that passes all columns on and appends what ``compute`` returns for a batch."""
-    out = to_arrow_schema(T.StructType([*schema.fields, *fields]))
-    types = [out.field(len(schema.fields) + k).type for k in range(len(fields))]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            new = compute(b) if b.num_rows else [[] for _ in types]
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, t) for x, t in zip(new, types, strict=True))], names=out.names)
-
-    return run
-
-
 def document_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the statistics of each text appended; no shuffle."""
     at = docs.columns.index(text_col)
