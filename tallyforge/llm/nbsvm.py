@@ -1,4 +1,4 @@
-"""Quality classifier: Naive Bayes support vectors over hashed byte n-gram indicators.
+"""Quality classifier: Naive Bayes support vectors over hashed n-gram indicators.
 
 Document counts of every n-gram per class, over all labelled training rows, give log-count ratios. The
 indicators of a text are scaled by the ratios and brought to unit length, and a linear hinge loss is
@@ -20,10 +20,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import with_columns
+from .rlz import word_hashes
 
 BITS = 17
 SIZE = 1 << BITS
 ORDERS = (1, 2, 3, 4)
+REPEAT_ORDERS = range(1, 9)
 #: Bound of the labelled rows on which the hinge loss is fitted; the counts cover all labelled rows.
 FIT_ROWS = 4000
 BLOCK = 4096
@@ -31,7 +33,10 @@ _SPREAD = np.uint32(2654435761)
 
 
 def indicators(text: str | None, flags: np.ndarray) -> np.ndarray:
-    """Sorted hash buckets of the byte n-grams of a text; ``flags`` is scratch of SIZE zeros."""
+    """Sorted hash buckets of the n-grams of a text; ``flags`` is scratch of SIZE zeros.
+
+    There are n-grams of its bytes, and n-grams of the sequence that says of each word whether it repeats the one before.
+    """
     raw = np.frombuffer((text or "").encode(), np.uint8).astype(np.uint32)
     code = np.zeros(len(raw), np.uint32)
     for n in ORDERS:
@@ -39,6 +44,14 @@ def indicators(text: str | None, flags: np.ndarray) -> np.ndarray:
             break
         code = (code[: len(raw) - n + 1] << np.uint32(8)) | raw[n - 1 :]
         flags[((code + np.uint32(n * 0x9E37)) * _SPREAD) >> np.uint32(32 - BITS)] = 1
+    words = word_hashes(text)
+    again = (words[1:] == words[:-1]).astype(np.uint32)
+    code = np.zeros(len(again), np.uint32)
+    for n in REPEAT_ORDERS:
+        if len(again) < n:
+            break
+        code = (code[: len(again) - n + 1] << np.uint32(1)) | again[n - 1 :]
+        flags[((code + np.uint32(n * 0x85EB51)) * _SPREAD) >> np.uint32(32 - BITS)] = 1
     found = np.flatnonzero(flags).astype(np.int32)
     flags[found] = 0
     return found

@@ -12,7 +12,7 @@ from functools import lru_cache
 SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
 _PIECE = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 _RARE = [c for c in SPACE if c not in " \n"] + ["\0", "  ", " \n", "\n ", "\n\n"]
-CACHE_PIECES = 400_000
+CACHE_PIECES = 800_000
 LOT_CHARS = 1_000_000
 
 
