@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, media, nbsvm, packing, rlz, rules, simhash
+from . import bpe, chat, linedup, media, nbsvm, packing, rlz, rules, simhash
 from .common import table
 
 
@@ -26,6 +27,10 @@ def op4_isolation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.report(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -34,13 +39,18 @@ def op8_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    return chat.digests(rows.unionByName(chat.extra(spark)))
+
+
 def op10_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rlz.report(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_naive_bayes_svm, op2_media_columns, op3_bpe_automaton, op4_isolation_rules, op7_simhash_variants, op8_vector_packing, op10_relative_lz)}
+    return {f.__name__: f for f in (op1_naive_bayes_svm, op2_media_columns, op3_bpe_automaton, op4_isolation_rules, op6_fuzzy_lines, op7_simhash_variants, op8_vector_packing, op9_chat_formatting, op10_relative_lz)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_chat_formatting": chat.DIGESTS_SQL}
