@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, linedup, media, nbsvm, packing, rlz, rules, simhash
+from . import bpe, chat, idcodec, linedup, media, nbsvm, packing, rlz, rules, simhash
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op4_isolation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_context_mixing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idcodec.read_documents(idcodec.write_documents(table(spark, sf_dir, "documents")))
+
+
 def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.report(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,19 @@ def op10_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_naive_bayes_svm, op2_media_columns, op3_bpe_automaton, op4_isolation_rules, op6_fuzzy_lines, op7_simhash_variants, op8_vector_packing, op9_chat_formatting, op10_relative_lz)}
+    found = (
+        op1_naive_bayes_svm,
+        op2_media_columns,
+        op3_bpe_automaton,
+        op4_isolation_rules,
+        op5_context_mixing_ids,
+        op6_fuzzy_lines,
+        op7_simhash_variants,
+        op8_vector_packing,
+        op9_chat_formatting,
+        op10_relative_lz,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
