@@ -1,7 +1,7 @@
 """SimHash near-duplicates by deletion variants of two segments.
 
 Two fingerprints that differ in at most two bits agree in one 32-bit segment but for at most one
-bit. So each distinct fingerprint is indexed under every segment with one bit wildcarded, and only
+bit. So each distinct fingerprint is indexed under segments with one bit wildcarded, and only
 fingerprints that share such a variant are looked at. A variant that few fingerprints share gives
 pairs, which are verified. One that many share is not expanded into pairs: its
 fingerprints are indexed again under the same variant with the wildcards that the other segment
@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from .common import WORD_BYTES, components, stored
 
 SEED = 42
-#: Up to so many fingerprints of one variant are compared pair by pair.
-PAIRWISE = 24
+#: Up to so many fingerprints of one variant are compared pair by pair;
+#: beyond, the 2016 keys with two wildcards are fewer than a fingerprint's pairs.
+PAIRWISE = 1024
 _BIT = np.uint64(1) << np.arange(64, dtype=np.uint64)
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes.maketrans(_UPPER, bytes(range(97, 123)))
@@ -67,10 +68,18 @@ def _segment(fp: str, high: bool) -> str:
 
 
 def _variants(fps: DataFrame) -> DataFrame:
-    """(key, fp): per segment 32 variants with one wildcard. The key holds the half, the wildcard and the rest of the segment."""
-    wild = "explode(sequence(0, 63)) as w"
+    """(key, w, fp): the 32 variants of the low segment with bit w wildcarded, and with w = 32 one of the high segment.
+
+    Of two bits that differ, at most one is in the low segment, or both are: then the high segments are equal.
+    So one wildcard of the high segment is enough, and each close pair has one variant of its own (see _OWN).
+    """
     part = f"if(w < 32, {_segment('fp', False)}, {_segment('fp', True)})"
-    return fps.selectExpr("fp", wild).selectExpr(f"shiftleft(cast(w as long), 32) | ({part} & ~shiftleft(1L, w % 32)) as key", "fp")
+    return fps.selectExpr("fp", "explode(sequence(0, 32)) as w").selectExpr(f"shiftleft(cast(w as long), 32) | ({part} & ~shiftleft(1L, w % 32)) as key", "w", "fp")
+
+
+#: Whether the pair (a, b) is close and is to be found under wildcard w: the low bit that differs, 0 if there is none, 32 if there are two.
+_OWN = """bit_count(a ^ b) <= 2 and case bit_count((a ^ b) & 4294967295L)
+  when 0 then w = 0 when 1 then w < 32 and shiftleft(1L, w) = ((a ^ b) & 4294967295L) else w = 32 end"""
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -80,32 +89,20 @@ def links(fps: DataFrame) -> DataFrame:
     counted = v.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = stored(v.join(counted, "key"), "simhash-variants")
     few, many = shared.where(f"n <= {PAIRWISE}"), shared.where(f"n > {PAIRWISE}")
-    pairs = (
-        few.select("key", F.col("fp").alias("a"))
-        .join(few.select("key", F.col("fp").alias("b")), "key")
-        .where("a > b and bit_count(a ^ b) <= 2")
-        .select("a", "b")
-    )
-    # Many share the variant (segment s, wildcard i). Pairs that differ in bit i may differ in one more bit of the other
-    # segment: one wildcard there. Pairs that agree in s may differ in two: two wildcards there, once for each s.
-    other = f"if(shiftrightunsigned(key, 32) < 32, {_segment('fp', True)}, {_segment('fp', False)})"
-    one = many.selectExpr("key", "fp", f"{other} as o", "explode(sequence(0, 31)) as x").selectExpr("key", "o & ~shiftleft(1L, x) as rest", "x as y", "fp")
-    whole = many.selectExpr(
-        "fp", "cast(shiftrightunsigned(key, 32) div 32 as long) as half", f"{other} as o"
-    ).distinct()
+    pairs = few.select("key", "w", F.col("fp").alias("a")).join(few.select("key", F.col("fp").alias("b")), "key").where(f"a > b and {_OWN}").select("a", "b")
+    # Here all that share a key and the wildcards of the other segment are linked to the smallest: the wildcard w of the low
+    # segment and one of the high one; no wildcard in one segment and two in the other.
+    low, high = _segment("fp", False), _segment("fp", True)
+    one = many.where("w < 32").selectExpr("key", "fp", "explode(sequence(0, 31)) as x").selectExpr("key", f"{high} & ~shiftleft(1L, x) as rest", "x as y", "fp")
     two = (
-        whole.selectExpr("fp", "half", "o", "explode(sequence(0, 30)) as x")
-        .selectExpr("fp", "half", "o", "x", "explode(sequence(x + 1, 31)) as z")
-        .selectExpr(
-            f"-1 - (shiftleft(half, 32) | if(half = 0, {_segment('fp', False)}, {_segment('fp', True)})) as key",
-            "o & ~shiftleft(1L, x) & ~shiftleft(1L, z) as rest",
-            "x * 32 + z as y",
-            "fp",
-        )
+        many.where("w in (0, 32)")
+        .selectExpr("fp", f"-1 - if(w = 0, {low}, shiftleft(1L, 32) | {high}) as key", f"if(w = 0, {high}, {low}) as o", "explode(sequence(0, 30)) as x")
+        .selectExpr("fp", "key", "o", "x", "explode(sequence(x + 1, 31)) as z")
+        .selectExpr("key", "o & ~shiftleft(1L, x) & ~shiftleft(1L, z) as rest", "32 + x * 32 + z as y", "fp")
     )
     dense = one.unionByName(two)
     least = dense.groupBy("key", "rest", "y").agg(F.min("fp").alias("b"), F.max("fp").alias("most")).where("b < most")
-    stars = dense.join(least, ["key", "rest", "y"]).where("fp <> b").select(F.col("fp").alias("a"), "b")
+    stars = dense.join(least.select("key", "rest", "y", "b"), ["key", "rest", "y"]).where("fp <> b").select(F.col("fp").alias("a"), "b")
     return pairs.unionByName(stars).distinct()
 
 
