@@ -1 +1,258 @@
+"""Queries of the statistical experiments and reports."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..operators import estimates as O
+from ..operators import experiments as X
+from ..sources import views as V
+from . import inputs as I
+from .estimates import PAIRS, TIER_SQL
+from .inputs import sql
+from .registry import query
+
+R = lambda c, n=6: (F.round(F.col(c) if isinstance(c, str) else c, n) + 0.0)
+SEED = 11
+FLIP = f"{X.DRAW_SQL.format(i='match_id', s=SEED)} % 2 = 1"
+OR = V.SQL + f""",
+og as (select ct.*, {FLIP} as flip, ((winner_side = 'BLUE') <> ({FLIP}))::int as y from ct),
+os as (select p0.match_id, p0.champion_id, og.y, case when (p0.side = 'BLUE') <> flip then 1 else -1 end as sign from p0 join og using (match_id))"""
+
+
+def oriented(spark: SparkSession, d: str) -> DataFrame:
+    return X.oriented(I.contests(spark, d), SEED)
+
+
+@query(sql("select og.match_id, og.y, (case when flip then -1 else 1 end * (blue_score - red_score))::bigint as margin, (sum(champion_id) filter (sign = 1))::bigint as left_ids from og join os using (match_id) group by all", OR))
+def j1_oriented(spark: SparkSession, d: str) -> DataFrame:
+    return oriented(spark, d).select("match_id", "y", "margin", F.expr("aggregate(left, 0L, (a, x) -> a + x)").alias("left_ids"))
+
+
+@query(sql("select kind, a, b, count(*) as n, sum(sign)::bigint as net from (select 'champion' as kind, champion_id as a, 0::bigint as b, sign from os union all select 'pair', x.champion_id, y.champion_id, x.sign from os x join os y on x.match_id = y.match_id and x.sign = y.sign and x.champion_id < y.champion_id union all select 'counter', least(x.champion_id, y.champion_id), greatest(x.champion_id, y.champion_id), case when x.champion_id < y.champion_id then 1 else -1 end from os x join os y on x.match_id = y.match_id and x.sign = 1 and y.sign = -1) group by all", OR))
+def j2_signed_features(spark: SparkSession, d: str) -> DataFrame:
+    return X.signed_features(oriented(spark, d)).groupBy("kind", "a", "b").agg(F.count("*").alias("n"), F.sum("sign").alias("net"))
+
+
+@query(sql("select champion_id, sum(sign * y)::bigint as moment, count(*) as n, true as optimal from os group by all", OR))
+def j3_ridge_logistic(spark: SparkSession, d: str) -> DataFrame:
+    """Per champion the sufficient statistic, and whether the penalised gradient of the fit vanishes."""
+    o = oriented(spark, d)
+    p = X.predicted(X.logistic(o, 40, 16.0), o, 40, 16.0)
+    model = X.logistic(o, 40, 16.0)
+    theta = spark.createDataFrame([(i + 1, float(t) / 4.0) for i, t in enumerate(model.coefficients)], "champion_id bigint, theta double")
+    long = p.select("y", "p", F.explode(F.expr("concat(transform(left, x -> struct(x as champion_id, 1 as sign)), transform(right, x -> struct(x as champion_id, -1 as sign)))")).alias("f")).select("y", "p", "f.*")
+    g = long.groupBy("champion_id").agg(F.sum(F.col("sign") * F.col("y")).alias("moment"), F.count("*").alias("n"), F.sum(F.col("sign") * (F.col("y") - F.col("p"))).alias("gradient"))
+    return g.join(theta, "champion_id").select("champion_id", "moment", "n", (F.abs(F.col("gradient") - 16.0 * F.col("theta")) < 1e-2).alias("optimal"))
+
+
+@query()
+def j4_log_likelihood(spark: SparkSession, d: str) -> DataFrame:
+    o = oriented(spark, d)
+    p = X.predicted(X.logistic(o, 40, 16.0), o, 40, 16.0)
+    return p.groupBy("career_id").agg(F.count("*").alias("contests"), F.avg(X.log_likelihood(F.col("p"), F.col("y"))).alias("log_likelihood"), F.avg(((F.col("p") > 0.5).cast("int") == F.col("y")).cast("double")).alias("accuracy"))
+
+
+@query()
+def j5_cross_validation(spark: SparkSession, d: str) -> DataFrame:
+    return X.cross_validated(oriented(spark, d), 40, [16.0, 64.0], 3, SEED)
+
+
+@query()
+def j6_model_comparison(spark: SparkSession, d: str) -> DataFrame:
+    """The champion model against a coin: mean, error and t of the paired difference of held-out log-likelihoods."""
+    o = oriented(spark, d).withColumn("fold", X.draw("match_id", SEED) % 3)
+    out = None
+    for k in range(3):
+        p = X.predicted(X.logistic(o.where(F.col("fold") != k), 40, 16.0), o.where(F.col("fold") == k), 40, 16.0).select("match_id", (X.log_likelihood(F.col("p"), F.col("y")) - F.log(F.lit(0.5))).alias("gain"))
+        out = p if out is None else out.unionByName(p)
+    t = out.agg(F.count("*").alias("n"), F.avg("gain").alias("mean"), (F.stddev_samp("gain") / F.sqrt(F.count("*"))).alias("se"))
+    return t.withColumn("t", F.col("mean") / F.col("se")).withColumn("real", F.abs("t") > 2)
+
+
+@query()
+def j7_margin(spark: SparkSession, d: str) -> DataFrame:
+    """Score difference explained by champions, held out: rmse and r2 for each fold."""
+    o = oriented(spark, d).withColumn("fold", (X.draw("match_id", SEED) % 5).cast("int")).withColumn("w", F.lit(1.0))
+    g = X.gram_by_fold(o, ["career_id"], X.margin_terms(), "margin", "w")
+    cv = X.nested_cv(g, ["career_id"], {"champions": ("champion",)}, {"champion": 16.0}, "career_id int")
+    return cv.groupBy("career_id").agg(F.sqrt(F.sum("sse") / F.sum("n")).alias("rmse"), (1 - F.sum("sse") / F.sum("zero")).alias("r2"))
+
+
+def _outputs(spark: SparkSession, d: str) -> DataFrame:
+    z = O.standardised(O.unpivoted(O.observations(I.weighted(spark, d))))
+    keyed = z.withColumn("t", O.features(z)).withColumn("fold", (X.draw("match_id", SEED) % 4).cast("int"))
+    term = F.expr("transform(array_distinct(t), f -> struct(concat_ws(':', f.kind, f.subject, f.other) as f, cast(size(filter(t, g -> g = f)) as double) as m))")
+    return X.gram_by_fold(keyed.where("career_id = 1 and metric in ('dealing', 'deaths')"), ["metric"], term, "z", "w")
+
+
+PENALTIES = {"TEAM": 64.0, "MATE_ROLE": 16.0, "FOE_ROLE": 16.0, "MATE": 16.0, "FOE": 16.0}
+
+
+@query()
+def j8_output_models(spark: SparkSession, d: str) -> DataFrame:
+    """Nested models of standardised outputs, held out by contest."""
+    models = {"P0": (), "P1": ("TEAM",), "P2": ("TEAM", "FOE"), "P3": ("TEAM", "MATE"), "P4": ("TEAM", "MATE", "FOE")}
+    return X.nested_cv(_outputs(spark, d), ["metric"], models, PENALTIES, "metric string").groupBy("metric", "model").agg(F.sum("sse").alias("sse"), F.sum("n").alias("weight"))
+
+
+@query()
+def j9_role_ladder(spark: SparkSession, d: str) -> DataFrame:
+    models = {"R0": (), "R1": ("TEAM",), "R2": ("TEAM", "MATE_ROLE", "FOE_ROLE"), "R3": ("TEAM", "MATE_ROLE", "FOE_ROLE", "MATE"), "R4": ("TEAM", "MATE_ROLE", "FOE_ROLE", "MATE", "FOE")}
+    return X.nested_cv(_outputs(spark, d), ["metric"], models, PENALTIES, "metric string").groupBy("metric", "model").agg(F.sum("sse").alias("sse"), F.sum("n").alias("weight"))
+
+
+SIDES = V.SQL + """,
+cr as (select champion_id, (sum(is_winner::int) + 12.0) / (count(*) + 24) as r from pa group by all),
+sd as (select match_id, side, max(is_winner::int) as won, avg(r) as p from pa join cr using (champion_id) group by all),
+cm as (select a.champion_id as a, b.champion_id as b, count(*) as n, sum(sd.won) as wins, sum(p) as expected, sum(p * (1 - p)) as noise from sd join pa a on a.match_id = sd.match_id and a.side = sd.side join pa b on b.match_id = sd.match_id and b.side = sd.side and a.champion_id < b.champion_id group by all)"""
+LEAST = 5
+
+
+def moments(spark: SparkSession, d: str) -> DataFrame:
+    return X.combo_moments(X.side_rates(I.facts(spark, d)))
+
+
+@query(sql("select count(*) as combos, round(var_pop(wins / n), 6) as observed, round(var_pop(expected / n), 6) as expected, round(var_pop((wins - expected) / n), 6) as residual, round(avg(noise / (n * n)), 6) as noise from cm where n >= 5", SIDES))
+def j10_variance_decomposition(spark: SparkSession, d: str) -> DataFrame:
+    return X.decomposition(moments(spark, d), LEAST).select("combos", *(R(c).alias(c) for c in ("observed", "expected", "residual", "noise")))
+
+
+@query()
+def j11_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    """The p-value of the residual variance under labels drawn from the fitted chances."""
+    sides = X.side_rates(I.facts(spark, d))
+    seen = X.decomposition(X.combo_moments(sides), LEAST).select(F.col("residual").alias("seen"))
+    b = X.bootstrap(sides, 20, LEAST, SEED).join(F.broadcast(seen), how="cross")  # one row
+    return b.agg(F.count("*").alias("replicates"), F.max("seen").alias("seen"), F.avg("residual").alias("null"), ((F.count_if(F.col("residual") >= F.col("seen")) + 1) / (F.count("*") + 1)).alias("p_value"))
+
+
+@query(sql("select round(greatest(residual - noise, 0) / residual, 6) as reliability, round(case when residual > noise then noise / (residual - noise) else null end, 3) as needed from (select var_pop((wins - expected) / n) as residual, avg(noise / (n * n)) as noise from cm where n >= 5)", SIDES))
+def j12_reliability(spark: SparkSession, d: str) -> DataFrame:
+    """Share of the residual variance that is not chance, and how many times the observations one to one would need."""
+    v = X.decomposition(moments(spark, d), LEAST)
+    real = F.greatest(F.col("residual") - F.col("noise"), F.lit(0.0))
+    return v.select(R(real / F.col("residual")).alias("reliability"), F.round(F.when(F.col("residual") > F.col("noise"), F.col("noise") / real), 3).alias("needed"))
+
+
+@query()
+def j13_power(spark: SparkSession, d: str) -> DataFrame:
+    p = X.power(X.side_rates(I.facts(spark, d)), [0.0, 0.05, 0.1], 5, LEAST, SEED)
+    return p.groupBy("effect").agg(F.count("*").alias("replicates"), F.avg("residual").alias("residual"), F.avg("noise").alias("noise"))
+
+
+@query(sql("select career_id, coalesce(patch_seq, 0)::bigint as patch_seq, count(distinct match_id) as contests, round(sum(w) / count(*), 6) as kept, max(elapsed)::bigint as elapsed, max(self_d)::bigint as self_d from wt group by all"))
+def j14_patch_measures(spark: SparkSession, d: str) -> DataFrame:
+    w = I.weighted(spark, d)
+    return w.groupBy("career_id", F.coalesce("patch_seq", F.lit(0)).cast("bigint").alias("patch_seq")).agg(F.count_distinct("match_id").alias("contests"), R(F.sum("w") / F.count("*")).alias("kept"), F.max("elapsed").cast("bigint").alias("elapsed"), F.max("self_d").cast("bigint").alias("self_d"))
+
+
+GRID = V.SQL + """,
+gr as (select h.half_life, champion_id, count(*) as n, sum(gw) as sw, sum(gw * is_winner::int) as sv, sum(gw * gw) as sq from (select wt.*, h.half_life, case when h.half_life = 0 then 1.0 else pow(0.5, elapsed / h.half_life) end as gw from wt, (values (0.0), (1.0), (2.0), (4.0)) h(half_life)) h group by all),
+gp as (select *, (sv + 12) / (sw + 24) as rate, sw * sw / sq as ess, row_number() over (partition by half_life order by (sv + 12) / (sw + 24) desc, champion_id) as place from gr),
+gj as (select g.*, b.rate as r0, b.place as p0 from gp g join gp b on b.half_life = 0 and b.champion_id = g.champion_id)"""
+LIVES = [0.0, 1.0, 2.0, 4.0]
+
+
+@query(sql("select half_life::double as half_life, round(sum(sw) / sum(n), 6) as kept, round(corr(place, p0), 5) + 0.0 as spearman, round(max(abs(rate - r0)), 6) as max_shift from gj group by all", GRID))
+def j15_half_life_grid(spark: SparkSession, d: str) -> DataFrame:
+    s = X.grid_summary(X.half_life_grid(I.weighted(spark, d), LIVES))
+    return s.select("half_life", R("kept").alias("kept"), R("spearman", 5).alias("spearman"), R("max_shift").alias("max_shift"))
+
+
+WIN = V.SQL + """,
+ew as (select career_id, champion_id, coalesce(patch_seq, 0) as win, count(*) as n, avg(is_winner::int) as r from pa group by all),
+ww as (select a.career_id, a.champion_id, b.win as seq, a.n as n0, a.r as r0, b.n as n1, b.r as r1, (pe.seq is not null)::int as touched, coalesce(sign(pe.attack), 0)::int as direction from ew a join ew b on b.career_id = a.career_id and b.champion_id = a.champion_id and b.win = a.win + 1 left join pe on pe.career_id = a.career_id and pe.champion_id = a.champion_id and pe.seq = b.win)"""
+
+
+def windows(spark: SparkSession, d: str) -> DataFrame:
+    return X.windows(I.facts(spark, d), I.events(spark, d))
+
+
+@query(sql("select career_id, seq::bigint as seq, touched, count(*) as champions, round(avg(abs(r1 - r0)), 6) as shift from ww where n0 >= 8 and n1 >= 8 group by all", WIN))
+def j16_before_after(spark: SparkSession, d: str) -> DataFrame:
+    return windows(spark, d).where("n0 >= 8 and n1 >= 8").groupBy("career_id", F.col("seq").cast("bigint").alias("seq"), "touched").agg(F.count("*").alias("champions"), R(F.avg(F.abs(F.col("r1") - F.col("r0")))).alias("shift"))
+
+
+@query(sql("select round(max(dev) filter (rn = n // 2 + 1), 6) as median, round(max(dev) filter (rn = (n * 9) // 10 + 1), 6) as p90, max(n) as estimates from (select dev, row_number() over (order by dev) as rn, count(*) over () as n from (select abs((p.v + 15 * o.t) / (p.n + 15) - o.t) as dev from (select career_id, champion_id, patch_seq, count(*) as n, sum(is_winner::int) as v from pa where patch_seq is not null group by all) p join (select career_id, champion_id, (sum(is_winner::int) + 12.0) / (count(*) + 24) as t from pa group by all) o using (career_id, champion_id)))"))
+def j17_patch_deviation(spark: SparkSession, d: str) -> DataFrame:
+    """Deviation of each version's estimate from the whole; median and p90 are elements of the sorted list, found by exact counts of distinct values."""
+    f = I.facts(spark, d)
+    whole = f.groupBy("career_id", "champion_id").agg(((F.sum(F.col("is_winner").cast("int")) + 12) / (F.count("*") + 24)).alias("t"))
+    each = f.where("patch_seq is not null").groupBy("career_id", "champion_id", "patch_seq").agg(F.count("*").alias("n"), F.sum(F.col("is_winner").cast("int")).alias("v"))
+    dev = each.join(whole, ["career_id", "champion_id"]).select(F.abs((F.col("v") + 15 * F.col("t")) / (F.col("n") + 15) - F.col("t")).alias("dev"))
+    s = dev.agg(F.array_sort(F.collect_list("dev")).alias("x"))  # bounded: champions times versions
+    return s.select(R(F.col("x")[F.floor(F.size("x") / 2).cast("int")]).alias("median"), R(F.col("x")[F.floor(F.size("x") * 9 / 10).cast("int")]).alias("p90"), F.size("x").cast("bigint").alias("estimates"))
+
+
+@query(sql("select direction, count(*) as windows, round(avg(direction * (r1 - r0)), 6) + 0.0 as effect from ww where touched = 1 group by all", WIN))
+def j18_patch_direction(spark: SparkSession, d: str) -> DataFrame:
+    return windows(spark, d).where("touched = 1").groupBy("direction").agg(F.count("*").alias("windows"), R(F.avg(F.col("direction") * (F.col("r1") - F.col("r0")))).alias("effect"))
+
+
+@query(sql("select w.career_id, w.champion_id, w.seq::bigint as seq, round(r1 - r0 - (s * r0 + i), 5) + 0.0 as net from ww w, (select regr_slope(r1 - r0, r0) as s, regr_intercept(r1 - r0, r0) as i from ww where touched = 0) where touched = 1", WIN))
+def j19_regression_to_mean(spark: SparkSession, d: str) -> DataFrame:
+    """Shifts of touched champions less what untouched ones of the same start show."""
+    w = windows(spark, d)
+    line = w.where("touched = 0").agg(F.regr_slope(F.col("r1") - F.col("r0"), F.col("r0")).alias("s"), F.regr_intercept(F.col("r1") - F.col("r0"), F.col("r0")).alias("i"))
+    return w.where("touched = 1").join(F.broadcast(line), how="cross").select("career_id", "champion_id", F.col("seq").cast("bigint").alias("seq"), R(F.col("r1") - F.col("r0") - (F.col("s") * F.col("r0") + F.col("i")), 5).alias("net"))  # one row
+
+
+@query(sql("select career_id, champion_id, count(*) as games, round(count(*) filter (self_d > 0) / count(*), 6) as stale, round((sum(is_winner::int) filter (self_d = 0) + 12.0) / (count(*) filter (self_d = 0) + 24) - (sum(is_winner::int) + 12.0) / (count(*) + 24), 6) + 0.0 as hard_cut from wt group by all having count(*) filter (self_d = 0) > 0"))
+def j20_stale_share(spark: SparkSession, d: str) -> DataFrame:
+    w, fresh, win = I.weighted(spark, d), F.col("self_d") == 0, F.col("is_winner").cast("int")
+    t = w.groupBy("career_id", "champion_id").agg(F.count("*").alias("games"), F.count_if(fresh).alias("fresh"), F.sum(F.when(fresh, win)).alias("fw"), F.sum(win).alias("wins")).where("fresh > 0")
+    return t.select("career_id", "champion_id", "games", R(1 - F.col("fresh") / F.col("games")).alias("stale"), R((F.col("fw") + 12) / (F.col("fresh") + 24) - (F.col("wins") + 12) / (F.col("games") + 24)).alias("hard_cut"))
+
+
+@query(sql("select champion_id, sum(attack) filter (career_id = 1)::bigint as first, sum(attack) filter (career_id = 2)::bigint as second from pe group by champion_id having count(distinct sign(attack)) filter (attack <> 0) > 1"))
+def j21_divergence(spark: SparkSession, d: str) -> DataFrame:
+    e = I.events(spark, d)
+    g = e.groupBy("champion_id").agg(F.sum(F.when(F.col("career_id") == 1, F.col("attack"))).alias("first"), F.sum(F.when(F.col("career_id") == 2, F.col("attack"))).alias("second"), F.count_distinct(F.when(F.col("attack") != 0, F.signum("attack"))).alias("signs"))
+    return g.where("signs > 1").drop("signs")
+
+
+@query(sql("select half_life::double as half_life, count(*) filter (ess >= 10) as solid, round(avg(abs(rate - r0)), 6) as mean_shift, max(abs(place - p0))::bigint as max_move from gj group by all", GRID))
+def j22_meta_grid(spark: SparkSession, d: str) -> DataFrame:
+    s = X.grid_summary(X.half_life_grid(I.weighted(spark, d), LIVES))
+    return s.select("half_life", "solid", R("mean_shift").alias("mean_shift"), "max_move")
+
+
+@query(sql("select match_type, count(*) filter (a.side <> b.side) as enemies, count(*) filter (a.side = b.side) as allies from pa a join (select match_id, side from pa where champion_id = 9) b using (match_id) where a.champion_id = 4 group by all"))
+def j23_head_to_head(spark: SparkSession, d: str) -> DataFrame:
+    ids = lambda s: F.transform(F.filter("stats", lambda x: x["side"] == s), lambda x: x["champion_id"])
+    c = I.contests(spark, d).select("match_type", ids("BLUE").alias("b"), ids("RED").alias("r"))
+    four, nine = F.lit(4).cast("bigint"), F.lit(9).cast("bigint")
+    same = (F.array_contains("b", four) & F.array_contains("b", nine)) | (F.array_contains("r", four) & F.array_contains("r", nine))
+    cross = (F.array_contains("b", four) & F.array_contains("r", nine)) | (F.array_contains("r", four) & F.array_contains("b", nine))
+    return c.where(same | cross).groupBy("match_type").agg(F.count_if(cross).alias("enemies"), F.count_if(same).alias("allies"))
+
+
+TIER = V.SQL + ",\n" + TIER_SQL
+
+
+@query(sql("select career_id, include_scrim::varchar as include_scrim, count(*) as champions, round(avg(adjusted) + 1e-9, 5) as mean, round(stddev_samp(adjusted) + 1e-9, 5) as sd, min(adjusted) as low, max(adjusted) as high, round(quantile_cont(adjusted, 0.05) + 1e-9, 5) as p05, round(quantile_cont(adjusted, 0.5) + 1e-9, 5) as p50, round(quantile_cont(adjusted, 0.95) + 1e-9, 5) as p95, sum(games)::bigint as games, sum(wins)::bigint as wins, count(*) filter (games = 0 and bans > 0) as only_banned, round(sum(pick_rate), 1) as picks from tr group by all", TIER))
+def j24_tier_report(spark: SparkSession, d: str) -> DataFrame:
+    t = I.tiers(spark, d).groupBy("career_id", "include_scrim")
+    return I.flag_text(
+        t.agg(
+            F.count("*").alias("champions"), F.round(F.avg("adjusted") + 1e-9, 5).alias("mean"), F.round(F.stddev_samp("adjusted") + 1e-9, 5).alias("sd"), F.min("adjusted").alias("low"), F.max("adjusted").alias("high"),
+            *(F.round(F.percentile("adjusted", p) + 1e-9, 5).alias(n) for n, p in (("p05", 0.05), ("p50", 0.5), ("p95", 0.95))),
+            F.sum("games").alias("games"), F.sum("wins").alias("wins"), F.count_if((F.col("games") == 0) & (F.col("bans") > 0)).alias("only_banned"), F.round(F.sum("pick_rate"), 1).alias("picks"),
+        )
+    )
+
+
+@query(sql("select career_id, a, b, games, wins, rn from (select career_id, a, b, count(*) as games, sum(won)::bigint as wins, row_number() over (partition by career_id order by sum(won) / count(*) desc, count(*) desc, a, b) as rn from dr where include_scrim group by career_id, a, b having count(*) >= 3) where rn <= 20", PAIRS))
+def j25_counter_report(spark: SparkSession, d: str) -> DataFrame:
+    """The twenty directed pairs of each career with the best raw rate among those seen often enough."""
+    p = O.directed(O.outcomes(I.weighted(spark, d))).where("include_scrim and games >= 3")
+    w = Window.partitionBy("career_id").orderBy((F.col("wins") / F.col("games")).desc(), F.col("games").desc(), "a", "b")
+    return p.withColumn("rn", F.row_number().over(w).cast("bigint")).where("rn <= 20").select("career_id", "a", "b", "games", "wins", "rn")
+
+
+@query(sql("select career_id, match_type, winner_side, count(*) as contests, sum((blue = 4 and red = 4)::int)::bigint as balanced from (select career_id, match_type, winner_side, match_id, count(*) filter (side = 'BLUE') as blue, count(*) filter (side = 'RED') as red from pa group by all) group by all"))
+def j26_pair_audit(spark: SparkSession, d: str) -> DataFrame:
+    m = I.facts(spark, d).groupBy("career_id", "match_type", "winner_side", "match_id").agg(F.count_if(F.col("side") == "BLUE").alias("blue"), F.count_if(F.col("side") == "RED").alias("red"))
+    return m.groupBy("career_id", "match_type", "winner_side").agg(F.count("*").alias("contests"), F.sum(F.expr("int(blue = 4 and red = 4)")).alias("balanced"))

@@ -9,6 +9,7 @@ from ..operators import normalize as N
 from ..operators import quality as Q
 from ..sources import ledger as L
 from ..sources import views as V
+from ..streaming import ingest as streaming
 from . import inputs as I
 from .inputs import sql
 from .registry import query
@@ -179,3 +180,33 @@ def b19_quality_report(spark: SparkSession, d: str) -> DataFrame:
 @query(sql("select career_id, count(*) as valid from (select career_id, match_id from pa group by all having count(*) filter (side = 'BLUE') > 0 and count(*) filter (side = 'RED') > 0 and count(distinct champion_id) = count(*) and min(change_count) >= 0) group by all"))
 def b20_valid_observations(spark: SparkSession, d: str) -> DataFrame:
     return Q.valid_observations(I.facts(spark, d)).groupBy("career_id").agg(F.count("*").alias("valid"))
+
+
+@query(sql("select career_id, match_type, count(*) as contests from mt group by all", V.SQL_RAW))
+def a5_streaming_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """Events arrive as files, the stream loads them once; a second run over the same files adds nothing."""
+    target, state = L.work_dir(spark, "ingested"), L.work_dir(spark, "state")
+    schema = V.read(spark, d, "events").schema
+    for attempt in range(2):
+        streaming.catch_up(spark, d, schema, target, f"{state}/{attempt}", ["event_id"], glob="events.parquet")
+    loaded = spark.read.parquet(target).selectExpr("event_id div 8 as match_id").groupBy("match_id").agg(F.count("*").alias("n"))
+    typed = loaded.selectExpr("if(match_id % 5 = 0, 2, 1) as career_id", "if(match_id % 3 = 0, 'SCRIM', 'OFFICIAL') as match_type")
+    return typed.groupBy("career_id", "match_type").agg(F.count("*").alias("contests"))
+
+
+@query(sql("select career_id, champion_id, count(*) as changes from pe where not (career_id = 2 and seq > 3) group by all"))
+def a9_replace_partitions(spark: SparkSession, d: str) -> DataFrame:
+    """All careers are written, then one again; only its partition is replaced."""
+    path = L.work_dir(spark, "partitions")
+    e = I.events(spark, d)
+    counts = lambda rows: rows.groupBy("career_id", "champion_id").agg(F.count("*").alias("changes"))
+    L.replace_partitions(counts(e), path, ["career_id"])
+    L.replace_partitions(counts(e.where("career_id = 2 and seq <= 3")), path, ["career_id"])
+    return spark.read.parquet(path).select("career_id", "champion_id", "changes")
+
+
+@query("select o_orderkey as run_id, case when o_orderstatus = 'F' then left(repeat(o_orderpriority, 200), 1000) end as error, o_orderstatus <> 'F' as done from orders")
+def a11_ingest_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """Ledger rows of runs; errors are cut."""
+    runs = V.read(spark, d, "orders").selectExpr("o_orderkey as run_id", "if(o_orderstatus = 'F', repeat(o_orderpriority, 200), null) as error")
+    return L.ledger_rows(runs).withColumn("done", F.col("error").isNull())

@@ -1 +1,197 @@
+"""Queries of the claim checks and lenient readers, over documents and conversations."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..operators import claims as C
+from ..sources import views as V
+from .registry import query
+
+WORDS = {"the": "en", "and": "en", "und": "de", "der": "de", "les": "fr", "du": "fr", "que": "es", "para": "es"}
+#: First words and the second word that goes with each.
+RELATION = {"the": "and", "und": "der", "les": "du", "que": "para"}
+
+
+def lit(p: str) -> str:
+    return "'" + p.replace("'", "''") + "'"
+
+
+NUMS = f"nm as (select doc_id, source, coalesce(try_cast(regexp_replace(x, {lit('[' + C.SEPARATORS + ']')}, '', 'g') as int), 2147483647)::bigint as n from (select doc_id, source, unnest(regexp_extract_all(text, {lit(C.NUMBER)})) as x from documents)),\nkn as (select distinct coalesce(try_cast(regexp_replace(x, {lit('[' + C.SEPARATORS + ']')}, '', 'g') as int), 2147483647)::bigint as n from (select unnest(regexp_extract_all(text, {lit(C.NUMBER)})) as x from benchmark))"
+SCORES = """select distinct doc_id, least(a::int, b::int) || ':' || greatest(a::int, b::int) as line from (select doc_id, unnest(regexp_extract_all(m, {s}, 1)) as a, unnest(regexp_extract_all(m, {s}, 2)) as b from (select {i} as doc_id, regexp_replace(text, {k}, ' ', 'g') as m from {t}))"""
+
+
+def kda_sql(i: str, t: str) -> str:
+    return f"select distinct {i} as doc_id, regexp_replace(regexp_replace(x, '\\s', '', 'g'), {lit('[' + C.DASHES + '/]')}, '/', 'g') as line from (select {i}, unnest(regexp_extract_all(text, {lit(C.KDA)})) as x from {t})"
+
+
+def docs(spark: SparkSession, d: str) -> DataFrame:
+    return V.read(spark, d, "documents")
+
+
+def doc_numbers(spark: SparkSession, d: str) -> DataFrame:
+    return docs(spark, d).select("doc_id", "source", F.explode(C.numbers(F.col("text"))).alias("n"))
+
+
+def known_numbers(spark: SparkSession, d: str) -> DataFrame:
+    return V.read(spark, d, "benchmark").select(F.explode(C.numbers(F.col("text"))).alias("n")).distinct()
+
+
+@query(f"with {NUMS} select doc_id, count(*) as numbers, sum(n)::bigint as total from nm group by all")
+def t1_numbers(spark: SparkSession, d: str) -> DataFrame:
+    return doc_numbers(spark, d).groupBy("doc_id").agg(F.count("*").alias("numbers"), F.sum("n").alias("total"))
+
+
+_SCORE_ARGS = {"s": lit(C.SCORE), "k": lit(C.KDA)}
+
+
+@query(f"select doc_id, line from ({SCORES.format(i='doc_id', t='documents', **_SCORE_ARGS)}) where line not in (select line from ({SCORES.format(i='item_id', t='benchmark', **_SCORE_ARGS)}))")
+def t2_score_lines(spark: SparkSession, d: str) -> DataFrame:
+    known = V.read(spark, d, "benchmark").select(F.explode(C.score_lines(F.col("text"))).alias("line"))
+    return C.unknown(docs(spark, d).select("doc_id", F.explode(C.score_lines(F.col("text"))).alias("line")), known, ["line"]).select("doc_id", "line")
+
+
+@query(f"select doc_id, line from ({kda_sql('doc_id', 'documents')}) where line not in (select line from ({kda_sql('item_id', 'benchmark')}))")
+def t3_kda_lines(spark: SparkSession, d: str) -> DataFrame:
+    known = V.read(spark, d, "benchmark").select(F.explode(C.kda_lines(F.col("text"))).alias("line"))
+    return C.unknown(docs(spark, d).select("doc_id", F.explode(C.kda_lines(F.col("text"))).alias("line")), known, ["line"]).select("doc_id", "line")
+
+
+@query(f"with {NUMS} select distinct doc_id, n from nm join documents using (doc_id) where n not in (select n from kn) and n <> n_chars")
+def t4_unknown_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers that neither the facts nor the document's own length explain, once a document."""
+    n = docs(spark, d).select("doc_id", "n_chars", F.explode(C.numbers(F.col("text"))).alias("n")).where("n <> n_chars").select("doc_id", "n")
+    return C.unknown(n, known_numbers(spark, d), ["n"]).select("doc_id", "n")
+
+
+def _mention_sql(column: str = "text") -> str:
+    return " union all ".join(f"select doc_id, lang, '{w}' as word, '{x}' as home from documents where regexp_matches({column}, {lit(f'(^|[^{C.WORD_CHAR}]){w}($|[^{C.WORD_CHAR}])')})" for w, x in WORDS.items())
+
+
+def mentioned(spark: SparkSession, d: str) -> DataFrame:
+    home = F.create_map(*(F.lit(x) for kv in WORDS.items() for x in kv))
+    return docs(spark, d).select("doc_id", "lang", F.explode(C.mentions(F.col("text"), [*WORDS])).alias("word")).withColumn("home", home[F.col("word")])
+
+
+@query(f"select word, count(*) as documents from ({_mention_sql()}) group by all")
+def t5_mentions(spark: SparkSession, d: str) -> DataFrame:
+    return mentioned(spark, d).groupBy("word").agg(F.count("*").alias("documents"))
+
+
+_VERDICT = "case when lang = home then 'fine' when home = 'en' then 'unverified' else 'contradiction' end"
+
+
+@query(f"select doc_id, word, {_VERDICT} as verdict from ({_mention_sql()})")
+def t6_entity_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """A word of the document's own language is fine, one that others may use unverified, any other a contradiction."""
+    return mentioned(spark, d).select("doc_id", "word", F.expr(_VERDICT).alias("verdict"))
+
+
+_SENT = r"select doc_id, unnest(regexp_split_to_array(text, '[.!?\n]+')) as s from documents"
+_HAS = lambda w: f"regexp_matches(s, {lit(f'(^|[^{C.WORD_CHAR}]){w}($|[^{C.WORD_CHAR}])')})::int"
+_N1, _N2 = (" + ".join(_HAS(w) for w in ws) for ws in (RELATION.keys(), RELATION.values()))
+_FIT = " or ".join(f"({_HAS(a)} = 1 and {_HAS(b)} = 1)" for a, b in RELATION.items())
+
+
+@query(f"select doc_id, count(*) filter (a = 1 and b = 1 and not fit) as mismatched, count(*) filter (a > 1 or b > 1) as ambiguous from (select doc_id, {_N1} as a, {_N2} as b, ({_FIT}) as fit from ({_SENT})) where a > 0 and b > 0 group by all")
+def t7_sentence_relations(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences that name one of each kind but not a pair that belongs together, and sentences that name several."""
+    s = docs(spark, d).select("doc_id", F.explode(C.sentences(F.col("text"))).alias("s"))
+    s = s.select("doc_id", C.mentions(F.col("s"), [*RELATION]).alias("a"), C.mentions(F.col("s"), [*RELATION.values()]).alias("b")).where("size(a) > 0 and size(b) > 0")
+    goes = F.create_map(*(F.lit(x) for kv in RELATION.items() for x in kv))
+    one = (F.size("a") == 1) & (F.size("b") == 1)
+    return s.groupBy("doc_id").agg(F.count_if(one & (goes[F.col("a")[0]] != F.col("b")[0])).alias("mismatched"), F.count_if((F.size("a") > 1) | (F.size("b") > 1)).alias("ambiguous"))
+
+
+@query(f"with {NUMS} select distinct doc_id, n from nm where (source, n) not in (select source, n_chars from documents)")
+def t8_round_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers of a document that no fact of its group has."""
+    known = docs(spark, d).select("source", F.col("n_chars").cast("bigint").alias("n"))
+    return C.unknown(doc_numbers(spark, d), known, ["source", "n"]).select("doc_id", "n").distinct()
+
+
+@query(f"select doc_id, case max(case {_VERDICT} when 'contradiction' then 2 when 'unverified' then 1 else 0 end) when 2 then 'CONTRADICTED' when 1 then 'UNVERIFIED' else 'FINE' end as status from ({_mention_sql()}) group by all")
+def t9_status(spark: SparkSession, d: str) -> DataFrame:
+    level = F.expr(f"case {_VERDICT} when 'contradiction' then 2 when 'unverified' then 1 else 0 end")
+    m = mentioned(spark, d).groupBy("doc_id").agg(F.max(level).alias("level"))
+    return m.select("doc_id", F.expr("case level when 2 then 'CONTRADICTED' when 1 then 'UNVERIFIED' else 'FINE' end").alias("status"))
+
+
+POST = "array<struct<author:string,content:string>>"
+
+
+def cut_arrays(spark: SparkSession, d: str) -> DataFrame:
+    """Per conversation a JSON array of its rows in a sentence, cut by a length that depends on the id."""
+    c = V.read(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.col("role").alias("author"), F.col("text").alias("content")))).alias("t"))
+    whole = c.select("conv_id", F.concat(F.lit("Here: "), F.to_json(F.transform("t", lambda x: F.struct(x["author"].alias("author"), x["content"].alias("content")))), F.lit(" done")).alias("raw"))
+    return whole.withColumn("raw", F.expr("case conv_id % 3 when 0 then raw when 1 then substring(raw, 1, length(raw) - 6) else substring(raw, 1, greatest(8, length(raw) - 10 - cast(conv_id % 40 as int))) end"))
+
+
+_PIECES = "select conv_id, turn, length(text) as n, count(*) over (partition by conv_id) - row_number() over (partition by conv_id order by turn) as after_ from conversations"
+
+
+@query("select conv_id, case when conv_id % 3 = 2 then count(*) - 1 else count(*) end as items from conversations group by conv_id having case when conv_id % 3 = 2 then count(*) - 1 else count(*) end > 0 and min(length(text)) > 60")
+def t10_lenient_json(spark: SparkSession, d: str) -> DataFrame:
+    """Objects saved from whole, unclosed and truncated arrays; only conversations whose rows are longer than any cut, so that a cut takes the last object."""
+    long = V.read(spark, d, "conversations").groupBy("conv_id").agg(F.min(F.length("text")).alias("least")).where("least > 60")
+    items = C.lenient_array(cut_arrays(spark, d), "raw", POST)
+    return items.join(long, "conv_id", "left_semi").select("conv_id", F.size("items").cast("bigint").alias("items")).where("items > 0")
+
+
+@query("select p_partkey, trim(coalesce(case when p_partkey % 4 = 0 then null else '  ' || p_name || ' ' end, '')) as name, case p_partkey % 3 when 0 then p_size::bigint when 1 then p_size::bigint else null end as size from part")
+def t11_field_readers(spark: SparkSession, d: str) -> DataFrame:
+    p = V.read(spark, d, "part").selectExpr("p_partkey", "if(p_partkey % 4 = 0, null, concat('  ', p_name, ' ')) as name", "case p_partkey % 3 when 0 then cast(p_size as string) when 1 then concat(' ', p_size, ' ') else concat(p_size, ' pieces') end as size")
+    return p.select("p_partkey", C.text_field(F.col("name")).alias("name"), C.int_field(F.col("size")).cast("bigint").alias("size"))
+
+
+THREADS = "cm as (select *, row_number() over (partition by conv_id order by turn) as ordinal, sum((role = 'user')::int) over (partition by conv_id order by turn) as root from conversations where trim(text) <> ''),\nth as (select *, row_number() over (partition by conv_id, root, role = 'user' order by ordinal) as reply from cm where root > 0)"
+
+
+def comments(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of conversations as comments: each user row is a root, others reply to the last root; windows are bounded by a conversation."""
+    c = V.read(spark, d, "conversations").where(F.trim("text") != "")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    user = F.col("role") == "user"
+    rows = c.withColumn("ordinal", F.row_number().over(w)).withColumn("root", F.sum(user.cast("int")).over(w)).where("root > 0").withColumn("user", user)
+    return rows.withColumn("reply", F.row_number().over(Window.partitionBy("conv_id", "root", "user").orderBy("ordinal")))
+
+
+@query(f"with {THREADS} select conv_id, root::bigint as root, count(*) filter (role <> 'user' and reply <= 3) as replies, sum(length(text)) filter (role = 'user')::bigint as root_chars from th group by all")
+def t12_comment_threads(spark: SparkSession, d: str) -> DataFrame:
+    c = comments(spark, d)
+    return c.groupBy("conv_id", "root").agg(F.count_if(~F.col("user") & (F.col("reply") <= C.REPLIES)).alias("replies"), F.sum(F.when(F.col("user"), F.length("text"))).alias("root_chars"))
+
+
+@query("select conv_id, kind, count(*) as posts from (select conv_id, case when role in ('user', 'assistant') then role else 'user' end as kind, row_number() over (partition by conv_id order by turn) as rn from conversations where trim(text) <> '' and role is not null) where rn <= 40 group by all")
+def t13_posts(spark: SparkSession, d: str) -> DataFrame:
+    """Posts need content; an unknown kind becomes the commonest; at most forty a page."""
+    c = V.read(spark, d, "conversations").where((F.trim("text") != "") & F.col("role").isNotNull())
+    n = c.withColumn("rn", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))).where("rn <= 40")
+    return n.groupBy("conv_id", F.expr("if(role in ('user', 'assistant'), role, 'user')").alias("kind")).agg(F.count("*").alias("posts"))
+
+
+@query("select event_type, count(*) filter (value > 90 or coalesce(try_cast(regexp_extract(props, '([0-9]+)', 1) as int), 0) >= 30) as concepts from events group by all")
+def t14_concept_flag(spark: SparkSession, d: str) -> DataFrame:
+    e = V.read(spark, d, "events")
+    likes = F.regexp_extract("props", "([0-9]+)", 1).try_cast("int")
+    return e.groupBy("event_type").agg(F.count_if(C.concept(F.col("value") > 90, likes)).alias("concepts"))
+
+
+@query("select conv_id, ordinal, case when parent >= 1 and parent < ordinal then parent end as parent from (select conv_id, row_number() over (partition by conv_id order by turn) as ordinal, case when turn % 4 <> 3 then turn - conv_id % 3 end as parent from conversations)")
+def t15_parents(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = V.read(spark, d, "conversations").select("conv_id", F.row_number().over(w).cast("bigint").alias("ordinal"), F.expr("if(turn % 4 <> 3, turn - conv_id % 3, null)").alias("parent"))
+    return c.select("conv_id", "ordinal", C.valid_parent(F.col("parent"), F.col("ordinal")).alias("parent"))
+
+
+@query(f"with {THREADS} select conv_id, root::bigint as root, string_agg(ordinal || ':' || length(text), ',' order by ordinal) as thread from th group by all")
+def t16_thread_assembly(spark: SparkSession, d: str) -> DataFrame:
+    c = comments(spark, d)
+    line = F.struct("ordinal", F.concat_ws(":", "ordinal", F.length("text")).alias("l"))
+    return c.groupBy("conv_id", "root").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["l"]), ",").alias("thread"))
+
+
+@query("select doc_id, headline from (select doc_id, trim(split_part(text, chr(10), 1), ' ') as headline, trim(substr(text, length(split_part(text, chr(10), 1)) + 2), ' ') as body from documents) where length(headline) between 1 and 40 and length(body) > 0")
+def t17_headlines(spark: SparkSession, d: str) -> DataFrame:
+    return docs(spark, d).select("doc_id", C.headline(F.col("text")).alias("headline")).where("headline is not null")

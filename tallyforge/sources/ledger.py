@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,3 +55,17 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], order: str) -> DataFr
 def replace_partitions(rows: DataFrame, path: str, by: list[str]) -> None:
     """Write rows so that only the partitions they have are replaced."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that driver and executors share (spark.checkpoint.dir); a local one only where none is set."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = "file://" + tempfile.mkdtemp(prefix="tallyforge-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/work/{name}-{uuid.uuid4().hex}"
