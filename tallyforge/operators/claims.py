@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed patterns: thousands separators are blank, comma and the narrow blanks; dashes are all that texts use.
 SEPARATORS = " ,    "
@@ -62,7 +63,7 @@ def headline(text: Column) -> Column:
     return F.when((F.length(first) > 0) & (F.length(first) <= HEADLINE) & (F.length(body) > 0), first)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def truncated(texts: pd.Series) -> pd.Series:
     """A cut JSON array up to its last complete object, closed with a bracket; null if none is complete."""
 
