@@ -1,10 +1,10 @@
 """Substring deduplication by relative Lempel-Ziv factors.
 
-All documents together are the reference, in blocks as Spark has split them. A block is indexed by hashes
-of its word windows. A document is factored greedily from the left: a factor is a longest run of
-windows whose earliest copies in the reference are consecutive too, and windows that start in one
-factor and end in the next are looked up like any other, so that what straddles a factor boundary is
-found as well. Factors of at least a window's length that start earlier in the reference are duplicate spans.
+All documents together are the reference, in blocks as Spark has split them. Every block is indexed by hashes
+of its word windows, and the index keeps the earliest place of each. A document is factored greedily from
+the left: a factor grows for as long as each further window is found at an earlier place of the
+reference. Windows that start in the copy of one source and end in that of the next are looked up like
+any other, so what straddles a boundary is found as well. Factors are at least a window long and become duplicate spans.
 
 Most windows occur once, and those are not indexed. Each window has an anchor, the smallest hash of the
 short word groups inside it; equal windows have equal anchors. Anchors are counted over the whole
@@ -19,11 +19,11 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, WORD_BYTES, stored, with_columns
+from .common import WORD, WORD_BYTES, release, stored, with_columns
 
 WINDOW = 20
 GROUP = 6
@@ -106,67 +106,86 @@ def _profile(docs: DataFrame, window: int, group: int) -> DataFrame:
     return stored(made.drop("text"), "anchors")
 
 
-def _windows(marked: DataFrame, window: int, group: int, id_type: T.DataType) -> DataFrame:
+def _candidates(text: str | None, hits: np.ndarray, window: int, group: int) -> tuple[np.ndarray, np.ndarray]:
+    """The word hashes of a text and the starts of its windows whose anchor is in ``hits`` (sorted)."""
+    w = word_hashes(text)
+    _, h = anchors(w, window, group)
+    if not len(h) or not len(hits):
+        return w, np.zeros(0, np.int64)
+    return w, np.flatnonzero(hits[np.minimum(np.searchsorted(hits, h), len(hits) - 1)] == h)
+
+
+def _hits(value: pa.Scalar) -> np.ndarray:
+    return np.sort(np.asarray(value.values, np.int64).view(np.uint64))
+
+
+def _windows(marked: DataFrame, window: int, group: int) -> DataFrame:
     """(w1, w2, doc_id, start) of each window whose anchor is in ``hits``."""
-    schema = T.StructType([T.StructField("w1", T.LongType()), T.StructField("w2", T.IntegerType()), T.StructField("doc_id", id_type), T.StructField("start", T.IntegerType())])
+    schema = T.StructType([T.StructField("w1", T.LongType()), T.StructField("w2", T.IntegerType()), T.StructField("doc_id", T.LongType()), T.StructField("start", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
-                w = word_hashes(b.column(1)[k].as_py())
-                hits = np.sort(np.asarray(b.column(2)[k].values, np.int64).view(np.uint64))
-                _, h = anchors(w, window, group)
-                if not len(h) or not len(hits):
+                w, start = _candidates(b.column(1)[k].as_py(), _hits(b.column(2)[k]), window, group)
+                if not len(start):
                     continue
-                start = np.flatnonzero(hits[np.minimum(np.searchsorted(hits, h), len(hits) - 1)] == h)
                 one, two = group_hashes(w, window)[start], group_hashes(w, window, _B)[start]
-                ids = pa.array([b.column(0)[k].as_py()] * len(start), b.column(0).type)
+                ids = pa.array(np.full(len(start), b.column(0)[k].as_py(), np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32)), ids, pa.array(start.astype(np.int32))], names=schema.names)
 
     return marked.select("doc_id", "text", "hits").mapInArrow(run, schema)
 
 
-def factors(docs: DataFrame, window: int = WINDOW, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
-    """(factors, copies).
-
-    factors: doc_id, start, length, source_id, source_start in words, one row per duplicate factor, of documents that are
-    no whole copies. copies: doc_id, source_id, n_words of documents of at least ``window`` words
-    that equal an earlier one word for word; all their words are duplicate.
+def factors(docs: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFrame:
+    """(doc_id, start, length) in words of every duplicate factor; a whole copy of a document is one factor.
 
-    ``docs`` needs doc_id and text. Rows with null ids or texts have no factors. Rows that share an id count as one document.
+    ``docs`` needs doc_id, an integer, and text. Rows with null ids or texts have no factors. Rows that share an id count
+    as one document.
     """
-    docs = docs.where("doc_id is not null and text is not null")
+    spark = docs.sparkSession
+    docs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     p = _profile(docs, window, group)
     long = p.where(f"n_words >= {window}")
     first = long.groupBy("d1", "d2").agg(F.min("doc_id").alias("source_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    copies = stored(long.select("doc_id", "n_words", "d1", "d2").join(first, ["d1", "d2"]).where("doc_id <> source_id").select("doc_id", "source_id", "n_words").distinct(), "copies")
-    own = long.join(copies.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.explode(F.arrays_zip("anchors", "times")).alias("x"))
+    copies = stored(long.select("doc_id", "n_words", "d1", "d2").join(first, ["d1", "d2"]).where("doc_id <> source_id").select("doc_id", "n_words").distinct(), "copies")
+    # What grows with the corpus is always joined by sorting.
+    own = long.join(copies.select("doc_id").distinct().hint("merge"), "doc_id", "left_anti").select("doc_id", F.explode(F.arrays_zip("anchors", "times")).alias("x"))
     own = own.select("doc_id", F.col("x.anchors").alias("h"), F.col("x.times").alias("times"))
     shared = own.groupBy("h").agg(F.sum("times").alias("n")).where("n > 1").select("h")
-    hits = own.select("doc_id", "h").join(shared, "h").groupBy("doc_id").agg(F.collect_set("h").alias("hits"))
-    index = stored(_windows(docs.select("doc_id", "text").join(hits, "doc_id"), window, group, docs.schema["doc_id"].dataType), "windows")
-    earliest = index.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.max(F.struct("doc_id", "start")).alias("l")).where("f <> l").select("w1", "w2", "f")
-    found = (
-        index.join(earliest, ["w1", "w2"])
-        .select("doc_id", "start", F.col("f.doc_id").alias("source_id"), F.col("f.start").alias("source_start"))
-        .where("not (doc_id = source_id and start = source_start)")
-        .distinct()
-    )
-    order = Window.partitionBy("doc_id").orderBy("start", "source_id", "source_start")
-    goes_on = (F.lag("start").over(order) == F.col("start") - 1) & (F.lag("source_id").over(order) == F.col("source_id")) & (F.lag("source_start").over(order) == F.col("source_start") - 1)
-    runs = found.withColumn("new", F.when(goes_on, 0).otherwise(1)).withColumn("k", F.sum("new").over(order))
-    made = runs.groupBy("doc_id", "k").agg(F.min("start").alias("start"), F.max("start").alias("last"), F.min("source_id").alias("source_id"), F.min("source_start").alias("source_start"))
-    return made.select("doc_id", "start", (F.col("last") - F.col("start") + window).alias("length"), "source_id", "source_start"), copies
+    hits = stored(own.select("doc_id", "h").join(shared, "h").groupBy("doc_id").agg(F.collect_set("h").alias("hits")), "hits")
+    release(spark, p)
+    marked = stored(docs.join(hits.hint("merge"), "doc_id"), "marked")
+    release(spark, hits)
+    # The earliest place of every window owns it. It is found by a minimum that is combined before the shuffle, and only owners go back.
+    place = F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("start")
+    owners = _windows(marked, window, group).groupBy("w1", "w2").agg(F.min(place).alias("place"))
+    owned = owners.select(F.expr("cast(floor(place / 2147483648BD) as long)").alias("doc_id"), F.expr("cast(pmod(place, 2147483648BD) as int)").alias("start")).groupBy("doc_id").agg(F.collect_list("start").alias("owned"))
+    source = marked.join(owned.hint("merge"), "doc_id", "left").select("doc_id", "text", "hits", "owned")
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple[int, int, int]] = []
+            for k in range(b.num_rows):
+                w, start = _candidates(b.column(1)[k].as_py(), _hits(b.column(2)[k]), window, group)
+                copied = np.zeros(len(w) + 1, bool)
+                copied[start] = True
+                mine = b.column(3)[k].values
+                copied[np.asarray(mine if mine is not None else [], np.int64)] = False
+                # Greedy parse: a factor takes windows as long as each, across the seams between sources too, is found earlier.
+                edge = np.flatnonzero(np.diff(np.r_[False, copied].astype(np.int8)))
+                out += [(b.column(0)[k].as_py(), int(i), int(j - i - 1 + window)) for i, j in zip(edge[::2], edge[1::2], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(3)], names=schema.names)
+
+    found = stored(source.mapInArrow(run, schema).unionByName(copies.select("doc_id", F.lit(0).cast("long").alias("start"), F.col("n_words").alias("length"))), "factors")
+    release(spark, marked, copies)
+    return found
 
 
 def _marked(docs: DataFrame, window: int, group: int) -> DataFrame:
-    """``docs`` with _spans: the duplicate spans (start, length in words) of each document; one over everything for a whole copy."""
-    found, copies = factors(docs, window, group)
-    spans = found.select("doc_id", F.struct(F.col("start").cast("long").alias("start"), F.col("length").cast("long").alias("length")).alias("s")).unionByName(
-        copies.select("doc_id", F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("length")).alias("s"))
-    )
-    by = spans.groupBy(F.col("doc_id").alias("_span_id")).agg(F.collect_list("s").alias("_spans"))
-    return docs.join(by, docs["doc_id"] == by["_span_id"], "left").drop("_span_id")
+    """``docs`` with _spans: the duplicate factors (start, length in words) of each document, or null."""
+    by = factors(docs, window, group).groupBy(F.col("doc_id").alias("_span_id")).agg(F.collect_list(F.struct("start", "length")).alias("_spans"))
+    return docs.join(by.hint("merge"), docs["doc_id"] == by["_span_id"], "left").drop("_span_id")
 
 
 def _mask(n: int, spans: list[dict] | None) -> np.ndarray:
