@@ -30,7 +30,7 @@ from .tokens import default_path, library_encoder
 
 MAGIC = b"TFCM"
 BLOCK_IDS = 8192
-LANES = 1536
+LANES = 1024
 DOCS_PER_PART = 8192
 _HEAD = struct.Struct("<4sIIIII")
 _DOC = np.dtype([("number", "<u8"), ("doc_id", "<i8"), ("null", "u1"), ("n", "<u4")])
@@ -119,7 +119,7 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[np.ndarray]:
     lanes, running = _order([*map(len, blocks)])
     if not len(running):
         return [np.zeros(0, np.uint16) for _ in blocks]
-    ids = np.zeros((len(running), len(blocks)), np.int64)
+    ids = np.zeros((len(running), len(blocks)), np.int32)
     for c, b in enumerate(lanes):
         ids[: len(blocks[b]), c] = blocks[b]
     m = Model(len(blocks))
@@ -144,7 +144,7 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[np.ndarray]:
     for t, n in enumerate(running):
         if t and t % _REBUILD == 0:
             m.rebuild()
-        now = ids[t, :n]
+        now = ids[t, :n].astype(np.int64)
         pick, p = m.predict(n)
         hit = now == pick
         part = wide[:n] >> _U(15)
@@ -175,17 +175,18 @@ def decode_blocks(words: list[np.ndarray], sizes: list[int]) -> list[np.ndarray]
     lanes, running = _order(sizes)
     if not len(running):
         return [np.zeros(0, np.int64) for _ in words]
-    given = np.zeros((len(words), max(map(len, words)) + 4), np.uint64)
+    given = np.zeros((len(words), max(map(len, words)) + 4), np.uint16)
     for c, b in enumerate(lanes):
         given[c, : len(words[b])] = words[b]
-    ids = np.zeros((len(running), len(words)), np.int64)
+    ids = np.zeros((len(running), len(words)), np.int32)
     m = Model(len(words))
-    code = (given[:, 0] << _U(32)) | (given[:, 1] << _U(16)) | given[:, 2]
+    head = given[:, :3].astype(np.uint64)
+    code = (head[:, 0] << _U(32)) | (head[:, 1] << _U(16)) | head[:, 2]
     wide, at = np.full(len(words), (1 << 48) - 1, np.uint64), np.full(len(words), 3)
 
     def take(k: np.ndarray) -> None:
         small = k[wide[k] < _U(1 << 32)]
-        code[small] = (code[small] << _U(16)) | given[small, at[small]]
+        code[small] = (code[small] << _U(16)) | given[small, at[small]].astype(np.uint64)
         at[small] += 1
         wide[small] <<= _U(16)
 
@@ -217,7 +218,7 @@ def decode_blocks(words: list[np.ndarray], sizes: list[int]) -> list[np.ndarray]
         m.learn(n, now, pick)
     result: list[np.ndarray] = [np.zeros(0, np.int64)] * len(words)
     for c, b in enumerate(lanes):
-        result[b] = ids[: sizes[b], c].copy()
+        result[b] = ids[: sizes[b], c].astype(np.int64)
     return result
 
 
