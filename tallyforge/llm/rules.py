@@ -162,7 +162,7 @@ def fit(stats: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", max_
     if labels is None or not trees:
         return trees, float("inf")
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    rated = score(passed.select(F.col(id_col).alias("doc_id"), *seen).join(known, "doc_id"), trees)
+    rated = score(passed.select(F.col(id_col).alias("doc_id"), *seen).join(known.hint("merge"), "doc_id"), trees)
     bins = {(r["quality"], r["bin"]): r["n"] for r in rated.groupBy("quality", F.floor(F.col("_s_anomaly") * BINS).cast("int").alias("bin")).agg(F.count("*").alias("n")).collect()}
     good, bad = (np.array([bins.get((q, k), 0) for k in range(BINS + 1)], float) for q in (1, 0))
     if not good.sum() or not bad.sum():

@@ -133,4 +133,4 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     c = classes(docs.where(F.col(id_col).isNotNull()), text_col, id_col)
     gone = c.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*(F.col(f"`{x}`") for x in docs.columns))
+    return docs.join(gone.hint("merge"), id_col, "left_anti").select(*(F.col(f"`{x}`") for x in docs.columns))
