@@ -34,10 +34,14 @@ def valid_observations(facts: DataFrame) -> DataFrame:
     return g.where("b > 0 and r > 0 and n = d and low >= 0").select("career_id", "match_id")
 
 
-def canonical_digest(rows: DataFrame, by: str, order: str, fields: list[str]) -> DataFrame:
-    """(by, rows, digest): sha-256 over the rows of a set in order, fields and rows joined by fixed separators."""
+def canonical_digest(rows: DataFrame, by: list[str], order: str, fields: list[str], per_range: int = 1024) -> DataFrame:
+    """(by, range, rows, digest): sha-256 over the rows of a set in order, fields and rows joined by fixed separators.
+
+    A set is cut into ranges of ``per_range`` values of ``order``, so that no group grows with the set.
+    """
     line = F.concat_ws(":", *fields)
-    return rows.groupBy(by).agg(F.count("*").alias("rows"), F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l")))).alias("x")).select(by, "rows", F.sha2(F.array_join(F.transform("x", lambda s: s["l"]), ","), 256).alias("digest"))
+    ranged = rows.withColumn("range", F.floor(F.col(order) / per_range).cast("bigint"))
+    return ranged.groupBy(*by, "range").agg(F.count("*").alias("rows"), F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l")))).alias("x")).select(*by, "range", "rows", F.sha2(F.array_join(F.transform("x", lambda s: s["l"]), ","), 256).alias("digest"))
 
 
 def digest(rows: DataFrame, order: str, buckets: int = 1024) -> DataFrame:
