@@ -140,14 +140,15 @@ def observations(rows: DataFrame) -> DataFrame:
         "career_id", "match_id", "me.*",
         "transform(filter(all, x -> x.side = me.side and x.champion_id <> me.champion_id), x -> struct(x.champion_id as id, x.role as role)) as mates",
         "transform(filter(all, x -> x.side <> me.side), x -> struct(x.champion_id as id, x.role as role)) as foes",
-        "transform(all, x -> x.healing) as healings",
+        *(f"not exists(all, x -> x.{m} is null) as ok_{m}" for m in METRICS),
     )
 
 
 def unpivoted(obs: DataFrame) -> DataFrame:
     """One row for each observation and metric; a contest with a missing value of a metric is left out for that metric."""
-    long = obs.unpivot(["career_id", "match_id", "champion_id", "role", "team_id", "w", "mates", "foes", "healings"], list(METRICS), "metric", "value")
-    return long.where("metric <> 'healing' or not exists(healings, h -> h is null)").drop("healings")
+    keys = ["career_id", "match_id", "champion_id", "role", "team_id", "w", "mates", "foes"]
+    valid = obs.select(*keys, *(F.when(F.col(f"ok_{m}"), F.col(m)).alias(m) for m in METRICS))
+    return valid.unpivot(keys, list(METRICS), "metric", "value").where("value is not null")
 
 
 def standardised(long: DataFrame, extra: list[str] | None = None) -> DataFrame:
@@ -178,38 +179,72 @@ def feature_counts(obs: DataFrame) -> DataFrame:
     return obs.withColumn("f", F.explode(features(obs))).groupBy("career_id", "f.kind", "f.subject", "f.other").agg(F.count("*").alias("n"))
 
 
-def normal_equations(z: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(gram, moment) of the weighted least squares of each (career, metric): the data-sized sums, combined before the shuffle.
+KINDS = ("TEAM", "MATE_ROLE", "FOE_ROLE", "MATE", "FOE")
+_FIELD = 1 << 20  # ids in a feature's number are below this
 
-    gram rows: feature j, feature k, sum of w x_j x_k; moment rows: feature j, sum of w x_j z. The
-    pairs come from an observation's own 15 terms, never from a join.
+
+def wide_standardised(obs: DataFrame) -> DataFrame:
+    """``obs`` with a column z_<metric> for each metric, null where the contest lacks it; the same values as ``standardised``, without a row a metric."""
+    v = obs.select("*", *(F.when(F.col(f"ok_{m}"), F.col(m)).alias(f"v_{m}") for m in METRICS))
+    each = v.groupBy("career_id", "champion_id").agg(*(f(f"v_{m}").alias(f"{n}_{m}") for m in METRICS for f, n in ((F.avg, "mean"), (F.stddev_pop, "sd"))))
+    whole = v.groupBy("career_id").agg(*(F.stddev_pop(f"v_{m}").alias(f"all_{m}") for m in METRICS))
+    j = v.join(each, ["career_id", "champion_id"]).join(whole, "career_id")
+    sd = {m: F.when(F.col(f"sd_{m}") >= 1e-9, F.col(f"sd_{m}")).when(F.col(f"all_{m}") >= 1e-9, F.col(f"all_{m}")).otherwise(F.lit(1.0)) for m in METRICS}
+    return j.select("career_id", "champion_id", "role", "team_id", "w", "mates", "foes", *(((F.col(f"v_{m}") - F.col(f"mean_{m}")) / sd[m]).alias(f"z_{m}") for m in METRICS))
+
+
+def _numbered() -> Column:
+    """The features of an observation as numbers: kind, subject and other in one long."""
+    def term(kind: str, subject: str, other: str) -> str:
+        return f"{KINDS.index(kind) * _FIELD * _FIELD}L + {subject} * {_FIELD}L + {other}"
+
+    return F.expr(
+        f"""concat(if(team_id is null, array(), array({term('TEAM', 'team_id', '0')})),
+        transform(mates, m -> {term('MATE_ROLE', 'role', 'm.role')}), transform(foes, m -> {term('FOE_ROLE', 'role', 'm.role')}),
+        transform(mates, m -> {term('MATE', 'champion_id', 'm.id')}), transform(foes, m -> {term('FOE', 'champion_id', 'm.id')}))"""
+    )
+
+
+def normal_equations(z: DataFrame) -> DataFrame:
+    """Rows (career_id, j, k, one column a metric) of the weighted least squares over ``wide_standardised`` rows: sum of w x_j x_k, and with k = -1
+    sum of w x_j z. These are the data-sized sums; they are combined before the one shuffle, and the pairs come from an observation's own 15 terms.
     """
-    counted = z.withColumn("t", features(z)).withColumn("u", F.array_distinct("t"))
-    keyed = counted.withColumn("x", F.expr("transform(u, f -> struct(concat_ws(':', f.kind, f.subject, f.other) as f, cast(size(filter(t, g -> g = f)) as double) as m))")).select("career_id", "metric", "w", "z", "x")
-    gram = keyed.withColumn("a", F.explode("x")).withColumn("b", F.explode(F.expr("filter(x, y -> y.f >= a.f)"))).groupBy("career_id", "metric", F.col("a.f").alias("j"), F.col("b.f").alias("k")).agg(F.sum(F.col("w") * F.col("a.m") * F.col("b.m")).alias("g"))
-    moment = keyed.withColumn("a", F.explode("x")).groupBy("career_id", "metric", F.col("a.f").alias("j")).agg(F.sum(F.col("w") * F.col("a.m") * F.col("z")).alias("m"))
-    return gram, moment
+    t = z.withColumn("t", _numbered()).withColumn("x", F.expr("transform(array_distinct(t), f -> struct(f as f, cast(size(filter(t, g -> g = f)) as double) as m))"))
+    part = t.select("career_id", "w", *(f"z_{m}" for m in METRICS), F.explode("x").alias("a"), "x")
+    both = part.withColumn("b", F.explode(F.expr("concat(array(struct(-1L as f, 0.0D as m)), filter(x, y -> y.f >= a.f))")))
+    value = {m: F.when(F.col("b.f") == -1, F.col("w") * F.col("a.m") * F.col(f"z_{m}")).otherwise(F.when(F.col(f"z_{m}").isNotNull(), F.col("w") * F.col("a.m") * F.col("b.m"))) for m in METRICS}
+    return both.groupBy("career_id", F.col("a.f").alias("j"), F.col("b.f").alias("k")).agg(*(F.sum(v).alias(m) for m, v in value.items()))
 
 
-def ridge(z: DataFrame) -> DataFrame:
-    """(career_id, metric, feature, theta, residual): the ridge solution; residual is the largest entry of (G + L) theta - b of the fit."""
-    gram, moment = normal_equations(z)
-    rows = gram.select("career_id", "metric", "j", "k", F.col("g").alias("v")).unionByName(moment.select("career_id", "metric", "j", F.lit("").alias("k"), F.col("m").alias("v")))
+def feature_name(number: Column) -> Column:
+    """kind:subject:other of a feature's number."""
+    n = number.cast("bigint")
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.shiftright(n, 40) + 1).cast("int"))
+    return F.concat_ws(":", kind, F.shiftright(n, 20) % _FIELD, n % _FIELD)
 
-    def solve(part: pd.DataFrame) -> pd.DataFrame:
-        b = part[part["k"] == ""].sort_values("j")
-        names = b["j"].to_numpy(str)
-        g = part[part["k"] != ""]
-        j, k = np.searchsorted(names, g["j"].to_numpy(str)), np.searchsorted(names, g["k"].to_numpy(str))
-        m = np.zeros((len(names), len(names)))
-        m[j, k] = g["v"]
-        m[k, j] = g["v"]
-        m[np.diag_indices(len(names))] += np.where(np.char.startswith(names, "TEAM"), RIDGE_TEAM, RIDGE_OTHER)
-        theta = np.linalg.solve(m, b["v"].to_numpy())
-        worst = float(np.abs(m @ theta - b["v"].to_numpy()).max())
-        return pd.DataFrame({"career_id": part["career_id"].iloc[0], "metric": part["metric"].iloc[0], "feature": names, "theta": theta, "residual": worst})
 
-    return rows.groupBy("career_id", "metric").applyInPandas(solve, "career_id int, metric string, feature string, theta double, residual double")
+def ridge(obs: DataFrame) -> DataFrame:
+    """(career_id, metric, feature, theta, residual): the ridge solution of every metric; residual is the largest entry of (G + L) theta - b."""
+
+    def solve(part: pd.DataFrame) -> pd.DataFrame:
+        b, g = part[part["k"] == -1].sort_values("j"), part[part["k"] != -1]
+        names = b["j"].to_numpy(np.int64)
+        j, k = np.searchsorted(names, g["j"]), np.searchsorted(names, g["k"])
+        penalty = np.where(names < _FIELD * _FIELD, RIDGE_TEAM, RIDGE_OTHER)
+        out = []
+        for metric in METRICS:
+            right, left = b[metric].to_numpy(float), g[metric].to_numpy(float)
+            use = ~np.isnan(right)
+            m = np.zeros((len(names), len(names)))
+            m[j, k] = m[k, j] = np.nan_to_num(left)
+            m = m[np.ix_(use, use)] + np.diag(penalty[use])
+            theta = np.linalg.solve(m, right[use])
+            out.append(pd.DataFrame({"career_id": part["career_id"].iloc[0], "metric": metric, "number": names[use], "theta": theta, "residual": float(np.abs(m @ theta - right[use]).max(initial=0))}))
+        return pd.concat(out)
+
+    rows = normal_equations(wide_standardised(obs))
+    fits = rows.groupBy("career_id").applyInPandas(solve, "career_id int, metric string, number bigint, theta double, residual double")
+    return fits.select("career_id", "metric", feature_name(F.col("number")).alias("feature"), "theta", "residual")
 
 
 def pair_observations(obs: DataFrame) -> DataFrame:
@@ -221,7 +256,7 @@ def pair_observations(obs: DataFrame) -> DataFrame:
 def pair_effects(rows: DataFrame, least: int = MIN_OBSERVATIONS) -> DataFrame:
     """(career_id, metric, side, subject, other, observations, effect to three decimals) of pairs with enough observations."""
     obs = observations(rows)
-    theta = ridge(standardised(unpivoted(obs)))
+    theta = ridge(obs)
     terms = theta.withColumn("p", F.split("feature", ":")).where("p[0] in ('MATE', 'FOE')")
     named = terms.select("career_id", "metric", F.expr("if(p[0] = 'MATE', 'ALLY', 'FOE') as side"), F.expr("cast(p[1] as bigint) as subject"), F.expr("cast(p[2] as bigint) as other"), F.round("theta", 3).alias("effect"))
     return named.join(pair_observations(obs).where(F.col("observations") >= least), ["career_id", "side", "subject", "other"])

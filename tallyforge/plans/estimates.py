@@ -232,17 +232,17 @@ def e6_feature_projection(spark: SparkSession, d: str) -> DataFrame:
 @query(sql("select z.career_id, z.metric, kind || ':' || subject || ':' || other as feature, round(sum(w * z), 4) + 0.0 as moment, true as optimal from zz z join ft on ft.match_id = z.match_id and ft.champion_id = z.champion_id group by all", OBS + ",\n" + FEATURES))
 def e7_ridge(spark: SparkSession, d: str) -> DataFrame:
     """Per feature the right side of the normal equations, and whether the solution satisfies them."""
-    z = O.standardised(O.unpivoted(O.observations(I.weighted(spark, d))))
-    theta = O.ridge(z)
-    _, moment = O.normal_equations(z)
-    return moment.join(theta, (moment["career_id"] == theta["career_id"]) & (moment["metric"] == theta["metric"]) & (moment["j"] == theta["feature"])).select(moment["career_id"], moment["metric"], "feature", (F.round("m", 4) + 0.0).alias("moment"), (F.col("residual") < 1e-6).alias("optimal"))
+    o = O.observations(I.weighted(spark, d))
+    sums = O.normal_equations(O.wide_standardised(o)).where("k = -1").select("career_id", O.feature_name(F.col("j")).alias("feature"), *O.METRICS)
+    moment = sums.unpivot(["career_id", "feature"], list(O.METRICS), "metric", "m").where("m is not null")
+    return moment.join(O.ridge(o), ["career_id", "metric", "feature"]).select("career_id", "metric", "feature", (F.round("m", 4) + 0.0).alias("moment"), (F.col("residual") < 1e-6).alias("optimal"))
 
 
 @query(sql("select career_id, metric, count(*) as rows, true as better from zz group by all", OBS))
 def e8_squared_errors(spark: SparkSession, d: str) -> DataFrame:
     """Whether the fit's weighted squared error is below that of predicting zero."""
-    z = O.standardised(O.unpivoted(O.observations(I.weighted(spark, d))))
-    theta = O.ridge(z).select("career_id", "metric", "feature", "theta")
+    o = O.observations(I.weighted(spark, d))
+    z, theta = O.standardised(O.unpivoted(o)), O.ridge(o).select("career_id", "metric", "feature", "theta")
     long = z.withColumn("f", F.explode(O.features(z))).withColumn("feature", F.concat_ws(":", "f.kind", "f.subject", "f.other"))
     predicted = long.join(theta, ["career_id", "metric", "feature"], "left").groupBy("career_id", "metric", "match_id", "champion_id").agg(F.first("z").alias("z"), F.first("w").alias("w"), F.sum("theta").alias("p"))
     errors = predicted.groupBy("career_id", "metric").agg(F.count("*").alias("rows"), F.sum(F.col("w") * F.pow(F.col("z") - F.col("p"), 2)).alias("sse"), F.sum(F.col("w") * F.pow("z", F.lit(2))).alias("zero"))
