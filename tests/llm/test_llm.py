@@ -249,6 +249,28 @@ def test_native_plans(spark, sf, docs):
         assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
 
 
+def test_line_bands_across_lengths(spark):
+    """Similar lines of unequal length share a bucket, also around 96 characters, where short lines once were signed by other shingles."""
+    rng, rows, want = random.Random(6), [], {}
+    for short, longer in ((96, 97), (94, 99), (90, 104), (100, 115), (400, 460), (60, 70)):
+        for _ in range(40):
+            x = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=longer))
+            at = rng.randrange(short)
+            y = x[:at] + x[at + longer - short :]
+            a, b = ({z[i : i + 6] for i in range(len(z) - 5)} for z in (x, y))
+            if len(a & b) >= 0.8 * len(a | b):
+                want[len(rows)] = (short, longer)
+                rows += [(len(rows), x), (len(rows) + 1, y)]
+    bands = {}
+    for r in linedup._buckets(spark.createDataFrame(rows, "k long, line string")).collect():
+        bands.setdefault(r["k"], set()).add(r["band"])
+    found = [(size, bool(bands[k] & bands[k + 1])) for k, size in want.items()]
+    assert {size for size, _ in found} >= {(96, 97), (94, 99), (100, 115), (400, 460)}
+    for size in {s for s, _ in found}:
+        hit = [x for s, x in found if s == size]
+        assert sum(hit) >= 0.95 * len(hit), size
+
+
 # 7 simhash
 
 
