@@ -1,9 +1,10 @@
 """Chat formatting with DataFrame and SQL functions only.
 
-Records come as JSON text in any of several layouts. The nested field paths of a record are hashed,
-and the hash selects a declarative mapping to canonical turns (role, text). Turns are written with
-a template whose control strings cannot occur in texts: inside a text, each of them has a
-backslash put after its first character, and one that had backslashes there gets one more, which is reversible.
+Records come as JSON text in any of several layouts. The nested field paths of a record are hashed
+(from its skeleton, so that long texts and many turns may be in it), and the hash selects a declarative
+mapping to canonical turns (role, text). Turns are written with a template whose control strings cannot
+occur in texts: inside a text, each of them has a backslash put after its first character, and one
+that had backslashes there gets one more, which is reversible.
 """
 
 from __future__ import annotations
@@ -49,9 +50,20 @@ CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "[ROLE]",
 _REST = r"(/?(?:s>|INST\]|SYS>|ROLE\]))"
 
 
+def skeleton(record: str) -> Column:
+    """A JSON text with all string values emptied, and of equal flat objects in a row only the last.
+
+    It has the field paths of the record, but its size depends neither on the length of texts nor on the number
+    of like turns; a variant holds at most 128 MB and a string of 20 million characters.
+    """
+    plain = F.replace(F.replace(F.col(record), F.lit("\\\\"), F.lit("\\u005c")), F.lit('\\"'), F.lit("\\u0022"))
+    emptied = F.regexp_replace(plain, r'"(?:([^"]*+"\s*+:)|[^"]*+("))', '"$1$2')
+    return F.regexp_replace(emptied, r"(\{[^{}]*+\})\s*+,(?=\s*+\1)", "")
+
+
 def paths(record: str) -> Column:
-    """The nested field paths of a JSON text, in order of names, without value types; null if it is no JSON."""
-    return F.regexp_replace(F.schema_of_variant(F.try_parse_json(record)), r"(?<=[:<] ?)(?!OBJECT|ARRAY)[A-Z][A-Z0-9_(),]*", "")
+    """The nested field paths of a JSON text, in order of names, without value types; null if its skeleton is no JSON."""
+    return F.regexp_replace(F.schema_of_variant(F.try_parse_json(skeleton(record))), r"(?<=[:<] ?)(?!OBJECT|ARRAY)[A-Z][A-Z0-9_(),]*", "")
 
 
 def fingerprint(record: str) -> Column:
@@ -72,7 +84,9 @@ def canonical(records: DataFrame, record: str = "record", layouts: tuple[Layout,
     known = spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(x.name).alias("layout"), F.lit(x.example).alias("_e")) for x in layouts))))
     known = known.select("layout", fingerprint("_e").alias("_print"))
     marked = records.withColumn("_print", fingerprint(record)).join(F.broadcast(known), "_print", "left")  # one row a layout
-    parsed = marked.withColumn("r", F.from_json(record, RECORD, {"mode": "PERMISSIVE"}))
+    # What the skeleton leaves out may still be no JSON: such records are unknown.
+    parsed = marked.withColumn("r", F.from_json(record, f"{RECORD}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "maxStringLen": str(2**31 - 1)}))
+    parsed = parsed.withColumn("layout", F.when(F.col("r._bad").isNull(), F.col("layout")))
     turns = F.expr("case layout " + " ".join(f"when '{x.name}' then {x.turns}" for x in layouts) + " end")
     return parsed.withColumn("turns", turns).withColumn("layout", F.coalesce("layout", F.lit("unknown"))).drop("_print", "r")
 

@@ -414,6 +414,24 @@ def test_chat_layouts_and_escapes(spark):
     assert chat.digests(c.limit(0)).count() == 0
 
 
+def test_chat_long_texts(spark):
+    """A text of over 20 million characters, and a conversation of more turns than its skeleton has."""
+    n = 21_000_000
+    c = spark.sql(f"""select 1L as conv_id, 0L as turn, 'user' as role, repeat('ab"', {n // 3}) as text union all select 1L, 1L, 'assistant', 'yes'
+      union all select 3L, id, if(id % 2 = 0, 'user', 'assistant'), concat('turn ', id) from range(20000)""")
+    out = {r["conv_id"]: r for r in chat.digests(c).collect()}
+    told = "user\n" + 'ab"' * (n // 3) + "\nassistant\nyes\n"
+    assert (out[1]["n_turns"], out[1]["turns_sha256"], out[1]["formatted_chars"]) == (2, hashlib.sha256(told.encode()).hexdigest(), n + 3 + 22 + 7)
+    assert out[3]["n_turns"] == 20000
+    assert chat.records(c.where("conv_id = 3")).select(F.length(chat.skeleton("record"))).first()[0] < 200
+    raw = [
+        ("prompt", r'{"prompt":"a\\","completion":"\" : {,A"}'), ("unknown", r'{"prompt":"a\qb","completion":"c"}'), ("unknown", '{"prompt:":"a","completion":"c"}'),
+        ("unknown", '{"prompt":"a","completion":"c"'), ("unknown", '{"messages":[{"role":"a","content":"b"},{"role":"a","content":"b","more":"c"}]}'), ("prompt", '{"\\u0070rompt":"a","completion":"b"}'),
+    ]
+    got = chat.canonical(spark.createDataFrame(raw, "want string, record string")).collect()
+    assert all(r["want"] == r["layout"] and (r["turns"] is None) == (r["layout"] == "unknown") for r in got), got
+
+
 # 10 substrings
 
 
