@@ -106,20 +106,31 @@ def nested_cv(gram: DataFrame, keys: list[str], models: dict[str, tuple[str, ...
     def solve(part: pd.DataFrame) -> pd.DataFrame:
         names = np.unique(part["j"])
         folds = np.unique(part["fold"])
-        g = np.zeros((len(folds), len(names), len(names)))
         a, j, k = np.searchsorted(folds, part["fold"]), np.searchsorted(names, part["j"]), np.searchsorted(names, part["k"])
-        g[a, j, k] = part["v"]
-        g[a, k, j] = part["v"]
+        v = part["v"].to_numpy()
+
+        def dense(rows: np.ndarray) -> np.ndarray:
+            g = np.zeros((len(names), len(names)))
+            g[j[rows], k[rows]] = v[rows]
+            g[k[rows], j[rows]] = v[rows]
+            return g
+
         n = part[(part["j"] == "") & (part["k"] == "")].set_index("fold")["n"]
-        total, out = g.sum(0), []
+        total, out = np.zeros((len(names), len(names))), []
+        for f in range(len(folds)):  # one fold's matrix at a time
+            total += dense(a == f)
         kind = np.array([x.split(":")[0] for x in names])
-        for model, kinds in models.items():
-            use = np.flatnonzero(np.isin(kind, kinds))
-            ridge = np.array([penalties[x] for x in kind[use]])
-            for f, own in zip(folds, g, strict=True):
-                train = total - own
-                theta = np.linalg.solve(train[np.ix_(use, use)] + np.diag(ridge), train[use, 0]) if len(use) else np.zeros(0)
-                sse = own[0, 0] - 2 * theta @ own[use, 0] + theta @ own[np.ix_(use, use)] @ theta
+        for i, f in enumerate(folds):
+            own = dense(a == i)
+            for model, kinds in models.items():
+                use = np.flatnonzero(np.isin(kind, kinds))
+                theta = np.zeros(len(names))
+                if len(use):
+                    train = total[np.ix_(use, use)]
+                    train -= own[np.ix_(use, use)]
+                    train[np.diag_indices(len(use))] += [penalties[x] for x in kind[use]]
+                    theta[use] = np.linalg.solve(train, total[use, 0] - own[use, 0])
+                sse = own[0, 0] - 2 * theta @ own[:, 0] + theta @ own @ theta
                 out.append((*part[keys].iloc[0], model, int(f), float(sse), float(own[0, 0]), float(n[f])))
         return pd.DataFrame(out, columns=[*keys, "model", "fold", "sse", "zero", "n"])
 

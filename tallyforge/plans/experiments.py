@@ -84,7 +84,7 @@ def _outputs(spark: SparkSession, d: str) -> DataFrame:
     z = O.standardised(O.unpivoted(O.observations(I.weighted(spark, d))))
     keyed = z.withColumn("t", O.features(z)).withColumn("fold", (X.draw("match_id", SEED) % 4).cast("int"))
     term = F.expr("transform(array_distinct(t), f -> struct(concat_ws(':', f.kind, f.subject, f.other) as f, cast(size(filter(t, g -> g = f)) as double) as m))")
-    return X.gram_by_fold(keyed.where("career_id = 1 and metric in ('dealing', 'deaths')"), ["metric"], term, "z", "w")
+    return X.gram_by_fold(keyed, ["career_id", "metric"], term, "z", "w")
 
 
 PENALTIES = {"TEAM": 64.0, "MATE_ROLE": 16.0, "FOE_ROLE": 16.0, "MATE": 16.0, "FOE": 16.0}
@@ -94,13 +94,13 @@ PENALTIES = {"TEAM": 64.0, "MATE_ROLE": 16.0, "FOE_ROLE": 16.0, "MATE": 16.0, "F
 def j8_output_models(spark: SparkSession, d: str) -> DataFrame:
     """Nested models of standardised outputs, held out by contest."""
     models = {"P0": (), "P1": ("TEAM",), "P2": ("TEAM", "FOE"), "P3": ("TEAM", "MATE"), "P4": ("TEAM", "MATE", "FOE")}
-    return X.nested_cv(_outputs(spark, d), ["metric"], models, PENALTIES, "metric string").groupBy("metric", "model").agg(F.sum("sse").alias("sse"), F.sum("n").alias("weight"))
+    return X.nested_cv(_outputs(spark, d), ["career_id", "metric"], models, PENALTIES, "career_id int, metric string").groupBy("career_id", "metric", "model").agg(F.sum("sse").alias("sse"), F.sum("n").alias("weight"))
 
 
 @query()
 def j9_role_ladder(spark: SparkSession, d: str) -> DataFrame:
     models = {"R0": (), "R1": ("TEAM",), "R2": ("TEAM", "MATE_ROLE", "FOE_ROLE"), "R3": ("TEAM", "MATE_ROLE", "FOE_ROLE", "MATE"), "R4": ("TEAM", "MATE_ROLE", "FOE_ROLE", "MATE", "FOE")}
-    return X.nested_cv(_outputs(spark, d), ["metric"], models, PENALTIES, "metric string").groupBy("metric", "model").agg(F.sum("sse").alias("sse"), F.sum("n").alias("weight"))
+    return X.nested_cv(_outputs(spark, d), ["career_id", "metric"], models, PENALTIES, "career_id int, metric string").groupBy("career_id", "metric", "model").agg(F.sum("sse").alias("sse"), F.sum("n").alias("weight"))
 
 
 SIDES = V.SQL + """,

@@ -11,6 +11,7 @@ from tallyforge.operators import normalize as N
 from tallyforge.operators import season as S
 from tallyforge.operators import serving as V
 from tallyforge.plans import inputs as I
+from tallyforge.plans import registry
 from tallyforge.sources import ledger as L
 from tallyforge.streaming import ingest
 
@@ -142,3 +143,17 @@ def test_invariants(spark, sf):
     t = I.tiers(spark, sf).where("include_scrim").groupBy("career_id").agg(F.sum("pick_rate").alias("p")).collect()
     assert all(abs(r["p"] - 8) < 0.01 for r in t)
     assert N.unknown_entities(f, f.select("champion_id")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["j8_output_models", "j9_role_ladder"])
+def test_output_models_cover_all_careers_and_metrics(spark, sf, name):
+    z = O.standardised(O.unpivoted(O.observations(I.weighted(spark, sf))))
+    want = {(r["career_id"], r["metric"]): r for r in z.groupBy("career_id", "metric").agg(F.sum("w").alias("weight"), F.sum(F.col("w") * F.col("z") * F.col("z")).alias("sse")).collect()}
+    assert len(want) == 12
+    out = registry.queries()[name](spark, sf).collect()
+    assert len(out) == 5 * len(want)
+    for r in out:
+        w = want[r["career_id"], r["metric"]]
+        assert r["weight"] == pytest.approx(w["weight"])
+        if r["model"] in ("P0", "R0"):
+            assert r["sse"] == pytest.approx(w["sse"])
