@@ -1,6 +1,6 @@
 """From documents to packed training sequences: five stages, each written as Parquet and read by the next.
 
-Quality rules, fuzzy line deduplication, SimHash near-duplicates, substring deduplication, packing. Each stage
+Quality rules, fuzzy line deduplication, near-duplicates by five-word shingles, substring deduplication, packing. Each stage
 works on all rows that the one before kept and returns the columns of documents; the last returns
 the pieces of packed sequences.
 """
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import linedup, packing, rlz, rules, simhash
+from tallyforge.llm import linedup, neardup, packing, rlz, rules
 from tallyforge.llm.common import stored, table
 
 
@@ -24,8 +24,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component."""
-    return simhash.keep_first(docs)
+    """One document of each component of five-word Jaccard similarity 0.8 or more."""
+    return neardup.keep_first(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -473,6 +473,31 @@ def test_substring_seams(spark):
 # pipeline
 
 
+def test_near_dedup_finds_near_copies(spark, sf):
+    import corpus_pipeline as p
+
+    def sets(w):
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    rng, data, near = random.Random(7), [], {}
+    for n, changed in ((100, 1), (100, 2), (300, 3), (300, 5), (1000, 3), (100, 8)):
+        for _ in range(20):
+            w = [f"w{rng.randrange(5000)}" for _ in range(n)]
+            v = list(w)
+            for i in rng.sample(range(n), changed):
+                v[i] = "other"
+            b = len(sets(v) & sets(w))
+            near[len(data) + 1] = b >= 0.8 * (len(sets(v)) + len(sets(w)) - b)
+            data += [(len(data), " ".join(w)), (len(data) + 1, " ".join(v))]
+    kept = {r["doc_id"] for r in p.near_dedup(spark, spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in data], SCHEMA), sf).collect()}
+    assert {i for i in range(0, len(data), 2)} <= kept and {i for i, x in near.items() if not x} <= kept
+    assert sum(near.values()) > 60 and sum(i not in kept for i, x in near.items() if x) >= 0.97 * sum(near.values())
+    e = edge(spark)
+    out = p.near_dedup(spark, e, sf)
+    assert out.columns == e.columns and sorted(str(r["doc_id"]) for r in out.select("doc_id").collect()) == ["1", "3", "6", "7", "8", "None"]
+    assert p.near_dedup(spark, empty(spark), sf).count() == 0
+
+
 def test_pipeline_steps(spark, sf, docs):
     import corpus_pipeline as p
 
