@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -44,17 +45,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return made
 
 
+def delete(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete stored tables that nothing will read again."""
+    for t in tables:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete stored tables that nothing will read again, and let Spark drop shuffle files of finished queries.
 
     Spark's cleaner removes shuffle files once the driver has collected the objects that refer to them.
     """
-    jvm = spark.sparkContext._jvm
-    for t in tables:
-        path = jvm.org.apache.hadoop.fs.Path(t.stored_at)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, *tables)
     gc.collect()
-    jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,33 +84,85 @@ def groups_for(rows: int, per_group: int) -> int:
     return max(1, -(-rows // per_group))
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of the links (a, b): rows (node, component), component = smallest node.
 
-    Distributed union-find by alternating large-star and small-star rounds. A round is two grouped
+    Distributed union-find by alternating large-star and small-star rounds until nothing changes. A round is two grouped
     minima (combined before the shuffle) and two equi-joins whose skewed sides Spark can split, so
-    a hub is never collected. Every round is written to the shared folder; the driver sees
+    a hub is never collected. Every round is written to the shared folder, and the one before is deleted; the driver sees
     only a checksum. Nodes without links do not appear. The node type must have an order.
     """
+    spark = edges.sparkSession
     e = stored(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(),
         "links",
     )
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least, "a")
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        e = stored(small.where("a <> b").distinct(), "links")
+        old, e = e, stored(small.where("a <> b").distinct(), "links")
+        delete(spark, old)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if now == before:
+        if now == before or not now[0]:
             break
         before = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )
+
+
+#: How many times more pivots of a band each round of ``clusters`` takes.
+PIVOTS_GROW = 8
+
+
+def clusters(members: DataFrame, similar: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Components (node, component) of the similar pairs among rows (band, k) that share a band.
+
+    ``similar`` gets pairs with the columns a and b and returns those that are similar. Pairs are compared only while their
+    ends lie in different components. First each row is compared with one other, then the rows of a band that
+    still has several components with some of its members (pivots), of whom there are more each round, until every
+    member has been one. So no pair of a band is left out that could still join two components, and
+    a group of near copies costs about one comparison a row. What is kept in between are tables in the shared folder.
+    """
+    spark = members.sparkSession
+    low = members.groupBy("band").agg(F.min("k").alias("p"), F.max("k").alias("high")).where("p < high").select("band", "p")
+    live = stored(members.join(low, "band").select("band", "k", "p"), "cluster-bands")
+    first = live.where("k <> p").groupBy("k").agg(F.min("p").alias("b")).select(F.col("k").alias("a"), "b")
+    tried = [stored(first, "cluster-pairs")]
+    found = [stored(similar(tried[0]), "cluster-links")]
+    label = components(found[0])
+    old, live = live, live.join(label, live["k"] == label["node"], "left").select("band", "k", F.coalesce("component", "k").alias("c"))
+    used: list[DataFrame] = []
+    pivots_per_band = 1
+    while True:
+        several = live.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band")
+        live = stored(live.join(several, "band"), "cluster-live")
+        delete(spark, old)
+        old, free = live, live
+        for u in used:
+            free = free.join(u.select("band", F.col("p").alias("k")), ["band", "k"], "left_anti")
+        each = free.groupBy("band", F.pmod(F.xxhash64("k"), F.lit(pivots_per_band)).alias("salt")).agg(F.min(F.struct("k", "c")).alias("z"))
+        pivots = stored(each.select("band", F.col("z.k").alias("p"), F.col("z.c").alias("pc")), "cluster-pivots")
+        if pivots.isEmpty():
+            break
+        pairs = pivots.join(live, "band").where("pc <> c").select(F.greatest("k", "p").alias("a"), F.least("k", "p").alias("b"), F.least("pc", "c").alias("ca"), F.greatest("pc", "c").alias("cb")).distinct()
+        for t in tried:
+            pairs = pairs.join(t.select("a", "b"), ["a", "b"], "left_anti")
+        tried.append(stored(pairs, "cluster-pairs"))
+        used.append(pivots)
+        pivots_per_band *= PIVOTS_GROW
+        new = stored(similar(tried[-1]), "cluster-links")
+        if not new.isEmpty():
+            found.append(new.select("a", "b"))
+            found[-1].stored_at = new.stored_at
+            joined = components(new.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+            live = live.join(joined, live["c"] == joined["node"], "left").select("band", "k", F.coalesce("component", "c").alias("c"))
+    if len(found) > 1:
+        label = components(reduce(DataFrame.unionByName, found))
+    delete(spark, old, pivots, *tried, *used, *found)
+    return label
