@@ -138,17 +138,20 @@ def compiled(path: str) -> tuple[MergeAutomaton, CachedEncoder]:
     words = regex.compile(PATTERN)
     known: dict[str, list[int]] = {}
 
-    def encode(new: list[str]) -> Iterator[list[int]]:
+    def encode(new: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         if len(known) > CACHE_PIECES:
             known.clear()
+        ids: list[int] = []
+        size = []
         for piece in new:
-            ids: list[int] = []
+            before = len(ids)
             for w in words.findall(piece):
                 path = known.get(w)
                 if path is None:
                     path = known[w] = machine.encode_word(w.encode())
                 ids += path
-            yield ids
+            size.append(len(ids) - before)
+        return new, np.array(ids, np.uint32), np.array(size, np.int64)
 
     return machine, CachedEncoder(encode, special)
 

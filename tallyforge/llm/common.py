@@ -116,53 +116,59 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
-#: How many times more pivots of a band each round of ``clusters`` takes.
-PIVOTS_GROW = 8
+#: A large band gets another hub as long as at least one in so many of its rows joined another component.
+MOVING = 16
+#: In bands of up to so many rows all pairs of different components are compared.
+SMALL_BAND = 8
 
 
 def clusters(members: DataFrame, similar: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Components (node, component) of the similar pairs among rows (band, k) that share a band.
+    """Components (node, component) of similar pairs among rows (band, k) that share a band.
 
     ``similar`` gets pairs with the columns a and b and returns those that are similar. Pairs are compared only while their
-    ends lie in different components. First each row is compared with one other, then the rows of a band that
-    still has several components with some of its members (pivots), of whom there are more each round, until every
-    member has been one. So no pair of a band is left out that could still join two components, and
-    a group of near copies costs about one comparison a row. What is kept in between are tables in the shared folder.
+    ends lie in different components. The copies of one original resemble it more than each other, and it shares bands with most of
+    them. So the row whose bands hold the most rows (the hub) is compared with the others of a band: first each row with the greatest
+    hub of its bands, then each band's rows with its hub as long as the band has several components. Bands of up to SMALL_BAND rows
+    compare all pairs that are left; in a larger band the next hub follows as long as enough of its rows joined others.
+    So the comparisons grow with the rows and not with the pairs of a band.
     """
     spark = members.sparkSession
-    low = members.groupBy("band").agg(F.min("k").alias("p"), F.max("k").alias("high")).where("p < high").select("band", "p")
-    live = stored(members.join(low, "band").select("band", "k", "p"), "cluster-bands")
-    first = live.where("k <> p").groupBy("k").agg(F.min("p").alias("b")).select(F.col("k").alias("a"), "b")
-    tried = [stored(first, "cluster-pairs")]
+    size = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    sized = stored(members.join(size, "band"), "cluster-sizes")
+    weight = sized.groupBy("k").agg(F.sum("n").alias("g"))
+    shared = stored(sized.join(weight, "k").select("band", "k", "n", "g"), "cluster-bands")
+    delete(spark, sized)
+    hub = F.struct("g", "k")
+    hubs = shared.groupBy("band").agg(F.max(hub).alias("hub"))
+    best = shared.join(hubs, "band").groupBy("k").agg(F.max("hub").alias("hub"))
+    tried = [stored(best.where("hub.k <> k").select(F.greatest("k", "hub.k").alias("a"), F.least("k", "hub.k").alias("b")).distinct(), "cluster-pairs")]
     found = [stored(similar(tried[0]), "cluster-links")]
-    label = components(found[0])
-    old, live = live, live.join(label, live["k"] == label["node"], "left").select("band", "k", F.coalesce("component", "k").alias("c"))
-    used: list[DataFrame] = []
-    pivots_per_band = 1
+    first = components(found[0])
+    live = shared.join(first, shared["k"] == first["node"], "left").select("band", "k", "n", "g", F.coalesce("component", "k").alias("c"), F.lit(True).alias("moved"))
+    old = shared
     while True:
-        several = live.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band")
-        live = stored(live.join(several, "band"), "cluster-live")
+        several = live.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), (F.count_if("moved") * MOVING >= F.count("*")).alias("on")).where("low < high and on").select("band")
+        now = stored(live.join(several, "band").select("band", "k", "n", "g", "c"), "cluster-live")
         delete(spark, old)
-        old, free = live, live
-        for u in used:
-            free = free.join(u.select("band", F.col("p").alias("k")), ["band", "k"], "left_anti")
-        each = free.groupBy("band", F.pmod(F.xxhash64("k"), F.lit(pivots_per_band)).alias("salt")).agg(F.min(F.struct("k", "c")).alias("z"))
-        pivots = stored(each.select("band", F.col("z.k").alias("p"), F.col("z.c").alias("pc")), "cluster-pivots")
-        if pivots.isEmpty():
-            break
-        pairs = pivots.join(live, "band").where("pc <> c").select(F.greatest("k", "p").alias("a"), F.least("k", "p").alias("b"), F.least("pc", "c").alias("ca"), F.greatest("pc", "c").alias("cb")).distinct()
+        old, small, large = now, now.where(f"n <= {SMALL_BAND}"), now.where(f"n > {SMALL_BAND}")
+        hubs = stored(large.groupBy("band").agg(F.max(F.struct("g", "k", "c")).alias("hub")).select("band", F.col("hub.k").alias("p"), F.col("hub.c").alias("pc")), "cluster-hubs")
+        ends = F.greatest("k", "p").alias("a"), F.least("k", "p").alias("b"), F.least("pc", "c").alias("ca"), F.greatest("pc", "c").alias("cb")
+        pairs = large.join(hubs, "band").where("pc <> c").select(*ends)
+        if len(tried) == 1:
+            pairs = pairs.unionByName(small.join(small.select("band", F.col("k").alias("p"), F.col("c").alias("pc")), "band").where("pc <> c and p < k").select(*ends))
+        pairs = pairs.distinct()
         for t in tried:
             pairs = pairs.join(t.select("a", "b"), ["a", "b"], "left_anti")
         tried.append(stored(pairs, "cluster-pairs"))
-        used.append(pivots)
-        pivots_per_band *= PIVOTS_GROW
         new = stored(similar(tried[-1]), "cluster-links")
-        if not new.isEmpty():
-            found.append(new.select("a", "b"))
-            found[-1].stored_at = new.stored_at
-            joined = components(new.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-            live = live.join(joined, live["c"] == joined["node"], "left").select("band", "k", F.coalesce("component", "c").alias("c"))
+        if new.isEmpty():
+            delete(spark, old, hubs, new)
+            break
+        found.append(new)
+        joined = components(new.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        rest = large.join(hubs.select("band", F.col("p").alias("k")), ["band", "k"], "left_anti")
+        live = rest.join(joined, rest["c"] == joined["node"], "left").select("band", "k", "n", "g", F.coalesce("component", "c").alias("c"), F.col("node").isNotNull().alias("moved"))
     if len(found) > 1:
-        label = components(reduce(DataFrame.unionByName, found))
-    delete(spark, old, pivots, *tried, *used, *found)
-    return label
+        first = components(reduce(DataFrame.unionByName, (x.select("a", "b") for x in found)))
+    delete(spark, *tried, *found)
+    return first
