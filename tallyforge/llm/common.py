@@ -21,12 +21,11 @@ WORD_BYTES = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    A folder of this machine is used only where the session names none, as in tests.
-    """
+    """The folder that driver and executors share: spark.checkpoint.dir. A session of one machine that names none gets a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tallyforge-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -79,6 +78,14 @@ def with_columns(schema: T.StructType, fields: list[T.StructField], compute: Cal
     return run
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """``name``, with underscores appended until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def groups_for(rows: int, per_group: int) -> int:
     """How many groups keep each at about ``per_group`` rows."""
     return max(1, -(-rows // per_group))

@@ -1,15 +1,16 @@
 """Token ids as compressed binary blocks: an adaptive context-mixing range coder.
 
 A block holds up to BLOCK_IDS consecutive ids of whole or cut documents, starts from a fresh model and has
-its own checksums, so each can be read alone. Models of order 2 and 1 remember for each
-context the id that followed it and how sure that is; the surer one predicts the next id. Whether
-it is right is one binary decision, whose probability mixes what each order and the recent hits
-say (logistic mixing with integer weights that learn). A missed id is coded as two bytes by adaptive
-order-0 frequencies. All blocks of a batch advance together, one array lane each.
+its own checksums, so each can be read alone. Models of order 2 and 1 remember for each context the id
+that followed it and how sure that is; order 0 knows the id that the block has had most often. The highest order that is
+sure predicts the next id. Whether it is right is one binary decision, whose probability mixes what each of the three orders
+and the recent hits say (logistic mixing with integer weights that learn). A missed id is coded as two bytes
+by adaptive frequencies; ids from 65535 on follow an escape as four plain bytes. All blocks of a batch advance
+together, one array lane each.
 
 Block layout, little-endian: magic, ids u32, documents u32, words u32, crc32 of the ids u32, crc32 of
 the rest u32; per document its number in the part u64, id i64 with a null flag u8, ids u32; then 16-bit words of
-the coder.
+the coder. Blocks are rows of a Parquet table, since tasks reach a cluster's store through Spark's writers only.
 """
 
 from __future__ import annotations
@@ -30,29 +31,35 @@ from .tokens import default_path, library_encoder
 
 MAGIC = b"TFCM"
 BLOCK_IDS = 8192
-LANES = 1024
+LANES = 512
 DOCS_PER_PART = 8192
 _HEAD = struct.Struct("<4sIIIII")
 _DOC = np.dtype([("number", "<u8"), ("doc_id", "<i8"), ("null", "u1"), ("n", "<u4")])
 _SLOTS1, _SLOTS2 = 2048, 4096
 _REBUILD = 512
 _TOTAL_BITS = 13
+#: Ids from here on are coded as this one, and then plainly.
+_ESCAPE = 65535
 _U = np.uint64
 _stretch = np.round(256 * np.log((np.arange(4096) + 0.5) / (4095.5 - np.arange(4096)))).astype(np.int64).clip(-2047, 2047)
 _squash = np.round(4096 / (1 + np.exp(-np.arange(-2048, 2048) / 256))).astype(np.int64).clip(1, 4095)
 
 
 class Model:
-    """The state of all lanes. Lanes are ordered by falling length, so the first n are those still running."""
+    """The state of all lanes, in flat arrays. Lanes are ordered by falling length, so the first n are those still running."""
 
     def __init__(self, lanes: int):
         self.lane = np.arange(lanes)
-        self.guess = [np.full((lanes, s), -1, np.int32) for s in (_SLOTS1, _SLOTS2)]
-        self.sure = [np.zeros((lanes, s), np.int8) for s in (_SLOTS1, _SLOTS2)]
+        self.base = [self.lane * s for s in (_SLOTS1, _SLOTS2)]
+        self.guess = [np.zeros(lanes * s, np.uint32) for s in (_SLOTS1, _SLOTS2)]
+        self.sure = [np.zeros(lanes * s, np.int8) for s in (_SLOTS1, _SLOTS2)]
+        self.seen, self.most, self.often = np.zeros(lanes * _SLOTS1, np.int16), np.zeros(lanes, np.int64), np.zeros(lanes, np.int16)
+        self.right0 = np.zeros(lanes, np.int64)
         self.last = np.zeros((2, lanes), np.int64)
         self.hits = np.zeros(lanes, np.int64)
-        self.chance = [np.full((lanes, 16), 512, np.int64) for _ in range(3)]
-        self.weight = np.full((3, lanes), 22000, np.int64)
+        self.chance = [np.full(lanes * 16, 512, np.int64) for _ in range(4)]
+        self.cells = self.lane * 16
+        self.weight = np.full((4, lanes), 17000, np.int64)
         self.count = [np.ones((lanes, 256), np.int64) for _ in range(2)]
         self.rebuild()
 
@@ -72,39 +79,58 @@ class Model:
 
     def predict(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(predicted id, 15-bit probability that it is right) of the first n lanes."""
-        k, one, two = self.lane[:n], self.last[0, :n], self.last[1, :n]
-        self.at = [(one * 40503 >> 4) % _SLOTS1, ((one * 40503 + two * 30011) >> 4) % _SLOTS2]
-        self.said = [self.guess[o][k, self.at[o]] for o in (0, 1)]
-        self.trust = [self.sure[o][k, self.at[o]].astype(np.int64) for o in (0, 1)]
-        pick = np.where((self.trust[1] > 0) | (self.said[0] < 0), self.said[1], self.said[0])
-        agree = (self.said[0] == self.said[1]).astype(np.int64)
-        self.cell = [self.trust[0] + 8 * agree, self.trust[1] + 8 * agree, self.hits[:n] & 15]
-        self.input = [_stretch[self.chance[j][k, self.cell[j]]] for j in range(3)]
-        w = self.weight
-        dot = (w[0, :n] * self.input[0] + w[1, :n] * self.input[1] + w[2, :n] * self.input[2]) >> 16
-        self.p = _squash[dot.clip(-2048, 2047) + 2048]
-        return pick, (self.p << 3).clip(64, 32704)
+        one, two = self.last[0, :n] * 40503, self.last[1, :n] * 30011
+        two += one
+        one >>= 4
+        two >>= 4
+        one &= _SLOTS1 - 1
+        two &= _SLOTS2 - 1
+        self.at = [self.base[0][:n] + one, self.base[1][:n] + two]
+        self.said = [self.guess[o].take(self.at[o]).astype(np.int64) for o in (0, 1)]
+        self.trust = [self.sure[o].take(self.at[o]).astype(np.int64) for o in (0, 1)]
+        zero = self.most[:n]
+        pick = np.where(self.trust[1] > 0, self.said[1], np.where(self.trust[0] > 0, self.said[0], zero))
+        agree = (self.said[0] == self.said[1]).astype(np.int64) << 3
+        cells = self.cells[:n]
+        self.cell = [cells + self.trust[0] + agree, cells + self.trust[1] + agree, cells + self.hits[:n], cells + self.right0[:n] + ((zero == pick).astype(np.int64) << 3)]
+        self.old = [self.chance[j].take(self.cell[j]) for j in range(4)]
+        self.input = [_stretch.take(x) for x in self.old]
+        w, x = self.weight, self.input
+        dot = w[0, :n] * x[0]
+        for j in range(1, 4):
+            dot += w[j, :n] * x[j]
+        dot >>= 16
+        self.p = _squash.take(np.minimum(np.maximum(dot, -2048), 2047) + 2048)
+        return pick, np.minimum(np.maximum(self.p << 3, 64), 32704)
 
     def learn(self, n: int, ids: np.ndarray, pick: np.ndarray) -> None:
-        k = self.lane[:n]
         hit = (ids == pick).astype(np.int64)
-        error = (hit << 12) - self.p
-        for j in range(3):
-            cell, chance = self.cell[j], self.chance[j]
-            old = chance[k, cell]
-            chance[k, cell] = old + (((hit * 4095) - old) >> 5)
+        error, goal = (hit << 12) - self.p, hit * 4095
+        for j in range(4):
+            self.chance[j][self.cell[j]] = self.old[j] + ((goal - self.old[j]) >> 5)
             self.weight[j, :n] += (self.input[j] * error) >> 9
         for o in (0, 1):
             right = self.said[o] == ids
             trust = np.where(right, np.minimum(self.trust[o] + 1, 7), self.trust[o] >> 1)
-            self.sure[o][k, self.at[o]] = np.where(~right & (trust == 0), 1, trust)
-            self.guess[o][k, self.at[o]] = np.where(~right & (trust == 0), ids, self.said[o])
+            new = trust == 0
+            new &= ~right
+            self.sure[o][self.at[o]] = trust + new
+            self.guess[o][self.at[o]] = np.where(new, ids, self.said[o])
+        zero = ids == self.most[:n]
+        self.right0[:n] = np.where(zero, np.minimum(self.right0[:n] + 1, 7), self.right0[:n] >> 1)
+        at = self.base[0][:n] + (ids * 40503 >> 4 & _SLOTS1 - 1)
+        seen = self.seen.take(at) + np.int16(1)
+        self.seen[at] = seen
+        more = seen > self.often[:n]
+        self.often[:n] = np.where(more, seen, self.often[:n])
+        self.most[:n] = np.where(more, ids, self.most[:n])
         self.hits[:n] = self.hits[:n] << 1 & 15 | hit
         self.last[1, :n] = self.last[0, :n]
         self.last[0, :n] = ids
         miss = np.flatnonzero(hit == 0)
-        self.count[0][miss, ids[miss] >> 8] += 24
-        self.count[1][miss, ids[miss] & 255] += 24
+        small = np.minimum(ids[miss], _ESCAPE)
+        self.count[0][miss, small >> 8] += 24
+        self.count[1][miss, small & 255] += 24
 
 
 def _order(sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -115,16 +141,16 @@ def _order(sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[np.ndarray]:
-    """The 16-bit words of each block of ids (below 65536)."""
+    """The 16-bit words of each block of ids (unsigned 32-bit)."""
     lanes, running = _order([*map(len, blocks)])
     if not len(running):
         return [np.zeros(0, np.uint16) for _ in blocks]
-    ids = np.zeros((len(running), len(blocks)), np.int32)
+    ids = np.zeros((len(running), len(blocks)), np.uint32)
     for c, b in enumerate(lanes):
         ids[: len(blocks[b]), c] = blocks[b]
     m = Model(len(blocks))
     low, wide = np.zeros(len(blocks), np.uint64), np.full(len(blocks), (1 << 48) - 1, np.uint64)
-    out, at = np.zeros((len(blocks), 3 * len(running) + 4), np.uint16), np.zeros(len(blocks), np.int64)
+    out, at = np.zeros((len(blocks), 5 * len(running) + 4), np.uint16), np.zeros(len(blocks), np.int64)
 
     def emit(k: np.ndarray) -> None:
         carried = k[low[k] >> _U(48) > 0]
@@ -154,12 +180,18 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[np.ndarray]:
         emit(m.lane[:n])
         miss = np.flatnonzero(~hit)
         if len(miss):
-            for j, s in enumerate((now[miss] >> 8, now[miss] & 255)):
+            small = np.minimum(now[miss], _ESCAPE)
+            for j, s in enumerate((small >> 8, small & 255)):
                 part = wide[miss] >> _U(_TOTAL_BITS)
                 a = m.start[j][miss, s].astype(np.uint64)
                 low[miss] += part * a
                 wide[miss] = part * (m.start[j][miss, s + 1].astype(np.uint64) - a)
                 emit(miss)
+            large = miss[small == _ESCAPE]
+            for shift in (16, 0) if len(large) else ():
+                wide[large] >>= _U(16)
+                low[large] += wide[large] * ((now[large] >> shift) & 65535).astype(np.uint64)
+                emit(large)
         m.learn(n, now, pick)
     for _ in range(3):
         wide[:] = 0
@@ -178,7 +210,7 @@ def decode_blocks(words: list[np.ndarray], sizes: list[int]) -> list[np.ndarray]
     given = np.zeros((len(words), max(map(len, words)) + 4), np.uint16)
     for c, b in enumerate(lanes):
         given[c, : len(words[b])] = words[b]
-    ids = np.zeros((len(running), len(words)), np.int32)
+    ids = np.zeros((len(running), len(words)), np.uint32)
     m = Model(len(words))
     head = given[:, :3].astype(np.uint64)
     code = (head[:, 0] << _U(32)) | (head[:, 1] << _U(16)) | head[:, 2]
@@ -214,6 +246,15 @@ def decode_blocks(words: list[np.ndarray], sizes: list[int]) -> list[np.ndarray]
                 take(miss)
                 value = value << 8 | s
             now[miss] = value
+            large = miss[value == _ESCAPE]
+            if len(large):
+                now[large] = 0
+            for _ in (16, 0) if len(large) else ():
+                wide[large] >>= _U(16)
+                v = np.minimum(code[large] // wide[large], _U(65535))
+                code[large] -= wide[large] * v
+                now[large] = now[large] << 16 | v.astype(np.int64)
+                take(large)
         ids[t, :n] = now
         m.learn(n, now, pick)
     result: list[np.ndarray] = [np.zeros(0, np.int64)] * len(words)

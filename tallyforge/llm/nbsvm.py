@@ -156,14 +156,26 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
         return Model(np.zeros(SIZE, np.float32), np.ones(SIZE, np.float32), 0.0, 1.0, 0.0)
     ratio = log_ratios(counts)
     # The sample is drawn from the labels alone: its size is proven, so it may be broadcast.
-    drawn = labels.orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit("fit")), "doc_id").limit(fit_rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select(F.col("text"), F.col("y").cast("int").alias("y"), F.col("doc_id").cast("string").alias("k"), F.lit(0).alias("one"))
+    # Twice as many labels as needed pass a bound on the hash; only those are sorted, so no partition sends fit_rows of its own.
+    draw = F.xxhash64(F.col("doc_id").cast("string"), F.lit("fit"))
+    share = min(1.0, 2 * fit_rows / max(1.0, n.sum()))
+    drawn = labels.where(draw <= F.lit(int(-(1 << 63) + share * ((1 << 64) - 1)))).orderBy(draw, "doc_id").limit(fit_rows)
+    texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", F.col("y").cast("int").alias("y"), F.col("doc_id").cast("string").alias("k"))
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.zeros(SIZE, np.uint8)
+        for b in batches:
+            found = [indicators(x.as_py(), flags) for x in b.column(0)]
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([0] * len(found), pa.int32()), pa.array([x.tobytes() for x in found], pa.binary())], names=["y", "k", "one", "marks"])
+
+    # What meets in one task are at most fit_rows rows of at most SIZE indicators, however long the texts are.
+    sample = texts.mapInArrow(marks, "y int, k string, one int, marks binary")
 
     def learn(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["k", "text", "y"], ignore_index=True)
-        flags, x = np.zeros(SIZE, np.uint8), []
-        for t in rows["text"]:
-            i = indicators(t, flags)
+        rows = rows.sort_values(["k", "marks", "y"], ignore_index=True)
+        x = []
+        for m in rows["marks"]:
+            i = np.frombuffer(bytes(m), np.int32)
             v = ratio[i]
             x.append((i, v / np.sqrt(max(v @ v, 1e-12))))
         y = rows["y"].to_numpy()

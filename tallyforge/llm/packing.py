@@ -1,7 +1,7 @@
 """Vector bin packing of training examples into sequences.
 
 Every sequence has three limits at once: tokens, segments and loss-bearing tokens. Pieces are dealt
-to groups of bounded size by a hash; each group fills one sequence at a time and always
+to groups of bounded size at random; each group fills one sequence at a time and always
 takes the fitting piece whose demand vector has the largest dot product with what the sequence has
 left (each dimension weighted by its mean demand). Pieces with equal vectors are one class, so a
 step looks at classes and not at pieces.
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import groups_for
+from .common import fresh, groups_for, stored
 from .tokens import default_path, library_encoder
 
 LIMITS = (1024, 256, 1024)
@@ -65,22 +65,23 @@ def fill(tokens: np.ndarray, loss: np.ndarray, limits: tuple[int, int, int]) ->
     return sequence, offset
 
 
-def pack(pieces: DataFrame, tokens: str, loss: str, groups: int, limits: tuple[int, int, int] = LIMITS) -> DataFrame:
+def pack(pieces: DataFrame, tokens: str, loss: str, limits: tuple[int, int, int] = LIMITS) -> DataFrame:
     """Adds sequence_id and offset (longs) to rows of at most ``limits`` each.
 
-    ``groups`` should keep a group at about PIECES_PER_GROUP rows, as the group is what one task holds.
-    Rows are spread over groups by a hash of all columns; equal rows are told apart by order.
+    Rows are numbered and stored, and dealt by a hash of their numbers to groups of about PIECES_PER_GROUP rows, as a group is what
+    one task holds; equal rows go to different groups like any others. Columns of ``pieces`` may have any name but those two.
     """
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    group, order = "_pack_group", [*pieces.columns]
+    number, group = fresh("number", pieces.columns), fresh("group", pieces.columns)
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop(columns=group).sort_values(order, ignore_index=True)
+        rows = rows.sort_values(number, ignore_index=True).drop(columns=[group, number])
         sequence, offset = fill(rows[tokens].to_numpy(np.int64), rows[loss].to_numpy(np.int64), limits)
         return rows.assign(sequence_id=(int(key[0]) << 32) + sequence, offset=offset)
 
-    dealt = pieces.withColumn(group, F.pmod(F.xxhash64(*pieces.columns), F.lit(groups)))
-    return dealt.groupBy(group).applyInPandas(run, schema)
+    numbered = stored(pieces.withColumn(number, F.monotonically_increasing_id()), "pieces")
+    groups = groups_for(numbered.count(), PIECES_PER_GROUP)
+    return numbered.withColumn(group, F.pmod(F.xxhash64(number), F.lit(groups))).groupBy(group).applyInPandas(run, schema)
 
 
 def cut_documents(docs: DataFrame, path: str, length: int, end_id: int = 0) -> DataFrame:
@@ -111,4 +112,4 @@ def pack_documents(docs: DataFrame, path: str | None = None, limits: tuple[int,
     packed as documents of their own.
     """
     cut = cut_documents(docs, path or default_path(), min(limits[0], limits[2]))
-    return pack(cut, "length", "length", groups_for(docs.count(), PIECES_PER_GROUP // 2), limits)
+    return pack(cut, "length", "length", limits)

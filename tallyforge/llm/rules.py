@@ -74,7 +74,8 @@ def statistics(text: str | None) -> tuple:
 
 
 def document_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with the statistics of each text appended; no shuffle."""
+    """``docs`` with the statistics of each text appended (``_s_`` and a name); no shuffle. A null text has no words. Columns of
+    ``docs`` must not have these names: ``judge`` sees to it."""
     at = docs.columns.index(text_col)
     fields = [*(T.StructField(f"_s_{c}", T.LongType()) for c in COUNTS), *(T.StructField(f"_s_{c}", T.DoubleType()) for c in RATIOS)]
     schema = T.StructType([*docs.schema.fields, *fields])
@@ -157,7 +158,11 @@ def fit(stats: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", max_
     """
     passed = stats.where(~base_failed())
     seen = [f"_s_{c}" for c in SEEN]
-    sample = passed.orderBy(F.xxhash64(F.col(id_col).cast("string"), F.lit("forest")), *seen).limit(FIT_ROWS).select(*seen).toPandas().to_numpy(float)
+    draw = F.xxhash64(F.col(id_col).cast("string"), *seen, F.lit("forest"))
+    # Twice as many rows as needed pass the bound; only those are sorted, so no partition sends FIT_ROWS of its own.
+    share = min(1.0, 2 * FIT_ROWS / max(1, passed.count()))
+    near = passed.where(draw <= F.lit(int(-(1 << 63) + share * ((1 << 64) - 1))))
+    sample = near.orderBy(draw, *seen).limit(FIT_ROWS).select(*seen).toPandas().to_numpy(float)
     trees = forest(sample)
     if labels is None or not trees:
         return trees, float("inf")
@@ -187,24 +192,29 @@ def score(stats: DataFrame, trees: list[Tree]) -> DataFrame:
 
 
 def judge(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """``docs`` with _s_<statistic>, _s_anomaly, _s_base_failed and _s_kept appended.
+    """Per row of ``docs``: row (all its columns as a struct), _s_<statistic>, _s_anomaly, _s_base_failed and _s_kept.
 
     Base rules fail texts of under MIN_WORDS words and those with over MAX_REPEAT_PERCENT percent of words in
     repeated 3-word windows; the forest decides on the rest. Null and empty texts have no words and fail.
-    Repeated rows get equal verdicts; an empty table stays empty. Rows are never shuffled.
+    Repeated rows get equal verdicts; an empty table stays empty. Rows are never shuffled, and columns may have any name.
     """
-    stats = stored(document_statistics(docs), "rule-statistics")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "text")
+    stats = stored(document_statistics(rows).drop("text"), "rule-statistics")
     trees, most = fit(stats, labels)
     scored = score(stats, trees).withColumn("_s_base_failed", base_failed())
     return scored.withColumn("_s_kept", ~F.col("_s_base_failed") & (F.col("_s_anomaly") < F.lit(most)))
 
 
 def verdicts(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Per document: doc_id, the counts, base_failed, kept, anomaly."""
-    j = judge(docs.select("doc_id", "text"), labels)
-    return j.select("doc_id", *(F.col(f"_s_{c}").alias(c) for c in (*COUNTS, "base_failed", "kept", "anomaly")))
+    """Per document: doc_id, the counts, base_failed, kept, anomaly. The texts are read once and not stored."""
+    rows = docs.select("doc_id", "text")
+    stats = stored(document_statistics(rows).drop("text"), "rule-statistics")
+    trees, most = fit(stats, labels)
+    failed = base_failed()
+    scored = score(stats, trees).withColumn("_s_base_failed", failed).withColumn("_s_kept", ~failed & (F.col("_s_anomaly") < F.lit(most)))
+    return scored.select("doc_id", *(F.col(f"_s_{c}").alias(c) for c in (*COUNTS, "base_failed", "kept", "anomaly")))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
     """The rows of ``docs`` that the rules keep, columns unchanged."""
-    return judge(docs, labels).where("_s_kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return judge(docs, labels).where("_s_kept").select("row.*")
