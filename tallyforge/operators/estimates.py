@@ -206,14 +206,14 @@ def _numbered() -> Column:
 
 
 def normal_equations(z: DataFrame) -> DataFrame:
-    """Rows (career_id, j, k, one column a metric) of the weighted least squares over ``wide_standardised`` rows: sum of w x_j x_k, and with k = -1
+    """Rows (career_id, champion_id, j, k, one column a metric) of the weighted least squares over ``wide_standardised`` rows: sum of w x_j x_k, and with k = -1
     sum of w x_j z. These are the data-sized sums; they are combined before the one shuffle, and the pairs come from an observation's own 15 terms.
     """
     t = z.withColumn("t", _numbered()).withColumn("x", F.expr("transform(array_distinct(t), f -> struct(f as f, cast(size(filter(t, g -> g = f)) as double) as m))"))
-    part = t.select("career_id", "w", *(f"z_{m}" for m in METRICS), F.explode("x").alias("a"), "x")
+    part = t.select("career_id", "champion_id", "w", *(f"z_{m}" for m in METRICS), F.explode("x").alias("a"), "x")
     both = part.withColumn("b", F.explode(F.expr("concat(array(struct(-1L as f, 0.0D as m)), filter(x, y -> y.f >= a.f))")))
     value = {m: F.when(F.col("b.f") == -1, F.col("w") * F.col("a.m") * F.col(f"z_{m}")).otherwise(F.when(F.col(f"z_{m}").isNotNull(), F.col("w") * F.col("a.m") * F.col("b.m"))) for m in METRICS}
-    return both.groupBy("career_id", F.col("a.f").alias("j"), F.col("b.f").alias("k")).agg(*(F.sum(v).alias(m) for m, v in value.items()))
+    return both.groupBy("career_id", "champion_id", F.col("a.f").alias("j"), F.col("b.f").alias("k")).agg(*(F.sum(v).alias(m) for m, v in value.items()))
 
 
 def feature_name(number: Column) -> Column:
@@ -223,28 +223,66 @@ def feature_name(number: Column) -> Column:
     return F.concat_ws(":", kind, F.shiftright(n, 20) % _FIELD, n % _FIELD)
 
 
+#: Numbers from here on are pair terms, which belong to one champion; those below (teams, roles) are shared by all.
+_OWN = KINDS.index("MATE") * _FIELD * _FIELD
+
+
+def _system(part: pd.DataFrame, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(numbers, matrix, right side) of the metric's terms in rows (j, k, metric); terms that no observation of the metric has are left out."""
+    b, g = part[part["k"] == -1].sort_values("j"), part[part["k"] != -1]
+    names = b["j"].to_numpy(np.int64)
+    m = np.zeros((len(names), len(names)))
+    j, k = np.searchsorted(names, g["j"]), np.searchsorted(names, g["k"])
+    m[j, k] = m[k, j] = np.nan_to_num(g[metric].to_numpy(float))
+    right = b[metric].to_numpy(float)
+    use = ~np.isnan(right)
+    return names[use], m[np.ix_(use, use)], right[use]
+
+
 def ridge(obs: DataFrame) -> DataFrame:
-    """(career_id, metric, feature, theta, residual): the ridge solution of every metric; residual is the largest entry of (G + L) theta - b."""
+    """(career_id, metric, feature, theta): the ridge solution of every metric.
+
+    A pair term belongs to one champion, and an observation is of one champion, so pair terms of different champions never meet:
+    the matrix has a block for each champion and a border of the terms that all share. Each block is eliminated by itself, the
+    small system of the shared terms that is left is solved once a career, and its solution goes back to the blocks. So a task
+    sees the terms of one champion, never a whole career. The result is exact.
+    """
+    rows = normal_equations(wide_standardised(obs))
 
-    def solve(part: pd.DataFrame) -> pd.DataFrame:
-        b, g = part[part["k"] == -1].sort_values("j"), part[part["k"] != -1]
-        names = b["j"].to_numpy(np.int64)
-        j, k = np.searchsorted(names, g["j"]), np.searchsorted(names, g["k"])
-        penalty = np.where(names < _FIELD * _FIELD, RIDGE_TEAM, RIDGE_OTHER)
+    def eliminate(part: pd.DataFrame) -> pd.DataFrame:
         out = []
         for metric in METRICS:
-            right, left = b[metric].to_numpy(float), g[metric].to_numpy(float)
-            use = ~np.isnan(right)
-            m = np.zeros((len(names), len(names)))
-            m[j, k] = m[k, j] = np.nan_to_num(left)
-            m = m[np.ix_(use, use)] + np.diag(penalty[use])
-            theta = np.linalg.solve(m, right[use])
-            out.append(pd.DataFrame({"career_id": part["career_id"].iloc[0], "metric": metric, "number": names[use], "theta": theta, "residual": float(np.abs(m @ theta - right[use]).max(initial=0))}))
+            names, m, right = _system(part, metric)
+            own = names >= _OWN
+            border = m[np.ix_(own, ~own)]
+            x = np.linalg.solve(m[np.ix_(own, own)] + RIDGE_OTHER * np.eye(own.sum()), np.c_[border, right[own]])
+            rest = np.c_[m[np.ix_(~own, ~own)], right[~own]] - border.T @ x
+            n = len(rest)
+            out.append(pd.DataFrame({"career_id": part["career_id"].iloc[0], "metric": metric, "j": np.repeat(names[~own], n + 1), "k": np.tile(np.r_[names[~own], -1], n), "value": rest.ravel()}))
         return pd.concat(out)
 
-    rows = normal_equations(wide_standardised(obs))
-    fits = rows.groupBy("career_id").applyInPandas(solve, "career_id int, metric string, number bigint, theta double, residual double")
-    return fits.select("career_id", "metric", feature_name(F.col("number")).alias("feature"), "theta", "residual")
+    def shared(part: pd.DataFrame) -> pd.DataFrame:
+        names, m, right = _system(part, "value")
+        theta = np.linalg.solve(m + np.diag(np.where(names < _FIELD * _FIELD, RIDGE_TEAM, RIDGE_OTHER)), right)
+        return pd.DataFrame({"career_id": part["career_id"].iloc[0], "metric": part["metric"].iloc[0], "number": names, "theta": theta})
+
+    def restore(part: pd.DataFrame, top: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for metric in METRICS:
+            names, m, right = _system(part, metric)
+            own = names >= _OWN
+            known = top[top["metric"] == metric].set_index("number")["theta"].reindex(names[~own]).to_numpy(float)
+            theta = np.linalg.solve(m[np.ix_(own, own)] + RIDGE_OTHER * np.eye(own.sum()), right[own] - m[np.ix_(own, ~own)] @ known)
+            out.append(pd.DataFrame({"career_id": part["career_id"].iloc[0], "metric": metric, "number": names[own], "theta": theta}))
+        return pd.concat(out)
+
+    fit = "career_id int, metric string, number bigint, theta double"
+    left = rows.groupBy("career_id", "champion_id").applyInPandas(eliminate, "career_id int, metric string, j bigint, k bigint, value double")
+    left = left.where("j <= k or k = -1").groupBy("career_id", "metric", "j", "k").agg(F.sum("value").alias("value"))
+    top = left.groupBy("career_id", "metric").applyInPandas(shared, fit)
+    each = rows.select("career_id", "champion_id").distinct().join(top, "career_id").toDF("of", "subject", "metric", "number", "theta")
+    own = rows.groupBy("career_id", "champion_id").cogroup(each.groupBy("of", "subject")).applyInPandas(restore, fit)
+    return top.unionByName(own).select("career_id", "metric", feature_name(F.col("number")).alias("feature"), "theta")
 
 
 def pair_observations(obs: DataFrame) -> DataFrame:

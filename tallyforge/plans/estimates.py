@@ -129,6 +129,18 @@ def c16_config_thresholds(spark: SparkSession, d: str) -> DataFrame:
 PAIRS_SQL = """oc as (select a.career_id, a.match_id, a.match_type, a.champion_id as winner, b.champion_id as loser, pow(0.5, (a.self_d + b.self_d) / 2.0) * pow(0.5, a.elapsed / 2.0) as w from wt a join wt b on a.match_id = b.match_id and a.is_winner and not b.is_winner),
 dr as (select career_id, f.include_scrim, case when x.d = 1 then winner else loser end as a, case when x.d = 1 then loser else winner end as b, x.d as won, w from oc join (values (true), (false)) f(include_scrim) on f.include_scrim or match_type = 'OFFICIAL', (values (1), (0)) x(d))"""
 PAIRS = V.SQL + ",\n" + PAIRS_SQL
+SWEEPS = 1000
+#: Bradley-Terry strengths by so many sweeps over the pair counts; each sweep is scaled to geometric mean 1.
+STRENGTHS_SQL = f"""pc as materialized (select career_id, include_scrim, a, b, count(*) as n, sum(won) as won from dr group by all),
+ch as materialized (select career_id, include_scrim, a, sum(won) as won from pc group by all),
+sweep(i, career_id, include_scrim, a, s) as (select 0, career_id, include_scrim, a, 1.0::double from ch union all
+  select i, career_id, include_scrim, a, raw / exp(avg(ln(raw)) over (partition by career_id, include_scrim)) from (select x.i + 1 as i, x.career_id, x.include_scrim, x.a, (any_value(ch.won) + 0.5) / (1 / (any_value(x.s) + 1) + sum(pc.n / (x.s + y.s))) as raw
+  from sweep x join pc on pc.career_id = x.career_id and pc.include_scrim = x.include_scrim and pc.a = x.a join sweep y on y.career_id = x.career_id and y.include_scrim = x.include_scrim and y.a = pc.b
+  join ch on ch.career_id = x.career_id and ch.include_scrim = x.include_scrim and ch.a = x.a where x.i < {SWEEPS} group by x.i, x.career_id, x.include_scrim, x.a)),
+bt as (select * from sweep where i = {SWEEPS}),
+er as (select dr.career_id, dr.include_scrim, dr.a, dr.b, count(*) as games, sum(won)::bigint as wins, sum(w) as sw, sum(w * won) as sww, sum(w * w) as sq, any_value(p.s) / (any_value(p.s) + any_value(q.s)) as expected from dr
+  join bt p on p.career_id = dr.career_id and p.include_scrim = dr.include_scrim and p.a = dr.a join bt q on q.career_id = dr.career_id and q.include_scrim = dr.include_scrim and q.a = dr.b group by all)"""
+FITTED = V.SQL + ",\n" + PAIRS_SQL + ",\n" + STRENGTHS_SQL
 
 
 @query(sql("select career_id, winner, loser, count(*) as n, round(sum(w) + 1e-9, 6) as weight from oc group by all", PAIRS))
@@ -147,29 +159,25 @@ def d3_pairs_over_careers(spark: SparkSession, d: str) -> DataFrame:
     return I.flag_text(O.merged(t, ["include_scrim", "a", "b"]).select("include_scrim", "a", "b", "games", "wins"))
 
 
-@query(sql("select career_id, include_scrim::varchar as include_scrim, a as champion_id, sum(won)::bigint as wins, count(*) as games, true as optimal from dr group by all", PAIRS))
+@query(sql("select career_id, include_scrim::varchar as include_scrim, a as champion_id, wins, games, round(s, 6) as strength from bt join (select career_id, include_scrim, a, sum(won)::bigint as wins, count(*) as games from dr group by all) using (career_id, include_scrim, a)", FITTED, recursive=True))
 def d4_strengths(spark: SparkSession, d: str) -> DataFrame:
-    """Per champion the sufficient statistics of the fit and whether its optimality condition holds."""
+    """Per champion the strength and the wins and games that it is fitted on."""
     pairs = O.outcomes(I.weighted(spark, d))
-    s = O.strengths(pairs)
-    spread = s.groupBy("career_id", "include_scrim").agg((F.max("balance") / F.min("balance") - 1).alias("spread"))
     stats = O.directed(pairs).groupBy("career_id", "include_scrim", F.col("a").alias("champion_id")).agg(F.sum("wins").alias("wins"), F.sum("games").alias("games"))
-    joined = stats.join(s, ["career_id", "include_scrim", "champion_id"]).join(spread, ["career_id", "include_scrim"])
-    return I.flag_text(joined.select("career_id", "include_scrim", "champion_id", "wins", "games", (F.col("spread") < 1e-9).alias("optimal")))
+    joined = stats.join(O.strengths(pairs), ["career_id", "include_scrim", "champion_id"])
+    return I.flag_text(joined.select("career_id", "include_scrim", "champion_id", "wins", "games", F.round("strength", 6).alias("strength")))
 
 
-@query(sql("select career_id, include_scrim::varchar as include_scrim, a, b, true as antisymmetric from dr group by all", PAIRS))
+@query(sql("select career_id, include_scrim::varchar as include_scrim, a, b, round(expected, 6) as expected from er", FITTED, recursive=True))
 def d5_expected_rates(spark: SparkSession, d: str) -> DataFrame:
     c = O.counters(O.outcomes(I.weighted(spark, d)))
-    other = c.select("career_id", "include_scrim", F.col("b").alias("a"), F.col("a").alias("b"), F.col("expected").alias("e2"))
-    return I.flag_text(c.join(other, ["career_id", "include_scrim", "a", "b"]).select("career_id", "include_scrim", "a", "b", (F.abs(F.col("expected") + F.col("e2") - 1) < 1e-9).alias("antisymmetric")))
+    return I.flag_text(c.select("career_id", "include_scrim", "a", "b", F.round("expected", 6).alias("expected")))
 
 
-@query(sql("select career_id, include_scrim::varchar as include_scrim, a, b, count(*) as games, sum(won)::bigint as wins, round(sum(w) * sum(w) / sum(w * w), 4) as ess, true as antisymmetric from dr group by all", PAIRS))
+@query(sql("select career_id, include_scrim::varchar as include_scrim, a, b, games, wins, round(sw * sw / sq, 4) as ess, round(expected, 6) as expected, round((sww + K0 * expected) / (sw + K0), 6) as adjusted, round((sww + K0 * expected) / (sw + K0) - expected, 6) + 0.0 as effect from er".replace("K0", str(E.CONFIG["prior_strength_k0"])), FITTED, recursive=True))
 def d6_counter_rows(spark: SparkSession, d: str) -> DataFrame:
     c = O.counters(O.outcomes(I.weighted(spark, d)))
-    other = c.select("career_id", "include_scrim", F.col("b").alias("a"), F.col("a").alias("b"), F.col("effect").alias("e2"))
-    return I.flag_text(c.join(other, ["career_id", "include_scrim", "a", "b"]).select("career_id", "include_scrim", "a", "b", "games", "wins", F.round("ess", 4).alias("ess"), (F.abs(F.col("effect") + F.col("e2")) < 1e-9).alias("antisymmetric")))
+    return I.flag_text(c.select("career_id", "include_scrim", "a", "b", "games", "wins", F.round("ess", 4).alias("ess"), F.round("expected", 6).alias("expected"), F.round("adjusted", 6).alias("adjusted"), (F.round("effect", 6) + 0.0).alias("effect")))
 
 
 OBS_SQL = """ob as (select wt.* from wt join (select match_id from wt where match_type = 'OFFICIAL' group by match_id having count(*) filter (side = 'BLUE') = 4 and count(*) filter (side = 'RED') = 4) using (match_id)),
@@ -229,13 +237,18 @@ def e6_feature_projection(spark: SparkSession, d: str) -> DataFrame:
     return marked.groupBy("career_id", "kind").agg(F.count("*").alias("seen"), F.count_if(F.col("known").isNull()).alias("dropped"))
 
 
-@query(sql("select z.career_id, z.metric, kind || ':' || subject || ':' || other as feature, round(sum(w * z), 4) + 0.0 as moment, true as optimal from zz z join ft on ft.match_id = z.match_id and ft.champion_id = z.champion_id group by all", OBS + ",\n" + FEATURES))
+@query(sql("select z.career_id, z.metric, kind || ':' || subject || ':' || other as feature, round(sum(w * z), 4) + 0.0 as moment from zz z join ft on ft.match_id = z.match_id and ft.champion_id = z.champion_id group by all", OBS + ",\n" + FEATURES))
 def e7_ridge(spark: SparkSession, d: str) -> DataFrame:
-    """Per feature the right side of the normal equations, and whether the solution satisfies them."""
+    """The right side of the normal equations, rebuilt from the solution: per feature the weighted sum of the predictions of its
+    observations, and its own penalised coefficient. It equals the moment of the data if and only if the solution is the minimum."""
     o = O.observations(I.weighted(spark, d))
-    sums = O.normal_equations(O.wide_standardised(o)).where("k = -1").select("career_id", O.feature_name(F.col("j")).alias("feature"), *O.METRICS)
-    moment = sums.unpivot(["career_id", "feature"], list(O.METRICS), "metric", "m").where("m is not null")
-    return moment.join(O.ridge(o), ["career_id", "metric", "feature"]).select("career_id", "metric", "feature", (F.round("m", 4) + 0.0).alias("moment"), (F.col("residual") < 1e-6).alias("optimal"))
+    z, theta = O.standardised(O.unpivoted(o)), O.ridge(o).select("career_id", "metric", "feature", "theta")
+    long = z.withColumn("f", F.explode(O.features(z))).select("career_id", "metric", "match_id", "champion_id", "w", F.concat_ws(":", "f.kind", "f.subject", "f.other").alias("feature"))
+    known = long.join(theta, ["career_id", "metric", "feature"])
+    predicted = known.groupBy("career_id", "metric", "match_id", "champion_id").agg(F.sum("theta").alias("p"))
+    terms = known.join(predicted, ["career_id", "metric", "match_id", "champion_id"]).groupBy("career_id", "metric", "feature").agg(F.sum(F.col("w") * F.col("p")).alias("g"), F.first("theta").alias("theta"))
+    penalty = F.when(F.col("feature").startswith("TEAM:"), O.RIDGE_TEAM).otherwise(O.RIDGE_OTHER)
+    return terms.select("career_id", "metric", "feature", (F.round(F.col("g") + penalty * F.col("theta"), 4) + 0.0).alias("moment"))
 
 
 @query(sql("select career_id, metric, count(*) as rows, true as better from zz group by all", OBS))

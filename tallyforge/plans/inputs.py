@@ -12,8 +12,8 @@ from ..sources import views as V
 FIELDS = "match_id, career_id, side, pick_order, champion_id"
 
 
-def sql(body: str, base: str = V.SQL) -> str:
-    return f"with {base}\n{body}"
+def sql(body: str, base: str = V.SQL, recursive: bool = False) -> str:
+    return f"with {'recursive ' * recursive}{base}\n{body}"
 
 
 def raw(spark: SparkSession, d: str) -> DataFrame:

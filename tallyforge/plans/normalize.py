@@ -140,10 +140,10 @@ def b15_team_names(spark: SparkSession, d: str) -> DataFrame:
     return N.team_names(old, new)
 
 
-@query("select user_id, arg_min(event_type, event_id) filter (event_id >= 200) as kind, coalesce(arg_min(value, event_id) filter (event_id >= 200), arg_min(value, event_id)) as total from events where user_id < 60 group by user_id having count(*) filter (event_id >= 200) > 0")
+@query("select user_id, arg_min(event_type, event_id) filter (event_id >= 200) as kind, coalesce(arg_min(value, event_id) filter (event_id >= 200), arg_min(value, event_id)) as total from events group by user_id having count(*) filter (event_id >= 200) > 0")
 def b16_snapshot(spark: SparkSession, d: str) -> DataFrame:
     """Rows of a first and a second file; the second overwrites, its first record of a key wins."""
-    e = V.read(spark, d, "events").where("user_id < 60").select("user_id", F.col("event_type").alias("kind"), F.col("value").alias("total"), F.col("event_id").alias("ordinal"))
+    e = V.read(spark, d, "events").select("user_id", F.col("event_type").alias("kind"), F.col("value").alias("total"), F.col("event_id").alias("ordinal"))
     new, first = e.where("ordinal >= 200"), e.where("ordinal < 200")
     old = first.groupBy("user_id").agg(F.min_by("kind", "ordinal").alias("kind"), F.min_by("total", "ordinal").alias("total"))
     out = N.latest_snapshot(old, new, "user_id", ["kind", "total"], ["total"])

@@ -15,7 +15,9 @@ BASE = V.SQL_SCHEDULE + """,
 sw as (select *, progress >= 1 as played, case when progress >= 1 and blue_score > red_score then blue_team_id when progress >= 1 and red_score > blue_score then red_team_id end as winner_id from sc),
 tm as (select schedule_id, competition_id, season, day, played, winner_id, case s.me when 'blue' then blue_team_id else red_team_id end as team_id, case s.me when 'blue' then 1 else -1 end * (blue_score - red_score) as sd, case s.me when 'blue' then 1 else -1 end * (blue_kill - red_kill) as kd from sw, (values ('blue'), ('red')) s(me)),
 dl as (select competition_id, season, team_id, day, count(*) as n, count(*) filter (winner_id = team_id) as w, sum(sd) as s, sum(kd) as k from tm where played group by all),
-st0 as (select d.competition_id, d.season, d.day, l.team_id, sum(n)::bigint as played, sum(w)::bigint as wins, sum(s)::bigint as set_diff, sum(k)::bigint as kill_diff from (select distinct competition_id, season, day from sc) d join dl l on l.competition_id = d.competition_id and l.season = d.season and l.day < d.day group by all),
+cu as (select competition_id, season, team_id, day, sum(n) over w as n, sum(w) over w as w, sum(s) over w as s, sum(k) over w as k from dl window w as (partition by competition_id, season, team_id order by day)),
+sp as (select d.*, team_id from (select distinct competition_id, season, day from sc) d join (select distinct competition_id, season, team_id from dl) using (competition_id, season)),
+st0 as (select sp.competition_id, sp.season, sp.day, sp.team_id, cu.n::bigint as played, cu.w::bigint as wins, cu.s::bigint as set_diff, cu.k::bigint as kill_diff from sp asof join cu on cu.competition_id = sp.competition_id and cu.season = sp.season and cu.team_id = sp.team_id and sp.day > cu.day),
 st as (select *, rank() over (partition by competition_id, season, day order by wins desc, set_diff desc, kill_diff desc) as rank from st0),
 br as (select competition_id, season, count(distinct schedule_id) as matches, count(distinct team_id) as teams, count(distinct schedule_id) = count(distinct team_id) - 1 as bracket from tm group by all),
 bf as (select sw.*, br.bracket, b.played as bp, b.wins as bw, r.played as rp, r.wins as rw, case when not bracket then b.rank end as blue_rank, case when not bracket then r.rank end as red_rank from sw join br using (competition_id, season)
@@ -86,10 +88,10 @@ def h7_winner_loser(spark: SparkSession, d: str) -> DataFrame:
     return S.winner(matches(spark, d)).select("schedule_id", "winner_id", "loser_id", F.col("sweep").cast("int").alias("sweep"))
 
 
-@query(q("select * from (select season, day, count(*) as matches, arg_max(schedule_id, abs(blue_kill - red_kill) * 100000000 - schedule_id) as widest from sw where played group by season, day having count(*) >= 2) join (select season, day, count(distinct team_id) as teams from tm where played group by all) using (season, day)"))
+@query(q("select * from (select season, day, count(*) as matches, arg_max(schedule_id, {'m': abs(blue_kill - red_kill), 'i': -schedule_id}) as widest from sw where played group by season, day having count(*) >= 2) join (select season, day, count(distinct team_id) as teams from tm where played group by all) using (season, day)"))
 def h8_round_brief(spark: SparkSession, d: str) -> DataFrame:
     m = S.winner(matches(spark, d)).where("played")
-    margin = F.abs(F.col("blue_kill") - F.col("red_kill")) * 100000000 - F.col("schedule_id")
+    margin = F.struct(F.abs(F.col("blue_kill") - F.col("red_kill")), -F.col("schedule_id"))
     g = m.groupBy("season", "day").agg(F.count("*").alias("matches"), F.max_by("schedule_id", margin).alias("widest"), F.size(F.array_distinct(F.flatten(F.collect_set(F.array("blue_team_id", "red_team_id"))))).cast("bigint").alias("teams"))
     return g.where("matches >= 2")
 

@@ -29,6 +29,11 @@ def mean_effects(spark: SparkSession, d: str) -> DataFrame:
     return g.where("observations >= 10")
 
 
+def fitted_effects(spark: SparkSession, d: str) -> DataFrame:
+    """The effects of the ridge fit, which serving uses in earnest."""
+    return O.pair_effects(I.weighted(spark, d))
+
+
 def classified(spark: SparkSession, d: str) -> DataFrame:
     return S.classified(S.pair_pivot(mean_effects(spark, d)))
 
@@ -78,6 +83,13 @@ def f7_signature(spark: SparkSession, d: str) -> DataFrame:
     return classified(spark, d).select("career_id", "side", "subject", "other", "signature")
 
 
+@query()
+def f7_fitted_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Buckets, rank values, lead metrics and signatures over the fitted effects. No SQL for the fit; the rules are those of f5 to f7, the effects those of e10."""
+    c = S.classified(S.pair_pivot(fitted_effects(spark, d)))
+    return c.select("career_id", "side", "subject", "other", "bucket", F.round("rank_value", 6).alias("rank_value"), "lead_metric", "favourable", "signature")
+
+
 _LANES = " union all ".join(f"select career_id, subject, other, '{k}' as lane, rank_value, {S.AFFINITY[k]} as affinity, bucket = '{k}' as hit from cl where side = '{S.SIDE_OF[k]}' and (bucket = '{k}' or (bucket = 'NEUTRAL' and {S.AFFINITY[k]} > 0))" for k in S.AFFINITY)
 
 
@@ -92,6 +104,12 @@ def f8_bucket_top(spark: SparkSession, d: str) -> DataFrame:
     return S.buckets(classified(spark, d))
 
 
+@query()
+def f8_fitted_top(spark: SparkSession, d: str) -> DataFrame:
+    """The lists of f8 over the fitted effects."""
+    return S.buckets(S.classified(S.pair_pivot(fitted_effects(spark, d))))
+
+
 @query(sql("select career_id, subject, other, round(rank_value, 6) as rank_value from cl where bucket = 'ANTI_SYNERGY'", CL))
 def f9_warnings(spark: SparkSession, d: str) -> DataFrame:
     return classified(spark, d).where("bucket = 'ANTI_SYNERGY'").select("career_id", "subject", "other", F.round("rank_value", 6).alias("rank_value")).orderBy(F.col("rank_value").desc())
@@ -117,9 +135,9 @@ cd as (select ef.career_id, ef.subject as target, ef.other as champion_id, effec
 CD = EF + ",\n" + TIER_SQL + ",\n" + TG_SQL
 
 
-def candidates(spark: SparkSession, d: str) -> DataFrame:
+def candidates(spark: SparkSession, d: str, effects=mean_effects) -> DataFrame:
     t = I.tiers(spark, d)
-    return S.counter_candidates(mean_effects(spark, d), S.meta_targets(t), t)
+    return S.counter_candidates(effects(spark, d), S.meta_targets(t), t)
 
 
 @query(sql("select * from tg", CD))
@@ -132,6 +150,12 @@ def g2_counter_candidates(spark: SparkSession, d: str) -> DataFrame:
     return candidates(spark, d).select("career_id", "target", "champion_id", "effect", "observations", "games")
 
 
+@query()
+def g2_fitted_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """The candidates of g2 over the fitted effects."""
+    return candidates(spark, d, fitted_effects).select("career_id", "target", "champion_id", "effect", "observations", "games")
+
+
 @query(sql("select career_id, champion_id, target, observations from (select *, row_number() over (partition by career_id, champion_id order by observations, effect desc, target) as rn from cd) where rn = 1", CD))
 def g3_best_counters(spark: SparkSession, d: str) -> DataFrame:
     return S.best_counters(candidates(spark, d)).select("career_id", "champion_id", "target", "observations")
@@ -165,7 +189,7 @@ def built_decks(spark: SparkSession, d: str) -> DataFrame:
     t = I.tiers(spark, d)
     pool = t.where("not include_scrim").select("career_id", "champion_id", F.expr("(champion_id - 1) div 8").alias("role"), "games")
     free = S.unexplored(40, I.patches(spark).select("career_id").distinct(), known_pairs(spark, d), S.tried_pairs(I.facts(spark, d), "SCRIM"))
-    return S.decks(S.best_counters(candidates(spark, d)), pool, free)
+    return S.decks(S.best_counters(candidates(spark, d, fitted_effects)), pool, free)
 
 
 @query()

@@ -46,10 +46,11 @@ def ledger_rows(runs: DataFrame) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], order: str) -> DataFrame:
-    """Old and new rows; of each key the one with the largest ``order`` stays. Null is a key like any other."""
-    both = old.unionByName(new)
-    w = Window.partitionBy(*key).orderBy(F.col(order).desc())
-    return both.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    """Old and new rows; of each key the one with the largest ``order`` stays, of those a new one before an old one, then the greatest
+    by a hash of its content, so that the result does not depend on chance. Null is a key like any other."""
+    both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    w = Window.partitionBy(*key).orderBy(F.col(order).desc(), F.col("_new").desc(), F.xxhash64(*old.columns).desc())
+    return both.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_new")
 
 
 def replace_partitions(rows: DataFrame, path: str, by: list[str]) -> None:

@@ -44,9 +44,10 @@ def patches(spark: SparkSession) -> DataFrame:
 
 
 def patch_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(career_id, seq, champion_id, attack): what each boundary changed."""
-    one = read(spark, sf_dir, "part").where("p_partkey < 60").groupBy((1 + F.col("p_partkey") % 40).alias("champion_id"), (1 + F.col("p_size") % 4).cast("int").alias("seq")).agg((F.max("p_size") - 25).alias("attack"))
-    return one.select(F.explode(F.array(F.lit(1), F.lit(2))).alias("career_id"), "seq", "champion_id", "attack").withColumn("attack", F.expr("cast(if(career_id = 2, -attack, attack) as bigint)"))
+    """(career_id, seq, champion_id, attack): what each boundary changed. All parts of a champion and boundary are summed; an odd sum means no change."""
+    total = F.sum(F.col("p_size").cast("bigint"))
+    one = read(spark, sf_dir, "part").groupBy((1 + F.col("p_partkey") % 40).alias("champion_id"), (1 + F.col("p_size") % 4).cast("int").alias("seq")).agg(total.alias("size")).where("size % 2 = 0").withColumn("attack", F.col("size") % 51 - 25)
+    return one.select(F.explode(F.array(F.lit(1), F.lit(2))).alias("career_id"), "seq", "champion_id", "attack").withColumn("attack", F.expr("if(career_id = 2, -attack, attack)"))
 
 
 def schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +82,7 @@ mt as (select match_id, n, nd, case when match_id % 5 = 0 then 2 else 1 end as c
   case when match_id % 3 <> 0 then 1 + match_id % 10 end as blue_team_id, case when match_id % 3 <> 0 then 1 + (match_id % 10 + 1 + (match_id // 10) % 9) % 10 end as red_team_id,
   case when blue_score > red_score then 'BLUE' when red_score > blue_score then 'RED' when match_id % 3 = 0 then null when match_id % 2 = 0 then 'BLUE' else 'RED' end as winner_side from mv),
 pt as (select c.career_id, s.seq, 2024 as season, case when c.career_id = 1 then 6 * s.seq else 6 * s.seq + 1 end as day from (values (1), (2)) c(career_id), (values (1), (2), (3), (4)) s(seq)),
-pe as (select c.career_id, seq, champion_id, case when c.career_id = 2 then -attack else attack end as attack from (select 1 + p_partkey % 40 as champion_id, 1 + p_size % 4 as seq, cast(max(p_size) - 25 as bigint) as attack from part where p_partkey < 60 group by all), (values (1), (2)) c(career_id))"""
+pe as (select c.career_id, seq, champion_id, case when c.career_id = 2 then -attack else attack end as attack from (select 1 + p_partkey % 40 as champion_id, 1 + p_size % 4 as seq, sum(p_size)::bigint % 51 - 25 as attack from part group by all having sum(p_size)::bigint % 2 = 0), (values (1), (2)) c(career_id))"""
 
 SQL = (
     SQL_RAW
