@@ -86,6 +86,11 @@ def fresh(name: str, columns: list[str]) -> str:
     return name
 
 
+def hash_bound(share: float) -> int:
+    """The 64-bit hash up to which about ``share`` of all hashes lie."""
+    return min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))
+
+
 def groups_for(rows: int, per_group: int) -> int:
     """How many groups keep each at about ``per_group`` rows."""
     return max(1, -(-rows // per_group))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import with_columns
+from .common import hash_bound, with_columns
 from .rlz import word_hashes
 
 BITS = 17
@@ -159,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     # Twice as many labels as needed pass a bound on the hash; only those are sorted, so no partition sends fit_rows of its own.
     draw = F.xxhash64(F.col("doc_id").cast("string"), F.lit("fit"))
     share = min(1.0, 2 * fit_rows / max(1.0, n.sum()))
-    drawn = labels.where(draw <= F.lit(int(-(1 << 63) + share * ((1 << 64) - 1)))).orderBy(draw, "doc_id").limit(fit_rows)
+    drawn = labels.where(draw <= F.lit(hash_bound(share))).orderBy(draw, "doc_id").limit(fit_rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", F.col("y").cast("int").alias("y"), F.col("doc_id").cast("string").alias("k"))
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

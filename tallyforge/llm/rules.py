@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, stored, with_columns
+from .common import WORD, hash_bound, stored, with_columns
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 RATIOS = ("mean_chars", "symbols", "dup_lines", "repeats", "upper", "marks", "bare", "digits")
@@ -161,7 +161,7 @@ def fit(stats: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", max_
     draw = F.xxhash64(F.col(id_col).cast("string"), *seen, F.lit("forest"))
     # Twice as many rows as needed pass the bound; only those are sorted, so no partition sends FIT_ROWS of its own.
     share = min(1.0, 2 * FIT_ROWS / max(1, passed.count()))
-    near = passed.where(draw <= F.lit(int(-(1 << 63) + share * ((1 << 64) - 1))))
+    near = passed.where(draw <= F.lit(hash_bound(share)))
     sample = near.orderBy(draw, *seen).limit(FIT_ROWS).select(*seen).toPandas().to_numpy(float)
     trees = forest(sample)
     if labels is None or not trees:

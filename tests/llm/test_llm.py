@@ -11,7 +11,6 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 import xxhash
-import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -181,7 +180,7 @@ def test_codec_round_trips():
             idcodec.read_blocks([block[:at] + bytes([block[at] ^ 1]) + block[at + 1 :]])
     text = rng.zipf(1.2, 8192) % 50257
     text[1::2] = text[::2] * 7 % 50257  # every other id follows from the one before
-    assert 2 * len(idcodec.encode_blocks([text])[0]) < 0.85 * len(zstandard.compress(text.astype("<u2").tobytes(), 9))
+    assert 2 * len(idcodec.encode_blocks([text])[0]) < 0.65 * 2 * len(text)  # of 16 bits an id
     assert idcodec._combine(zlib.crc32(b"abc"), zlib.crc32(b"defgh"), 5) == zlib.crc32(b"abcdefgh")
 
 
