@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -209,9 +211,10 @@ def normal_equations(z: DataFrame) -> DataFrame:
     """Rows (career_id, champion_id, j, k, one column a metric) of the weighted least squares over ``wide_standardised`` rows: sum of w x_j x_k, and with k = -1
     sum of w x_j z. These are the data-sized sums; they are combined before the one shuffle, and the pairs come from an observation's own 15 terms.
     """
-    t = z.withColumn("t", _numbered()).withColumn("x", F.expr("transform(array_distinct(t), f -> struct(f as f, cast(size(filter(t, g -> g = f)) as double) as m))"))
-    part = t.select("career_id", "champion_id", "w", *(f"z_{m}" for m in METRICS), F.explode("x").alias("a"), "x")
-    both = part.withColumn("b", F.explode(F.expr("concat(array(struct(-1L as f, 0.0D as m)), filter(x, y -> y.f >= a.f))")))
+    t = z.withColumn("t", _numbered()).withColumn("x", F.expr("array_sort(transform(array_distinct(t), f -> struct(f as f, cast(size(filter(t, g -> g = f)) as double) as m)))"))
+    part = t.select("career_id", "champion_id", "w", *(f"z_{m}" for m in METRICS), F.posexplode("x").alias("at", "a"), "x")
+    # Each term with itself and those after it, and with -1 for the right side.
+    both = part.withColumn("b", F.explode(F.expr("concat(array(struct(-1L as f, 0.0D as m)), slice(x, at + 1, size(x)))")))
     value = {m: F.when(F.col("b.f") == -1, F.col("w") * F.col("a.m") * F.col(f"z_{m}")).otherwise(F.when(F.col(f"z_{m}").isNotNull(), F.col("w") * F.col("a.m") * F.col("b.m"))) for m in METRICS}
     return both.groupBy("career_id", "champion_id", F.col("a.f").alias("j"), F.col("b.f").alias("k")).agg(*(F.sum(v).alias(m) for m, v in value.items()))
 
@@ -227,16 +230,17 @@ def feature_name(number: Column) -> Column:
 _OWN = KINDS.index("MATE") * _FIELD * _FIELD
 
 
-def _system(part: pd.DataFrame, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(numbers, matrix, right side) of the metric's terms in rows (j, k, metric); terms that no observation of the metric has are left out."""
+def _systems(part: pd.DataFrame, columns: tuple[str, ...] = METRICS) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+    """(column, numbers, matrix, right side) of the terms in rows (j, k, columns); terms that no observation of a metric has are left out."""
     b, g = part[part["k"] == -1].sort_values("j"), part[part["k"] != -1]
     names = b["j"].to_numpy(np.int64)
-    m = np.zeros((len(names), len(names)))
-    j, k = np.searchsorted(names, g["j"]), np.searchsorted(names, g["k"])
-    m[j, k] = m[k, j] = np.nan_to_num(g[metric].to_numpy(float))
-    right = b[metric].to_numpy(float)
-    use = ~np.isnan(right)
-    return names[use], m[np.ix_(use, use)], right[use]
+    j, k = np.searchsorted(names, g["j"].to_numpy()), np.searchsorted(names, g["k"].to_numpy())
+    for c in columns:
+        m = np.zeros((len(names), len(names)))
+        m[j, k] = m[k, j] = np.nan_to_num(g[c].to_numpy(float))
+        right = b[c].to_numpy(float)
+        use = ~np.isnan(right)
+        yield c, names[use], m[np.ix_(use, use)], right[use]
 
 
 def ridge(obs: DataFrame) -> DataFrame:
@@ -251,8 +255,7 @@ def ridge(obs: DataFrame) -> DataFrame:
 
     def eliminate(part: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for metric in METRICS:
-            names, m, right = _system(part, metric)
+        for metric, names, m, right in _systems(part):
             own = names >= _OWN
             border = m[np.ix_(own, ~own)]
             x = np.linalg.solve(m[np.ix_(own, own)] + RIDGE_OTHER * np.eye(own.sum()), np.c_[border, right[own]])
@@ -262,14 +265,13 @@ def ridge(obs: DataFrame) -> DataFrame:
         return pd.concat(out)
 
     def shared(part: pd.DataFrame) -> pd.DataFrame:
-        names, m, right = _system(part, "value")
+        ((_, names, m, right),) = _systems(part, ("value",))
         theta = np.linalg.solve(m + np.diag(np.where(names < _FIELD * _FIELD, RIDGE_TEAM, RIDGE_OTHER)), right)
         return pd.DataFrame({"career_id": part["career_id"].iloc[0], "metric": part["metric"].iloc[0], "number": names, "theta": theta})
 
     def restore(part: pd.DataFrame, top: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for metric in METRICS:
-            names, m, right = _system(part, metric)
+        for metric, names, m, right in _systems(part):
             own = names >= _OWN
             known = top[top["metric"] == metric].set_index("number")["theta"].reindex(names[~own]).to_numpy(float)
             theta = np.linalg.solve(m[np.ix_(own, own)] + RIDGE_OTHER * np.eye(own.sum()), right[own] - m[np.ix_(own, ~own)] @ known)
@@ -280,7 +282,7 @@ def ridge(obs: DataFrame) -> DataFrame:
     left = rows.groupBy("career_id", "champion_id").applyInPandas(eliminate, "career_id int, metric string, j bigint, k bigint, value double")
     left = left.where("j <= k or k = -1").groupBy("career_id", "metric", "j", "k").agg(F.sum("value").alias("value"))
     top = left.groupBy("career_id", "metric").applyInPandas(shared, fit)
-    each = rows.select("career_id", "champion_id").distinct().join(top, "career_id").toDF("of", "subject", "metric", "number", "theta")
+    each = obs.select("career_id", "champion_id").distinct().join(top, "career_id").toDF("of", "subject", "metric", "number", "theta")
     own = rows.groupBy("career_id", "champion_id").cogroup(each.groupBy("of", "subject")).applyInPandas(restore, fit)
     return top.unionByName(own).select("career_id", "metric", feature_name(F.col("number")).alias("feature"), "theta")
 
