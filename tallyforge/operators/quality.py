@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,3 +56,16 @@ def mismatches(actual: DataFrame, manifest: DataFrame, key: str) -> DataFrame:
     """Keys whose digest differs from the manifest's, or that only one side has."""
     a, m = actual.select(key, F.col("digest").alias("_a")), manifest.select(key, F.col("digest").alias("_m"))
     return a.join(m, key, "full_outer").where("not (_a <=> _m)").select(key, F.col("_a").alias("actual"), F.col("_m").alias("expected"))
+
+
+def row_counts(tables: dict[str, DataFrame], expected: dict[str, int]) -> DataFrame:
+    """(name, rows, complete): how many rows each seeded dimension has, and whether that is the number expected. ``require`` makes a failure of it."""
+    each = [df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows", (F.col("rows") == F.lit(expected[name])).alias("complete")) for name, df in tables.items()]
+    return reduce(DataFrame.unionByName, each)
+
+
+def require(counts: DataFrame) -> None:
+    """An error that names the dimensions without the expected number of rows."""
+    bad = [f"{r['name']} has {r['rows']} rows" for r in counts.where("not complete").collect()]
+    if bad:
+        raise ValueError("; ".join(bad))

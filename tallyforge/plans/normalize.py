@@ -188,7 +188,7 @@ def a5_streaming_ingest(spark: SparkSession, d: str) -> DataFrame:
     target, state = L.work_dir(spark, "ingested"), L.work_dir(spark, "state")
     schema = V.read(spark, d, "events").schema
     for attempt in range(2):
-        streaming.catch_up(spark, d, schema, target, f"{state}/{attempt}", ["event_id"], glob="events.parquet")
+        streaming.catch_up(spark, d, schema, target, f"{state}/{attempt}", ["event_id"], glob="events.parquet", part="event_id div 100000")
     loaded = spark.read.parquet(target).selectExpr("event_id div 8 as match_id").groupBy("match_id").agg(F.count("*").alias("n"))
     typed = loaded.selectExpr("if(match_id % 5 = 0, 2, 1) as career_id", "if(match_id % 3 = 0, 'SCRIM', 'OFFICIAL') as match_type")
     return typed.groupBy("career_id", "match_type").agg(F.count("*").alias("contests"))
@@ -210,3 +210,51 @@ def a11_ingest_ledger(spark: SparkSession, d: str) -> DataFrame:
     """Ledger rows of runs; errors are cut."""
     runs = V.read(spark, d, "orders").selectExpr("o_orderkey as run_id", "if(o_orderstatus = 'F', repeat(o_orderpriority, 200), null) as error")
     return L.ledger_rows(runs).withColumn("done", F.col("error").isNull())
+
+
+_FILES = "select concat(case when o_orderkey % 3 = 0 then 'backup_' else '' end, 'slot_', o_orderkey, case when o_orderkey % 5 = 0 then '.json.bak' else '.json' end) as file, o_orderkey from orders"
+
+
+@query(f"select * from ({_FILES}) where file like 'slot_%' and file like '%.json'")
+def a2_slot_files(spark: SparkSession, d: str) -> DataFrame:
+    """Of file names like those of a save folder, the slot files; backups are not read."""
+    names = V.read(spark, d, "orders").selectExpr("concat(if(o_orderkey % 3 = 0, 'backup_', ''), 'slot_', o_orderkey, if(o_orderkey % 5 = 0, '.json.bak', '.json')) as file", "o_orderkey")
+    return L.slot_files(names)
+
+
+def _hashes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Files with the hash of their content, and a ledger of earlier runs, some of which failed or read other content."""
+    h = V.read(spark, d, "documents").selectExpr("cast(doc_id as string) as file", "sha2(coalesce(text, ''), 256) as sha", "doc_id")
+    ledger = h.where("doc_id % 3 <> 0").selectExpr("file", "if(doc_id % 7 = 0, 'other', sha) as sha", "if(doc_id % 5 = 0, 'broken', null) as error")
+    return h.drop("doc_id"), ledger
+
+
+@query("select doc_id::varchar as file, sha256(coalesce(text, '')) as sha from documents where doc_id % 3 = 0 or doc_id % 7 = 0 or doc_id % 5 = 0")
+def a3_skip_known_content(spark: SparkSession, d: str) -> DataFrame:
+    """Files whose content no successful run has read: new, changed, or failed before."""
+    return L.to_ingest(*_hashes(spark, d))
+
+
+@query("select doc_id::varchar as file, sha256(coalesce(text, '')) as sha, (doc_id % 3 = 0 or doc_id % 7 = 0 or doc_id % 5 = 0)::int as needed from documents")
+def a6_forced_catch_up(spark: SparkSession, d: str) -> DataFrame:
+    """A forced run reads every file, known or not; ``needed`` marks those that a run without force would read."""
+    h, ledger = _hashes(spark, d)
+    return L.to_ingest(h, ledger, force=True).join(L.to_ingest(h, ledger).withColumn("needed", F.lit(1)), ["file", "sha"], "left").select("file", "sha", F.coalesce("needed", F.lit(0)).alias("needed"))
+
+
+@query("select 'region' as name, count(*) as rows, count(*) = 5 as complete from region union all select 'nation', count(*), count(*) = 25 from nation union all select 'supplier', count(*), count(*) = -1 from supplier")
+def a7_seeded_dimensions(spark: SparkSession, d: str) -> DataFrame:
+    """Dimensions with the number of rows that they are expected to have, one of them wrong on purpose."""
+    return Q.row_counts({t: V.read(spark, d, t) for t in ("region", "nation", "supplier")}, {"region": 5, "nation": 25, "supplier": -1})
+
+
+@query(sql("select 'tally' as name, 2::bigint as run_id, count(distinct (career_id, champion_id)) as rows, 9.0::double as k0, (select count(*) from pa) as games from pa"))
+def a10_aggregation_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """Two runs are written with their settings; a third breaks off before its ledger rows. The latest finished run is read."""
+    root, rows = L.work_dir(spark, "runs"), I.facts(spark, d)
+    tally = rows.groupBy("career_id", "champion_id").agg(F.count("*").alias("games"))
+    L.record_run(root, 1, {"tally": tally.where("games > 1")}, {"k0": 8.0})
+    L.record_run(root, 2, {"tally": tally}, {"k0": 9.0})
+    tally.where("games > 2").write.parquet(f"{root}/runs/3/tally")
+    games = L.run_table(spark, root, "tally").agg(F.sum("games")).first()[0]
+    return spark.read.parquet(f"{root}/ledger").where("run_id = 2").select("name", "run_id", "rows", F.col("settings")["k0"].alias("k0"), F.lit(games).alias("games"))

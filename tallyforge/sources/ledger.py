@@ -58,15 +58,43 @@ def replace_partitions(rows: DataFrame, path: str, by: list[str]) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
+def slot_files(names: DataFrame, column: str = "file") -> DataFrame:
+    """The rows whose file name is that of a slot file."""
+    return names.where(F.col(column).rlike(SLOT_FILE))
+
+
+def record_run(root: str, run_id: int, tables: dict[str, DataFrame], settings: dict[str, float]) -> None:
+    """Write the tables of an aggregation run, all or none: the tables go to folders of the run, and its ledger rows (run_id, name,
+    rows, settings), which make it visible, are written last and by one write. A run that breaks off leaves no ledger rows and is never read."""
+    spark = next(iter(tables.values())).sparkSession
+    rows = []
+    for name, df in tables.items():
+        path = f"{root}/runs/{run_id}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        rows.append((run_id, name, spark.read.parquet(path).count(), {k: float(v) for k, v in settings.items()}))
+    spark.createDataFrame(rows, "run_id long, name string, rows long, settings map<string,double>").coalesce(1).write.mode("append").parquet(f"{root}/ledger")
+
+
+def run_table(spark: SparkSession, root: str, name: str, run_id: int | None = None) -> DataFrame:
+    """A table of a finished run, the latest unless one is named; an unfinished run is an error."""
+    done = spark.read.parquet(f"{root}/ledger").where(F.col("name") == name)
+    found = done.agg(F.max("run_id")).first()[0] if run_id is None else done.where(F.col("run_id") == run_id).agg(F.max("run_id")).first()[0]
+    if found is None:
+        raise ValueError(f"no finished run has {name}")
+    return spark.read.parquet(f"{root}/runs/{found}/{name}")
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that driver and executors share (spark.checkpoint.dir); a local one only where none is set."""
+    """A new folder below the one that driver and executors share (spark.checkpoint.dir). A session of one machine that names none gets a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tallyforge-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/work/{name}-{uuid.uuid4().hex}"
