@@ -8,6 +8,7 @@ from tallyforge.functions import estimates as E
 from tallyforge.operators import claims as C
 from tallyforge.operators import estimates as O
 from tallyforge.operators import normalize as N
+from tallyforge.operators import quality as Q
 from tallyforge.operators import season as S
 from tallyforge.operators import serving as V
 from tallyforge.plans import inputs as I
@@ -116,6 +117,43 @@ def test_files_and_ledger(spark, tmp_path):
     assert {r["file"] for r in records.collect()} == {"slot_1.json", "slot_2.json"}
 
 
+def test_ridge_equals_dense_solution(spark, sf):
+    """Coefficients of every metric and career against one dense solve over the observations."""
+    o = O.observations(I.weighted(spark, sf))
+    z = O.standardised(O.unpivoted(o))
+    rows = z.select("career_id", "metric", "w", "z", F.transform(O.features(z), lambda f: F.concat_ws(":", f["kind"], f["subject"], f["other"])).alias("f")).collect()
+    got = {(r["career_id"], r["metric"], r["feature"]): r["theta"] for r in O.ridge(o).collect()}
+    groups = {}
+    for r in rows:
+        groups.setdefault((r["career_id"], r["metric"]), []).append(r)
+    seen = 0
+    for (career, metric), part in groups.items():
+        names = sorted({f for r in part for f in r["f"]})
+        at = {f: i for i, f in enumerate(names)}
+        x = np.zeros((len(part), len(names)))
+        for i, r in enumerate(part):
+            for f in r["f"]:
+                x[i, at[f]] += 1
+        w, y = np.array([r["w"] for r in part]), np.array([r["z"] for r in part])
+        penalty = np.diag([O.RIDGE_TEAM if f.startswith("TEAM") else O.RIDGE_OTHER for f in names])
+        theta = np.linalg.solve(x.T @ (x * w[:, None]) + penalty, x.T @ (w * y))
+        assert all(abs(got[career, metric, f] - v) < 1e-9 for f, v in zip(names, theta, strict=True))
+        seen += len(names)
+    assert seen == len(got) > 0
+
+
+def test_runs_are_all_or_nothing(spark, tmp_path):
+    one = spark.range(3)
+    L.record_run(str(tmp_path), 1, {"a": one, "b": one.where("id > 0")}, {"k0": 8.0})
+    one.write.parquet(f"{tmp_path}/runs/2/a")  # broke off before its ledger rows
+    assert {(r["run_id"], r["name"], r["rows"]) for r in spark.read.parquet(f"{tmp_path}/ledger").collect()} == {(1, "a", 3), (1, "b", 2)}
+    assert L.run_table(spark, str(tmp_path), "b").count() == 2
+    with pytest.raises(ValueError):
+        L.run_table(spark, str(tmp_path), "a", run_id=2)
+    with pytest.raises(ValueError, match="a has 3 rows"):
+        Q.require(Q.row_counts({"a": one}, {"a": 4}))
+
+
 def test_stream_restart_loads_once(spark, tmp_path):
     src, out, state = tmp_path / "in", f"file://{tmp_path}/out", f"file://{tmp_path}/state"
     rows = spark.createDataFrame([(1, 5), (2, 6), (2, 6)], "k int, v int")
