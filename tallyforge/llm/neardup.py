@@ -1,8 +1,7 @@
 """Near-duplicate documents by MinHash over five-word shingles, verified by exact Jaccard similarity.
 
 Texts with equal words (ASCII letters in lower case) become one row first. Bands of minima give candidates, which are
-compared as in ``linedup``: all of a bucket with its smallest, and those that fail with all others of the
-bucket. Distributed union-find joins the links.
+compared as long as they are not yet connected (see ``common.clusters``).
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, components, stored
+from .common import WORD_BYTES, clusters, delete, stored
 from .simhash import _LOWER
 
 SHINGLE = 5
@@ -60,30 +59,30 @@ def _close(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         yield pd.Series([both >= SIMILARITY * (n - both) for n, both in counts], dtype=bool)
 
 
-def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The rows of ``pairs`` (a, b, ...) whose texts, by texts (k, text), are similar."""
     a, b = texts.select(F.col("k").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("k").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").where(F.pandas_udf(_close, "boolean")("text_a", "text_b")).select("a", "b")
+    return pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").where(F.pandas_udf(_close, "boolean")("text_a", "text_b")).select(*pairs.columns)
 
 
-def links(texts: DataFrame) -> DataFrame:
-    """Links (a, b) between the keys of distinct texts (k, text) that are similar."""
-    each = texts.select("k", F.explode(F.pandas_udf(_bands, "array<long>")("text")).alias("band"))
-    each = stored(each, "near-bands")
-    least = each.groupBy("band").agg(F.min("k").alias("low"), F.max("k").alias("high")).where("low < high").select("band", "low")
-    shared = stored(each.join(least, "band"), "near-shared")
-    linked = stored(_similar(shared.where("k <> low").select(F.col("k").alias("a"), F.col("low").alias("b")).distinct(), texts), "near-stars")
-    left = shared.where("k <> low").join(linked.select(F.col("a").alias("k"), F.col("b").alias("low")), ["k", "low"], "left_anti")
-    others = shared.select("band", F.col("k").alias("b"), F.col("low").alias("l"))
-    rest = left.select("band", F.col("k").alias("a")).join(others, "band").where("a <> b and b <> l")
-    rest = rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    return linked.unionByName(_similar(rest, texts))
+def components_of_texts(texts: DataFrame) -> DataFrame:
+    """(node, component) of the keys of distinct texts (k, text) that are similar to another."""
+    spark = texts.sparkSession
+    each = stored(texts.select("k", F.explode(F.pandas_udf(_bands, "array<long>")("text")).alias("band")), "near-bands")
+    shared = each.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    members = stored(each.join(shared, "band"), "near-members")
+    delete(spark, each)
+    found = clusters(members, lambda pairs: similar(pairs, texts))
+    delete(spark, members)
+    return found
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each component of similar ones: the smallest id. Columns unchanged; rows whose id is null are kept."""
+    """One document of each component of similar ones: the smallest id. Columns unchanged; rows whose id is null are kept, and so are all
+    rows of the id that stays. Texts without words are equal. An empty table stays empty."""
     rows = stored(docs.where("doc_id is not null").select("doc_id", "text").withColumn("k", F.pandas_udf(_key, "long")("text")), "near-keys")
     texts = stored(rows.groupBy("k").agg(F.first("text").alias("text")), "near-texts")
-    member = components(links(texts))
+    member = components_of_texts(texts)
     of = rows.select("doc_id", "k").join(member, F.col("k") == member["node"], "left").select("doc_id", F.coalesce("component", "k").alias("c"))
     first = of.groupBy("c").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
     gone = of.join(first, "c").where("doc_id <> low").select("doc_id").distinct()
