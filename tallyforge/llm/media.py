@@ -198,7 +198,10 @@ def store_texts(docs: DataFrame) -> DataFrame:
 
 
 def read_features(media: DataFrame) -> DataFrame:
-    """Digests of what the containers of ``store_texts`` hold, read back through their sample tables."""
+    """Digests of what the containers of ``store_texts`` hold, read back through their sample tables, and the byte ranges of keyframes.
+
+    Rows are independent and repeated rows stay; an empty table gives no rows. A null text was stored as an empty one.
+    """
     kind = media.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -208,9 +211,10 @@ def read_features(media: DataFrame) -> DataFrame:
                 data = bytes(data)
                 t = tracks(data)[0]
                 payload = samples(data, t)
-                ranges = np.stack([t["offsets"][t["keys"]], t["sizes"][t["keys"]]], 1).astype("<i8").tobytes()
+                at, size = t["offsets"][t["keys"]], t["sizes"][t["keys"]]
+                ranges = np.stack([at, size], 1).astype("<i8").tobytes()
                 feature = f"{t['codec'].strip()}:{t['duration']}/{t['timescale']}:{len(t['keys'])} keys:{crc32(ranges):08x}"
-                out.append((i, n, len(payload), sha256(payload).hexdigest(), crc32(payload[-FRAME:]), len(data), sha256(data).hexdigest(), feature))
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                out.append((i, n, len(payload), sha256(payload).hexdigest(), crc32(payload[-FRAME:]), len(data), sha256(data).hexdigest(), feature, at, size))
+            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "key_offsets", "key_sizes"])
 
-    return media.mapInPandas(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.mapInPandas(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, key_offsets array<long>, key_sizes array<long>")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, idcodec, linedup, media, nbsvm, packing, rlz, rules, simhash
-from .common import table
+from .common import stored, table
 
 
 def op1_naive_bayes_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,7 +16,7 @@ def op1_naive_bayes_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.read_features(media.store_texts(table(spark, sf_dir, "documents")))
+    return media.read_features(stored(media.store_texts(table(spark, sf_dir, "documents")), "media"))
 
 
 def op3_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:

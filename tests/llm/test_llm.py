@@ -77,12 +77,20 @@ def test_classifier_edges(spark, sf):
 
 
 def test_media_round_trip(spark, rows, docs):
-    out = by_id(media.read_features(media.store_texts(docs)))
+    stored = common.stored(media.store_texts(docs), "media")
+    files, out = {r["doc_id"]: bytes(r["media"]) for r in stored.collect()}, by_id(media.read_features(stored))
     for r in rows:
         raw = (r["text"] or "").encode()
         payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
         o = out[r["doc_id"]]
         assert (o["n_bytes"], o["payload_bytes"], o["payload_sha256"], o["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        data = files[r["doc_id"]]
+        assert (o["media_bytes"], o["media_sha256"]) == (len(data), hashlib.sha256(data).hexdigest())
+        # By hand: samples lie one after the other in the last box, every eighth is a keyframe.
+        at = data.index(b"mdat") + 4
+        assert data[at:] == payload and o["key_offsets"] == [*range(at, len(data), 512)] and set(o["key_sizes"]) == {64}
+        ranges = b"".join(int(x).to_bytes(8, "little") + (64).to_bytes(8, "little") for x in o["key_offsets"])
+        assert o["feature"] == f"raw:{len(payload) // 64}/25:{len(o['key_offsets'])} keys:{zlib.crc32(ranges):08x}"
     assert media.read_features(media.store_texts(edge(spark))).count() == 10 and media.read_features(media.store_texts(empty(spark))).count() == 0
 
 
