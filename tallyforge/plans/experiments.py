@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import estimates as E
 from ..operators import estimates as O
 from ..operators import experiments as X
 from ..sources import views as V
 from . import inputs as I
-from .estimates import PAIRS, TIER_SQL
+from .estimates import FITTED, PAIRS, TIER_SQL
 from .inputs import sql
 from .registry import query
 
@@ -186,9 +187,28 @@ def j17_patch_deviation(spark: SparkSession, d: str) -> DataFrame:
     return s.select(R(F.col("x")[F.floor(F.size("x") / 2).cast("int")]).alias("median"), R(F.col("x")[F.floor(F.size("x") * 9 / 10).cast("int")]).alias("p90"), F.size("x").cast("bigint").alias("estimates"))
 
 
-@query(sql("select direction, count(*) as windows, round(avg(direction * (r1 - r0)), 6) + 0.0 as effect from ww where touched = 1 group by all", WIN))
+def _spread(value) -> list:
+    """Mean, its standard error and their ratio over a group; the last two are null for one value, or none apart."""
+    se = F.stddev_samp(value) / F.sqrt(F.count("*").cast("double"))
+    return [R(F.avg(value)).alias("effect"), R(se).alias("se"), R(F.when(se > 1e-9, F.avg(value) / se), 4).alias("t")]
+
+
+@query(sql("""select direction, windows, round(m, 6) + 0.0 as effect, round(se, 6) + 0.0 as se, round(case when se > 1e-9 then m / se end, 4) + 0.0 as t
+  from (select direction, count(*) as windows, avg(direction * (r1 - r0)) as m, stddev_samp(direction * (r1 - r0)) / sqrt(count(*)) as se from ww where touched = 1 group by all)""", WIN))
 def j18_patch_direction(spark: SparkSession, d: str) -> DataFrame:
-    return windows(spark, d).where("touched = 1").groupBy("direction").agg(F.count("*").alias("windows"), R(F.avg(F.col("direction") * (F.col("r1") - F.col("r0")))).alias("effect"))
+    """Shift of touched champions in the direction of their change: mean, standard error, t."""
+    return windows(spark, d).where("touched = 1").groupBy("direction").agg(F.count("*").alias("windows"), *_spread(F.col("direction") * (F.col("r1") - F.col("r0"))))
+
+
+@query(sql("""select *, 2 * se as detectable from (select windows, round(m, 6) + 0.0 as effect, round(se, 6) + 0.0 as se, round(case when se > 1e-9 then m / se end, 4) + 0.0 as t, round(residual, 6) as residual from (select count(*) as windows, avg(v) as m, stddev_samp(v) / sqrt(count(*)) as se, any_value(sqrt(rv)) as residual
+  from (select direction * (r1 - r0 - (s * r0 + i)) as v, rv from ww, (select regr_slope(r1 - r0, r0) as s, regr_intercept(r1 - r0, r0) as i, (regr_syy(r1 - r0, r0) - regr_sxy(r1 - r0, r0) * regr_sxy(r1 - r0, r0) / nullif(regr_sxx(r1 - r0, r0), 0)) / nullif(count(*) - 2, 0) as rv from ww where touched = 0) where touched = 1)))""", WIN))
+def j19_detectable_size(spark: SparkSession, d: str) -> DataFrame:
+    """Net effect of all changes in their direction, spread of the line's residuals, and the size that this many windows could show (t = 2)."""
+    w, y, x = windows(spark, d), F.col("r1") - F.col("r0"), F.col("r0")
+    rv = (F.regr_syy(y, x) - F.pow(F.regr_sxy(y, x), 2) / F.nullif(F.regr_sxx(y, x), F.lit(0.0))) / F.nullif(F.count("*") - 2, F.lit(0))
+    line = w.where("touched = 0").agg(F.regr_slope(y, x).alias("s"), F.regr_intercept(y, x).alias("i"), rv.alias("rv"))
+    net = w.where("touched = 1").join(F.broadcast(line), how="cross").select((F.col("direction") * (y - (F.col("s") * x + F.col("i")))).alias("v"), "rv")  # one row
+    return net.agg(F.count("*").alias("windows"), *_spread(F.col("v")), R(F.sqrt(F.first("rv"))).alias("residual")).withColumn("detectable", 2 * F.col("se"))
 
 
 @query(sql("select w.career_id, w.champion_id, w.seq::bigint as seq, round(r1 - r0 - (s * r0 + i), 5) + 0.0 as net from ww w, (select regr_slope(r1 - r0, r0) as s, regr_intercept(r1 - r0, r0) as i from ww where touched = 0) where touched = 1", WIN))
@@ -256,3 +276,50 @@ def j25_counter_report(spark: SparkSession, d: str) -> DataFrame:
 def j26_pair_audit(spark: SparkSession, d: str) -> DataFrame:
     m = I.facts(spark, d).groupBy("career_id", "match_type", "winner_side", "match_id").agg(F.count_if(F.col("side") == "BLUE").alias("blue"), F.count_if(F.col("side") == "RED").alias("red"))
     return m.groupBy("career_id", "match_type", "winner_side").agg(F.count("*").alias("contests"), F.sum(F.expr("int(blue = 4 and red = 4)")).alias("balanced"))
+
+
+_LISTED = (("top", "adjusted desc", "games > 0", 5), ("bottom", "adjusted", "games > 0", 5), ("banned", "bans desc", "bans > 0", 10))
+
+
+@query(sql(" union all ".join(f"select career_id, include_scrim::varchar as include_scrim, '{n}' as list, champion_id, rn from (select *, row_number() over (partition by career_id, include_scrim order by {o}, champion_id) as rn from tr where {w}) where rn <= {k}" for n, o, w, k in _LISTED), TIER))
+def j24_tier_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Best and worst five by estimate and the ten most banned, per career and flag."""
+    t, out = I.flag_text(I.tiers(spark, d)), None
+    for name, order, where, most in _LISTED:
+        w = Window.partitionBy("career_id", "include_scrim").orderBy(F.expr(order.removesuffix(" desc")).desc() if order.endswith(" desc") else F.expr(order), "champion_id")
+        part = t.where(where).withColumn("rn", F.row_number().over(w).cast("bigint")).where(F.col("rn") <= most).select("career_id", "include_scrim", F.lit(name).alias("list"), "champion_id", "rn")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(sql("select a.career_id, a.champion_id, a.games as with_scrim, b.games as official, round(a.adjusted - b.adjusted, 4) + 0.0 as difference from tr a join tr b using (career_id, champion_id) where a.include_scrim and not b.include_scrim and a.games > 0 and b.games > 0", TIER))
+def j24_scrim_difference(spark: SparkSession, d: str) -> DataFrame:
+    """How far estimates move when unofficial contests count."""
+    t = I.tiers(spark, d).where("games > 0")
+    on, off = (t.where(f"{'' if x else 'not '}include_scrim").select("career_id", "champion_id", F.col("games").alias(n), F.col("adjusted").alias(f"e_{n}")) for x, n in ((True, "with_scrim"), (False, "official")))
+    return on.join(off, ["career_id", "champion_id"]).select("career_id", "champion_id", "with_scrim", "official", R(F.col("e_with_scrim") - F.col("e_official"), 4).alias("difference"))
+
+
+@query(sql("""select career_id, a, b, by_effect, by_raw, (by_effect <= 20 and by_raw <= 20)::int as both from (select career_id, a, b, row_number() over (partition by career_id order by round((sww + K0 * expected) / (sw + K0) - expected, 6) desc, a, b) as by_effect,
+  row_number() over (partition by career_id order by wins / games desc, games desc, a, b) as by_raw from er where include_scrim and games >= 3) where by_effect <= 20 or by_raw <= 20""".replace("K0", str(E.CONFIG["prior_strength_k0"])), FITTED, recursive=True))
+def j25_list_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """The top twenty pairs of each career by fitted effect and by raw rate, with their places in both lists."""
+    c = O.counters(O.outcomes(I.weighted(spark, d))).where("include_scrim and games >= 3").withColumn("e", F.round("effect", 6))
+    effect, raw = (Window.partitionBy("career_id").orderBy(*order, "a", "b") for order in ([F.col("e").desc()], [(F.col("wins") / F.col("games")).desc(), F.col("games").desc()]))
+    placed = c.select("career_id", "a", "b", F.row_number().over(effect).cast("bigint").alias("by_effect"), F.row_number().over(raw).cast("bigint").alias("by_raw")).where("by_effect <= 20 or by_raw <= 20")
+    return placed.withColumn("both", F.expr("int(by_effect <= 20 and by_raw <= 20)"))
+
+
+@query(sql("select career_id, count(*) as pairs, round(min(ess), 4) as low, round(quantile_cont(ess, 0.5), 4) as median, round(max(ess), 4) as high, count(*) filter (ess >= 10) as solid, round(sum(sw) / sum(n), 6) as kept from (select career_id, a, b, count(*) as n, sum(w) as sw, sum(w) * sum(w) / sum(w * w) as ess from dr where include_scrim group by all) group by all", PAIRS))
+def j25_effective_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Effective sizes of the directed pairs of a career, and the share of weight that decay leaves."""
+    p = O.directed(O.outcomes(I.weighted(spark, d))).where("include_scrim").withColumn("ess", F.col("weight") * F.col("weight") / F.col("square"))
+    return p.groupBy("career_id").agg(F.count("*").alias("pairs"), R(F.min("ess"), 4).alias("low"), R(F.percentile("ess", 0.5), 4).alias("median"), R(F.max("ess"), 4).alias("high"), F.count_if(F.col("ess") >= 10).alias("solid"), R(F.sum("weight") / F.sum("games")).alias("kept"))
+
+
+@query(sql("select a.career_id, a.match_type, least(a.champion_id, b.champion_id) as a, greatest(a.champion_id, b.champion_id) as b, count(*) filter (a.side = b.side) as mates, count(*) filter (a.side <> b.side) as foes from pa a join pa b on a.match_id = b.match_id and a.champion_id < b.champion_id group by all"))
+def j26_cooccurrence(spark: SparkSession, d: str) -> DataFrame:
+    """How often each two champions met, on one side and on opposite ones, per career and type of contest; pairs come from a contest's own eight rows."""
+    two = "flatten(transform(stats, x -> transform(filter(stats, y -> y.champion_id > x.champion_id), y -> struct(x.champion_id as a, y.champion_id as b, x.side = y.side as same))))"
+    c = I.contests(spark, d).select("career_id", "match_type", F.explode(F.expr(two)).alias("p"))
+    return c.groupBy("career_id", "match_type", "p.a", "p.b").agg(F.count_if("p.same").alias("mates"), F.count_if(~F.col("p.same")).alias("foes"))
