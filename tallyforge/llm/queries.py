@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, idcodec, linedup, media, nbsvm, packing, rlz, rules, simhash
+from . import bpe, chat, fim, idcodec, lexical, linedup, media, nbsvm, packing, rlz, rules, secretscan, simhash
 from .common import stored, table
 
 
@@ -52,6 +52,18 @@ def op10_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rlz.report(table(spark, sf_dir, "documents"))
 
 
+def op11_best_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.report(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_naive_bayes_svm,
@@ -64,9 +76,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_vector_packing,
         op9_chat_formatting,
         op10_relative_lz,
+        op11_best_position,
+        op12_blob_ledger,
+        op13_fill_in_middle,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_chat_formatting": chat.DIGESTS_SQL}
+    return {
+        "op9_chat_formatting": chat.DIGESTS_SQL,
+        "op11_best_position": lexical.SEARCH_SQL,
+        "op12_blob_ledger": secretscan.REPORT_SQL,
+        "op13_fill_in_middle": fim.DIGESTS_SQL,
+    }
