@@ -24,12 +24,15 @@ from pyspark import RDD
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import groups_for
+
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 #: Parts in the order of each form's output; places in the text are those of PLACE.
 FORMS = {"plain": "", "psm": "psm", "spm": "spm"}
 ORDER = {"psm": (PREFIX, SUFFIX, MIDDLE), "spm": (SUFFIX, PREFIX, MIDDLE)}
 PLACE = {PREFIX: 0, MIDDLE: 1, SUFFIX: 2}
 PIECE = 1 << 15
+PARTITION = 1 << 26
 
 
 @dataclass(frozen=True)
@@ -120,13 +123,15 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
 
-def assembled(made: DataFrame) -> RDD:
+def assembled(docs: DataFrame, settings: Settings = Settings()) -> RDD:
     """((doc_id, tie, copy, position), (piece, about)) sorted within partitions, with all pieces of a document in one.
 
-    Documents are dealt by id and text hash, which a repeated task attempt computes alike.
+    Documents are dealt by id and text hash, which a repeated task attempt computes alike, to as many partitions as keep each at about ``PARTITION`` bytes.
     """
+    made = pieces(docs, settings)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     keyed = made.rdd.map(lambda r: ((-1 if r[0] is None else r[0], r[1], r[2], r[3], r[0] is None), (bytes(r[4]), None if r[6] is None else tuple(r[5:9]))))
-    n = max(int(made.sparkSession.conf.get("spark.sql.shuffle.partitions")), keyed.getNumPartitions())
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), groups_for(size, PARTITION))
     return keyed.repartitionAndSortWithinPartitions(n, lambda key: xxhash.xxh64_intdigest(f"{key[0]}:{key[1]}") & 0x7FFFFFFF)
 
 
@@ -211,7 +216,7 @@ def _report(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
 
 def digests(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Per row: doc_id, n, form, prefix_chars, middle_chars, output_sha256, restored_sha256. Counts are of code points, null if plain."""
-    stream = assembled(pieces(docs, settings)).mapPartitions(_stream)
+    stream = assembled(docs, settings).mapPartitions(_stream)
     resorted = docs.sparkSession.createDataFrame(stream, RESORTED, verifySchema=False).sortWithinPartitions("doc_id", "tie", "copy", "place", "seq")
     return resorted.mapInArrow(_restore, REPORT)
 
@@ -230,7 +235,7 @@ def outputs(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         if key is not None:
             yield (None if key[3] else key[0], form, b"".join(held).decode())
 
-    return docs.sparkSession.createDataFrame(assembled(pieces(docs, settings)).mapPartitions(join), "doc_id long, form string, output string", verifySchema=False)
+    return docs.sparkSession.createDataFrame(assembled(docs, settings).mapPartitions(join), "doc_id long, form string, output string", verifySchema=False)
 
 
 def restored(output: str, form: str) -> str:
