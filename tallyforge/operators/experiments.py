@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,68 +22,24 @@ DRAW_SQL = "((((({i}) * 48271 + ({s}) * 16807 + 12345) % 2147483647) + (((({i})
 
 
 def oriented(contests: DataFrame, seed: int) -> DataFrame:
-    """Contests as left and right champions, sides swapped by a hash; y is 1 if the left side won; margin is left minus right."""
+    """Contests as left and right champions and teams, sides swapped by a hash; y is 1 if the left side won; margin is left minus right."""
     flip = draw("match_id", seed) % 2 == 1
     ids = lambda side: F.transform(F.filter("stats", lambda s: s["side"] == side), lambda s: s["champion_id"])
     c = contests.withColumns({"flip": flip, "_b": ids("BLUE"), "_r": ids("RED")})
     return c.select(
         "career_id", "match_id", "match_type",
         F.when(F.col("flip"), F.col("_r")).otherwise(F.col("_b")).alias("left"), F.when(F.col("flip"), F.col("_b")).otherwise(F.col("_r")).alias("right"),
+        F.when(F.col("flip"), F.col("red_team_id")).otherwise(F.col("blue_team_id")).alias("left_team"), F.when(F.col("flip"), F.col("blue_team_id")).otherwise(F.col("red_team_id")).alias("right_team"),
         ((F.col("winner_side") == "BLUE") != F.col("flip")).cast("int").alias("y"),
         (F.when(F.col("flip"), -1).otherwise(1) * (F.col("blue_score") - F.col("red_score"))).cast("bigint").alias("margin"),
     )
 
 
-def signed_features(o: DataFrame) -> DataFrame:
-    """(match_id, kind, a, b, sign): champions, pairs of a side, and counters with one signed key an unordered pair; all from a contest's own arrays."""
-    def pairs(c: str, s: int) -> str:
-        return f"flatten(transform({c}, x -> transform(filter({c}, y -> y > x), y -> struct('pair' as kind, x as a, y as b, {s} as sign))))"
-
-    every = F.expr(
-        f"""concat(transform(left, x -> struct('champion' as kind, x as a, 0L as b, 1 as sign)), transform(right, x -> struct('champion' as kind, x as a, 0L as b, -1 as sign)),
-        {pairs('left', 1)}, {pairs('right', -1)},
-        flatten(transform(left, x -> transform(right, y -> struct('counter' as kind, least(x, y) as a, greatest(x, y) as b, if(x < y, 1, -1) as sign)))))"""
-    )
-    return o.select("career_id", "match_id", "y", "margin", F.explode(every).alias("f")).select("career_id", "match_id", "y", "margin", "f.*")
-
-
-def champion_vector(o: DataFrame, entities: int, scale: float) -> DataFrame:
-    """A dense signed indicator of the champions, scaled so that a common penalty of the fit is the wanted one."""
-    x = F.transform(F.sequence(F.lit(1), F.lit(entities)), lambda i: (F.array_contains("left", i.cast("bigint")).cast("double") - F.array_contains("right", i.cast("bigint")).cast("double")) * scale)
-    return o.withColumn("features", array_to_vector(x))
-
-
-def logistic(o: DataFrame, entities: int, penalty: float):
-    """Ridge logistic regression without intercept: the columns carry 1 / sqrt(penalty), the regulariser is 1 / rows."""
-    data = champion_vector(o, entities, penalty**-0.5).select("features", F.col("y").cast("double").alias("label"))
-    rows = data.count()
-    return LogisticRegression(fitIntercept=False, standardization=False, regParam=1.0 / max(rows, 1), maxIter=100, tol=1e-9).fit(data)
-
-
-def predicted(model, o: DataFrame, entities: int, penalty: float) -> DataFrame:
-    out = model.transform(champion_vector(o, entities, penalty**-0.5))
-    return out.withColumn("p", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
-
-
 def log_likelihood(p: Column, y: Column) -> Column:
     q = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), p))
     return F.when(y == 1, F.log(q)).otherwise(F.log(1 - q))
 
 
-def cross_validated(o: DataFrame, entities: int, penalties: list[float], folds: int, seed: int) -> DataFrame:
-    """(penalty, fold, contests, log_likelihood, accuracy): a fit for each of folds x penalties, each distributed over the contests."""
-    f = o.withColumn("fold", draw("match_id", seed) % folds)
-    out = None
-    for penalty in penalties:
-        for k in range(folds):
-            m = logistic(f.where(F.col("fold") != k), entities, penalty)
-            p = predicted(m, f.where(F.col("fold") == k), entities, penalty)
-            row = p.agg(F.count("*").alias("contests"), F.avg(log_likelihood(F.col("p"), F.col("y"))).alias("log_likelihood"), F.avg(((F.col("p") > 0.5).cast("int") == F.col("y")).cast("double")).alias("accuracy"))
-            row = row.select(F.lit(penalty).alias("penalty"), F.lit(k).alias("fold"), "*")
-            out = row if out is None else out.unionByName(row)
-    return out
-
-
 def gram_by_fold(rows: DataFrame, keys: list[str], term: Column, target: str, weight: str) -> DataFrame:
     """Sums (keys, fold, j, k, v) of least squares: v is sum w x_j x_k, with k '' for sum w x_j y and j and k '' for sum w y y; a fold's training sums are the total less its own.
 
@@ -162,31 +116,6 @@ def decomposition(moments: DataFrame, least: int, by: list[str] | None = None) -
     return m.groupBy(*by).agg(*aggs) if by else m.agg(*aggs)
 
 
-def bootstrap(sides: DataFrame, replicates: int, least: int, seed: int) -> DataFrame:
-    """(replicate, residual): the residual variance with labels drawn again from p. Replicates are a column, so all run in one grouping."""
-    r = sides.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    ident = F.col("match_id") * 2 + (F.col("side") == "BLUE").cast("int")
-    drawn = r.withColumn("won", (draw(ident, F.col("replicate").cast("bigint") * 7919 + seed) / float(MODULUS) < F.col("p")).cast("int"))
-    return decomposition(combo_moments(drawn, ["replicate"]), least, ["replicate"]).select("replicate", "combos", "residual")
-
-
-def power(sides: DataFrame, effects: list[float], replicates: int, least: int, seed: int) -> DataFrame:
-    """(effect, replicate, residual): chances moved by a normal effect of each combo with the given spread, drawn, and decomposed."""
-    grid = sides.withColumn("effect", F.explode(F.array(*map(F.lit, effects)))).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-
-    def pseudo_normal(pair: Column, s: Column) -> Column:
-        u = [draw(pair, s * 13 + k) / float(MODULUS) for k in range(4)]
-        return (u[0] + u[1] + u[2] + u[3] - 2) * (3**0.5)
-
-    shift = F.aggregate(
-        F.flatten(F.transform("c", lambda x: F.transform(F.filter("c", lambda y: y > x), lambda y: x * 64 + y))), F.lit(0.0), lambda acc, pair: acc + pseudo_normal(pair, F.col("replicate").cast("bigint") * 104729 + seed) * F.col("effect")
-    )
-    ident = F.col("match_id") * 2 + (F.col("side") == "BLUE").cast("int")
-    moved = grid.withColumn("q", F.greatest(F.lit(0.01), F.least(F.lit(0.99), F.col("p") + shift)))
-    drawn = moved.withColumn("won", (draw(ident, F.col("replicate").cast("bigint") * 7919 + seed) / float(MODULUS) < F.col("q")).cast("int"))
-    return decomposition(combo_moments(drawn, ["effect", "replicate"]), least, ["effect", "replicate"]).select("effect", "replicate", "combos", "residual", "noise")
-
-
 def half_life_grid(rows: DataFrame, lives: list[float], k: float = 24.0) -> DataFrame:
     """(half_life, champion, rate, kept, ess): shrunk rates under each half-life of elapsed boundaries; 0 means no decay."""
     g = rows.withColumn("half_life", F.explode(F.array(*map(F.lit, lives))))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import estimates as E
 from ..operators import estimates as O
 from ..operators import experiments as X
+from ..operators import logit as L
+from ..operators import refits as RF
 from ..sources import views as V
 from . import inputs as I
 from .estimates import FITTED, PAIRS, TIER_SQL
@@ -31,45 +33,63 @@ def j1_oriented(spark: SparkSession, d: str) -> DataFrame:
     return oriented(spark, d).select("match_id", "y", "margin", F.expr("aggregate(left, 0L, (a, x) -> a + x)").alias("left_ids"))
 
 
-@query(sql("select kind, a, b, count(*) as n, sum(sign)::bigint as net from (select 'champion' as kind, champion_id as a, 0::bigint as b, sign from os union all select 'pair', x.champion_id, y.champion_id, x.sign from os x join os y on x.match_id = y.match_id and x.sign = y.sign and x.champion_id < y.champion_id union all select 'counter', least(x.champion_id, y.champion_id), greatest(x.champion_id, y.champion_id), case when x.champion_id < y.champion_id then 1 else -1 end from os x join os y on x.match_id = y.match_id and x.sign = 1 and y.sign = -1) group by all", OR))
+#: Signed terms of every block, champions of a side, of opponents and of teams joined with each other.
+TERMS = OR + """,
+tm as (
+  select match_id, y, 'champion' as kind, champion_id as a, 0::bigint as b, 0::bigint as c, sign from os
+  union all select match_id, y, 'team', career_id::bigint, (case when flip then red_team_id else blue_team_id end)::bigint, 0, 1 from og where match_type = 'OFFICIAL'
+  union all select match_id, y, 'team', career_id::bigint, (case when flip then blue_team_id else red_team_id end)::bigint, 0, -1 from og where match_type = 'OFFICIAL'
+  union all select x.match_id, x.y, 'pair', x.champion_id, y.champion_id, 0, x.sign from os x join os y on x.match_id = y.match_id and x.sign = y.sign and x.champion_id < y.champion_id
+  union all select x.match_id, x.y, 'triple', x.champion_id, y.champion_id, z.champion_id, x.sign
+    from os x join os y on x.match_id = y.match_id and x.sign = y.sign and x.champion_id < y.champion_id join os z on z.match_id = x.match_id and z.sign = x.sign and y.champion_id < z.champion_id
+  union all select x.match_id, x.y, 'counter', least(x.champion_id, y.champion_id), greatest(x.champion_id, y.champion_id), 0, case when x.champion_id < y.champion_id then 1 else -1 end
+    from os x join os y on x.match_id = y.match_id and x.sign = 1 and y.sign = -1)"""
+BASE_GRID, EXTRA_GRID, FOLDS = [1.0, 4.0, 16.0, 64.0], [4.0, 16.0, 64.0, 256.0], 5
+
+
+@query(sql("select kind, a, b, c, count(*) as n, sum(sign)::bigint as net from tm group by all", TERMS))
 def j2_signed_features(spark: SparkSession, d: str) -> DataFrame:
-    return X.signed_features(oriented(spark, d)).groupBy("kind", "a", "b").agg(F.count("*").alias("n"), F.sum("sign").alias("net"))
+    return L.signed_terms(oriented(spark, d)).groupBy("kind", "a", "b", "c").agg(F.count("*").alias("n"), F.sum("sign").alias("net"))
 
 
-@query(sql("select champion_id, sum(sign * y)::bigint as moment, count(*) as n, true as optimal from os group by all", OR))
+@query(sql("select kind, a, b, c, count(*) as n, sum(sign * y)::double as moment from tm group by all", TERMS))
 def j3_ridge_logistic(spark: SparkSession, d: str) -> DataFrame:
-    """Per champion the sufficient statistic, and whether the penalised gradient of the fit vanishes."""
+    """All blocks fitted, champions and teams under penalty 16, combos under 64. ``moment`` is the chance-weighted sum of signs plus the penalty's pull,
+    from coefficients and chances alone: at the minimum, and only there, it equals the sum of signed wins of the data."""
     o = oriented(spark, d)
-    p = X.predicted(X.logistic(o, 40, 16.0), o, 40, 16.0)
-    model = X.logistic(o, 40, 16.0)
-    theta = spark.createDataFrame([(i + 1, float(t) / 4.0) for i, t in enumerate(model.coefficients)], "champion_id bigint, theta double")
-    long = p.select("y", "p", F.explode(F.expr("concat(transform(left, x -> struct(x as champion_id, 1 as sign)), transform(right, x -> struct(x as champion_id, -1 as sign)))")).alias("f")).select("y", "p", "f.*")
-    g = long.groupBy("champion_id").agg(F.sum(F.col("sign") * F.col("y")).alias("moment"), F.count("*").alias("n"), F.sum(F.col("sign") * (F.col("y") - F.col("p"))).alias("gradient"))
-    return g.join(theta, "champion_id").select("champion_id", "moment", "n", (F.abs(F.col("gradient") - 16.0 * F.col("theta")) < 1e-2).alias("optimal"))
+    fits = [L.Fit("M6", 16.0, 64.0)]
+    problem = L.packed(o, F.array("y"), F.array(F.lit(0)))
+    thetas = L.solve(problem, fits)
+    p = L.scores(problem, fits, thetas).select("match_id", "p")
+    sums = L.signed_terms(o).join(p, "match_id").groupBy("kind", "a", "b", "c").agg(F.count("*").alias("n"), F.sum(F.col("sign") * F.col("p")).alias("expected"))
+    pull = F.when(F.col("kind").isin(*L.BASE_KINDS), 16.0).otherwise(64.0) * F.col("theta")
+    return sums.join(L.coefficients(problem, "M6", thetas[0]), ["kind", "a", "b", "c"]).select("kind", "a", "b", "c", "n", R(F.col("expected") + pull, 3).alias("moment"))
 
 
 @query()
 def j4_log_likelihood(spark: SparkSession, d: str) -> DataFrame:
+    """Champions and teams (penalty 16), in sample: mean log-likelihood and accuracy of each career."""
     o = oriented(spark, d)
-    p = X.predicted(X.logistic(o, 40, 16.0), o, 40, 16.0)
-    return p.groupBy("career_id").agg(F.count("*").alias("contests"), F.avg(X.log_likelihood(F.col("p"), F.col("y"))).alias("log_likelihood"), F.avg(((F.col("p") > 0.5).cast("int") == F.col("y")).cast("double")).alias("accuracy"))
+    fits = [L.Fit("M2", 16.0)]
+    problem = L.packed(o, F.array("y"), F.array(F.lit(0)))
+    held = L.scores(problem, fits, L.solve(problem, fits)).join(o.select("match_id", "career_id"), "match_id")
+    return held.groupBy("career_id").agg(F.count("*").alias("contests"), F.avg("log_likelihood").alias("log_likelihood"), F.avg("hit").alias("accuracy"))
+
+
+def held_out(spark: SparkSession, d: str) -> DataFrame:
+    return L.cross_validated(oriented(spark, d), (X.draw("match_id", SEED) % FOLDS).cast("int"), FOLDS, BASE_GRID, EXTRA_GRID)
 
 
 @query()
 def j5_cross_validation(spark: SparkSession, d: str) -> DataFrame:
-    return X.cross_validated(oriented(spark, d), 40, [16.0, 64.0], 3, SEED)
+    """Every nested model under every pair of penalties, held out by fold, and which penalties each model chooses."""
+    return L.settings(held_out(spark, d)).drop("setting")
 
 
 @query()
 def j6_model_comparison(spark: SparkSession, d: str) -> DataFrame:
-    """The champion model against a coin: mean, error and t of the paired difference of held-out log-likelihoods."""
-    o = oriented(spark, d).withColumn("fold", X.draw("match_id", SEED) % 3)
-    out = None
-    for k in range(3):
-        p = X.predicted(X.logistic(o.where(F.col("fold") != k), 40, 16.0), o.where(F.col("fold") == k), 40, 16.0).select("match_id", (X.log_likelihood(F.col("p"), F.col("y")) - F.log(F.lit(0.5))).alias("gain"))
-        out = p if out is None else out.unionByName(p)
-    t = out.agg(F.count("*").alias("n"), F.avg("gain").alias("mean"), (F.stddev_samp("gain") / F.sqrt(F.count("*"))).alias("se"))
-    return t.withColumn("t", F.col("mean") / F.col("se")).withColumn("real", F.abs("t") > 2)
+    """What champions, teams, pairs, triples and counters add to held-out log-likelihood: paired mean, standard error, t and verdict."""
+    return L.compared(held_out(spark, d))
 
 
 @query()
@@ -122,11 +142,9 @@ def j10_variance_decomposition(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def j11_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    """The p-value of the residual variance under labels drawn from the fitted chances."""
-    sides = X.side_rates(I.facts(spark, d))
-    seen = X.decomposition(X.combo_moments(sides), LEAST).select(F.col("residual").alias("seen"))
-    b = X.bootstrap(sides, 20, LEAST, SEED).join(F.broadcast(seen), how="cross")  # one row
-    return b.agg(F.count("*").alias("replicates"), F.max("seen").alias("seen"), F.avg("residual").alias("null"), ((F.count_if(F.col("residual") >= F.col("seen")) + 1) / (F.count("*") + 1)).alias("p_value"))
+    """What pairs, triples and counters vary beyond champions alone, and beyond champions and teams, against refitted replicates of the fitted chances."""
+    o = oriented(spark, d)
+    return RF.bootstrap(o, "M1", 20, LEAST, SEED).withColumn("model", F.lit("M1")).unionByName(RF.bootstrap(o, "M2", 20, LEAST, SEED).withColumn("model", F.lit("M2")))
 
 
 @query(sql("select round(greatest(residual - noise, 0) / residual, 6) as reliability, round(case when residual > noise then noise / (residual - noise) else null end, 3) as needed from (select var_pop((wins - expected) / n) as residual, avg(noise / (n * n)) as noise from cm where n >= 5)", SIDES))
@@ -139,8 +157,8 @@ def j12_reliability(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def j13_power(spark: SparkSession, d: str) -> DataFrame:
-    p = X.power(X.side_rates(I.facts(spark, d)), [0.0, 0.05, 0.1], 5, LEAST, SEED)
-    return p.groupBy("effect").agg(F.count("*").alias("replicates"), F.avg("residual").alias("residual"), F.avg("noise").alias("noise"))
+    """How often held-out comparison finds pair effects of a known spread."""
+    return RF.power(oriented(spark, d), [0.0, 0.1, 0.2, 0.3, 0.45, 0.6], 10, FOLDS, SEED)
 
 
 @query(sql("select career_id, coalesce(patch_seq, 0)::bigint as patch_seq, count(distinct match_id) as contests, round(sum(w) / count(*), 6) as kept, max(elapsed)::bigint as elapsed, max(self_d)::bigint as self_d from wt group by all"))
