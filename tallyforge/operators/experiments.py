@@ -102,10 +102,13 @@ def side_rates(rows: DataFrame, k: float = 24.0) -> DataFrame:
     return rows.join(r, "champion_id").groupBy("match_id", "side").agg(F.array_sort(F.collect_list("champion_id")).alias("c"), F.max(F.col("is_winner").cast("int")).alias("won"), F.avg("r").alias("p"))
 
 
-def combo_moments(sides: DataFrame, extra: list[str] | None = None) -> DataFrame:
-    """(a, b, n, wins, expected, noise) of pairs on a side: observed and expected wins and the sum of p (1 - p)."""
-    pairs = sides.withColumn("a", F.explode("c")).withColumn("b", F.explode(F.expr("filter(c, x -> x > a)")))
-    return pairs.groupBy(*(extra or []), "a", "b").agg(F.count("*").alias("n"), F.sum("won").alias("wins"), F.sum("p").alias("expected"), F.sum(F.col("p") * (1 - F.col("p"))).alias("noise"))
+def combo_moments(sides: DataFrame, extra: list[str] | None = None, size: int = 2) -> DataFrame:
+    """(a, b, n, wins, expected, noise) of pairs on a side, or (a, b, c3, ...) of triples: observed and expected wins and the sum of p (1 - p), the moments of a Poisson binomial."""
+    combos = sides.withColumn("a", F.explode("c")).withColumn("b", F.explode(F.expr("filter(c, x -> x > a)")))
+    keys = [*(extra or []), "a", "b"]
+    if size == 3:
+        combos, keys = combos.withColumn("c3", F.explode(F.expr("filter(c, x -> x > b)"))), [*keys, "c3"]
+    return combos.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("won").alias("wins"), F.sum("p").alias("expected"), F.sum(F.col("p") * (1 - F.col("p"))).alias("noise"))
 
 
 def decomposition(moments: DataFrame, least: int, by: list[str] | None = None) -> DataFrame:
@@ -136,6 +139,71 @@ def grid_summary(grid: DataFrame) -> DataFrame:
     )
 
 
+#: Self half-lives of the grid that stand for no decay, and for dropping all that precedes a champion's last change.
+NO_DECAY, HARD_CUT = 1e9, 0.0
+
+
+def decay_grid(rows: DataFrame, self_lives: list[float], lives: list[float], k: float = 24.0) -> DataFrame:
+    """(self_life, life, changed, kept, mean_shift, max_shift, max_move): what each pair of half-lives, of a champion's own changes and of boundaries passed, does to shrunk
+    rates. Shares and shifts are of champions that changed within the data, rank moves of all, each against no decay on either axis.
+
+    Observations are counted by champion and distances before they meet the grid, so its cells multiply a few sums and not the rows.
+    """
+    sums = rows.groupBy("champion_id", "elapsed", "self_d").agg(F.count("*").alias("n"), F.sum(F.col("is_winner").cast("int")).alias("v"))
+    changed = sums.groupBy("champion_id").agg(F.max(F.col("self_d") > 0).alias("changed"))
+    cell = F.explode(F.array(*(F.struct(F.lit(s).alias("self_life"), F.lit(x).alias("life")) for s in self_lives for x in lives)))
+    by_self = F.when(F.col("g.self_life") == HARD_CUT, (F.col("self_d") == 0).cast("double")).otherwise(F.pow(F.lit(0.5), F.col("self_d") / F.col("g.self_life")))
+    weight = by_self * F.pow(F.lit(0.5), F.col("elapsed") / F.col("g.life"))
+    each = sums.withColumn("g", cell).withColumn("w", weight).groupBy("g.self_life", "g.life", "champion_id").agg(F.sum(F.col("w") * F.col("n")).alias("sw"), F.sum(F.col("w") * F.col("v")).alias("sv"))
+    # To nine places, so that rates which are equal rank by id whatever the order of sums.
+    rated = each.withColumn("rate", F.round((F.col("sv") + k / 2) / (F.col("sw") + k), 9))
+    placed = rated.withColumn("place", F.row_number().over(Window.partitionBy("self_life", "life").orderBy("rate", "champion_id"))).join(changed, "champion_id")
+    base = placed.where((F.col("self_life") == NO_DECAY) & (F.col("life") == NO_DECAY)).select("champion_id", F.col("rate").alias("r0"), F.col("sw").alias("w0"), F.col("place").alias("p0"))
+    of = lambda c: F.when(F.col("changed"), c)
+    shift = F.abs(F.col("rate") - F.col("r0"))
+    return placed.join(base, "champion_id").groupBy("self_life", "life").agg(
+        F.count_if("changed").alias("changed"), (F.sum(of(F.col("sw"))) / F.sum(of(F.col("w0")))).alias("kept"), F.avg(of(shift)).alias("mean_shift"), F.max(of(shift)).alias("max_shift"), F.max(F.abs(F.col("place") - F.col("p0"))).cast("bigint").alias("max_move")
+    )
+
+
+def ranked_by_draw(df: DataFrame, by: list[str], ident: str, seed: int, buckets: int = 1024) -> DataFrame:
+    """Adds ``place``, from 0, in the order of a hash of ``ident`` within ``by``. Rows are numbered within ranges of the hash and the ranges' counts are added up, so no task sorts a whole group."""
+    d = df.withColumn("_draw", draw(ident, seed)).withColumn("_bucket", F.floor(F.col("_draw") / (MODULUS // buckets + 1)).cast("int"))
+    sizes = d.groupBy(*by, "_bucket").count()
+    first = sizes.withColumn("_first", F.sum("count").over(Window.partitionBy(*by).orderBy("_bucket")) - F.col("count")).drop("count")  # as many rows as buckets
+    within = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy("_draw", ident)) - 1
+    return d.withColumn("_within", within).join(first, [*by, "_bucket"]).withColumn("place", F.col("_first") + F.col("_within")).drop("_draw", "_bucket", "_within", "_first")
+
+
+def elements(df: DataFrame, value: str, by: list[str], places: dict[str, Column], buckets: int = 4096) -> DataFrame:
+    """(by, n, places): elements of the sorted values in [0, 1] of each group; ``places`` are expressions of n, from 0. Exact: a histogram tells which narrow range has each place, and only that is sorted."""
+    d = df.select(*by, value).withColumn("_bucket", F.least(F.floor(F.col(value) * buckets), F.lit(buckets - 1)).cast("int"))
+    w = Window.partitionBy(*by)
+    hist = d.groupBy(*by, "_bucket").agg(F.count("*").alias("_c")).withColumn("n", F.sum("_c").over(w)).withColumn("_first", F.sum("_c").over(w.orderBy("_bucket")) - F.col("_c"))
+    wanted = F.array(*(F.struct(F.lit(k).alias("name"), p.cast("bigint").alias("place")) for k, p in places.items()))
+    where = hist.withColumn("_p", F.explode(wanted)).where("_p.place >= _first and _p.place < _first + _c").select(*by, "_bucket", "n", "_p", "_first")
+    # Numbered once a range, however many places lie in it.
+    ranges = where.groupBy(*by, "_bucket", "n", "_first").agg(F.collect_list("_p").alias("_ps"))
+    sorted_ = d.join(ranges, [*by, "_bucket"]).withColumn("_at", F.col("_first") + F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy(value)) - 1)
+    hit = sorted_.withColumn("_p", F.explode("_ps")).where("_p.place = _at")
+    return hit.groupBy(*by, "n").agg(*(F.max(F.when(F.col("_p.name") == k, F.col(value))).alias(k) for k in places))
+
+
+def split_deviation(rows: DataFrame, seed: int, k0: float = 24.0, k1: float = 15.0) -> DataFrame:
+    """(split, champion, n, dev): how far each champion's rate in a version's contests, shrunk to its whole rate, lies from it; split 'version', and 'random' for
+    as many contests dealt by a hash into windows of the same sizes."""
+    contests = rows.where("patch_seq is not null").select("career_id", "match_id", "patch_seq").distinct()
+    sizes = contests.groupBy("career_id", "patch_seq").count()
+    edges = sizes.groupBy("career_id").agg(F.array_sort(F.collect_list(F.struct("patch_seq", "count"))).alias("s"))  # a career's versions
+    edges = edges.withColumn("ends", F.transform("s", lambda x, i: F.aggregate(F.slice("s", 1, i + 1), F.lit(0).cast("bigint"), lambda a, y: a + y["count"])))
+    dealt = ranked_by_draw(contests, ["career_id"], "match_id", seed).join(edges, "career_id").select("match_id", F.size(F.filter("ends", lambda e: e <= F.col("place"))).alias("_window"))
+    won = F.col("is_winner").cast("int")
+    whole = rows.groupBy("career_id", "champion_id").agg(((F.sum(won) + k0 / 2) / (F.count("*") + k0)).alias("t"))
+    both = rows.join(dealt, "match_id").withColumn("x", F.explode(F.array(F.struct(F.lit("version").alias("split"), F.col("patch_seq").cast("int").alias("win")), F.struct(F.lit("random").alias("split"), F.col("_window").alias("win")))))
+    each = both.groupBy("x.split", "career_id", "champion_id", "x.win").agg(F.count("*").alias("n"), F.sum(won).alias("v"))
+    return each.join(whole, ["career_id", "champion_id"]).select("split", "champion_id", "n", F.abs((F.col("v") + k1 * F.col("t")) / (F.col("n") + k1) - F.col("t")).alias("dev"))
+
+
 def windows(rows: DataFrame, events: DataFrame) -> DataFrame:
     """(career, champion, seq, n0, r0, n1, r1, touched, direction): win rates in the windows before and from each boundary, and what it did to the champion."""
     each = rows.withColumn("win", F.coalesce("patch_seq", F.lit(0))).groupBy("career_id", "champion_id", "win").agg(F.count("*").alias("n"), F.avg(F.col("is_winner").cast("double")).alias("r"))

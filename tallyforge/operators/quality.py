@@ -58,6 +58,16 @@ def mismatches(actual: DataFrame, manifest: DataFrame, key: str) -> DataFrame:
     return a.join(m, key, "full_outer").where("not (_a <=> _m)").select(key, F.col("_a").alias("actual"), F.col("_m").alias("expected"))
 
 
+def reconciled(actual: DataFrame, manifest: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, state, rows, expected_rows) of the record sets whose digests (keys, rows, digest) are not those of a manifest: 'missing' from the records, 'extra' there, or
+    'changed'. Keys may be null, and a null key is a key like others; both sides are as many as there are ranges of records."""
+    a, m = actual.select(*keys, F.col("rows").alias("_r"), F.col("digest").alias("_d"), F.lit(True).alias("_a")), manifest.select(*(F.col(k).alias(f"_m_{k}") for k in keys), F.col("rows").alias("_s"), F.col("digest").alias("_e"), F.lit(True).alias("_m"))
+    same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_m_{k}")) for k in keys))
+    joined = a.join(m, same, "full_outer").where("_a is null or _m is null or not (_d <=> _e)")
+    names = [F.when(F.col("_a").isNull(), F.col(f"_m_{k}")).otherwise(F.col(k)).alias(k) for k in keys]
+    return joined.select(*names, F.when(F.col("_a").isNull(), "missing").when(F.col("_m").isNull(), "extra").otherwise("changed").alias("state"), F.col("_r").alias("rows"), F.col("_s").alias("expected_rows"))
+
+
 def row_counts(tables: dict[str, DataFrame], expected: dict[str, int]) -> DataFrame:
     """(name, rows, complete): how many rows each seeded dimension has, and whether that is the number expected. ``require`` makes a failure of it."""
     each = [df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows", (F.col("rows") == F.lit(expected[name])).alias("complete")) for name, df in tables.items()]

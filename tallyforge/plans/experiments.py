@@ -131,6 +131,21 @@ cm as (select a.champion_id as a, b.champion_id as b, count(*) as n, sum(sd.won)
 LEAST = 5
 
 
+_TRIPLES = "select a.champion_id as a, b.champion_id as b, c.champion_id as c3, count(*) as n, sum(sd.won) as wins, sum(p) as expected, sum(p * (1 - p)) as noise from sd join pa a on a.match_id = sd.match_id and a.side = sd.side join pa b on b.match_id = sd.match_id and b.side = sd.side and a.champion_id < b.champion_id join pa c on c.match_id = sd.match_id and c.side = sd.side and b.champion_id < c.champion_id group by all"
+
+
+@query(sql("select a, b, n, wins::bigint as wins, round(expected, 6) as expected, round(noise, 6) as noise from cm", SIDES))
+def g9_moments_of_two(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of a side: contests, wins, the wins that their champions' rates lead to expect, and what chance scatters."""
+    return moments(spark, d).select("a", "b", "n", "wins", R("expected").alias("expected"), R("noise").alias("noise"))
+
+
+@query(sql(f"select a, b, c3, n, wins::bigint as wins, round(expected, 6) as expected, round(noise, 6) as noise from ({_TRIPLES})", SIDES))
+def g9_moments_of_three(spark: SparkSession, d: str) -> DataFrame:
+    m = X.combo_moments(X.side_rates(I.facts(spark, d)), size=3)
+    return m.select("a", "b", "c3", "n", "wins", R("expected").alias("expected"), R("noise").alias("noise"))
+
+
 def moments(spark: SparkSession, d: str) -> DataFrame:
     return X.combo_moments(X.side_rates(I.facts(spark, d)))
 
@@ -194,15 +209,21 @@ def j16_before_after(spark: SparkSession, d: str) -> DataFrame:
     return windows(spark, d).where("n0 >= 8 and n1 >= 8").groupBy("career_id", F.col("seq").cast("bigint").alias("seq"), "touched").agg(F.count("*").alias("champions"), R(F.avg(F.abs(F.col("r1") - F.col("r0")))).alias("shift"))
 
 
-@query(sql("select round(max(dev) filter (rn = n // 2 + 1), 6) as median, round(max(dev) filter (rn = (n * 9) // 10 + 1), 6) as p90, max(n) as estimates from (select dev, row_number() over (order by dev) as rn, count(*) over () as n from (select abs((p.v + 15 * o.t) / (p.n + 15) - o.t) as dev from (select career_id, champion_id, patch_seq, count(*) as n, sum(is_winner::int) as v from pa where patch_seq is not null group by all) p join (select career_id, champion_id, (sum(is_winner::int) + 12.0) / (count(*) + 24) as t from pa group by all) o using (career_id, champion_id)))"))
+@query(sql(f"""select split, max(n) as estimates, count(*) filter (c >= 10) as solid, round(max(dev) filter (rn = n // 2 + 1), 6) as median, round(max(dev) filter (rn = (n * 9) // 10 + 1), 6) as p90, round(max(dev), 6) as most
+  from (select split, c, dev, row_number() over (partition by split order by dev) as rn, count(*) over (partition by split) as n
+    from (select split, c, abs((v + 15 * t) / (c + 15) - t) as dev from (
+      select 'version' as split, career_id, champion_id, patch_seq as win, count(*) as c, sum(is_winner::int) as v from pa where patch_seq is not null group by all
+      union all select 'random', career_id, champion_id, win, count(*), sum(is_winner::int) from pa join dw using (match_id, career_id) group by all)
+    join (select career_id, champion_id, (sum(is_winner::int) + 12.0) / (count(*) + 24) as t from pa group by all) using (career_id, champion_id))) group by split""", V.SQL + f""",
+sz as (select career_id, patch_seq, sum(count(*)) over (partition by career_id order by patch_seq) as stop from ct where patch_seq is not null group by career_id, patch_seq),
+dr as (select career_id, match_id, row_number() over (partition by career_id order by {X.DRAW_SQL.format(i='match_id', s=SEED)}, match_id) - 1 as place from ct where patch_seq is not null),
+dw as (select dr.career_id, match_id, min(patch_seq) as win from dr join sz on sz.career_id = dr.career_id and place < stop group by all)"""))
 def j17_patch_deviation(spark: SparkSession, d: str) -> DataFrame:
-    """Deviation of each version's estimate from the whole; median and p90 are elements of the sorted list, found by exact counts of distinct values."""
-    f = I.facts(spark, d)
-    whole = f.groupBy("career_id", "champion_id").agg(((F.sum(F.col("is_winner").cast("int")) + 12) / (F.count("*") + 24)).alias("t"))
-    each = f.where("patch_seq is not null").groupBy("career_id", "champion_id", "patch_seq").agg(F.count("*").alias("n"), F.sum(F.col("is_winner").cast("int")).alias("v"))
-    dev = each.join(whole, ["career_id", "champion_id"]).select(F.abs((F.col("v") + 15 * F.col("t")) / (F.col("n") + 15) - F.col("t")).alias("dev"))
-    s = dev.agg(F.array_sort(F.collect_list("dev")).alias("x"))  # bounded: champions times versions
-    return s.select(R(F.col("x")[F.floor(F.size("x") / 2).cast("int")]).alias("median"), R(F.col("x")[F.floor(F.size("x") * 9 / 10).cast("int")]).alias("p90"), F.size("x").cast("bigint").alias("estimates"))
+    """Deviation of each version's estimate from the whole, beside that of random windows of the same sizes; median and p90 are elements of the sorted list."""
+    dev = X.split_deviation(I.facts(spark, d), SEED)
+    at = X.elements(dev, "dev", ["split"], {"median": F.floor(F.col("n") / 2), "p90": F.floor(F.col("n") * 9 / 10)})
+    rest = dev.groupBy("split").agg(F.count_if(F.col("n") >= 10).alias("solid"), R(F.max("dev")).alias("most"))
+    return at.join(rest, "split").select("split", F.col("n").alias("estimates"), "solid", R("median").alias("median"), R("p90").alias("p90"), "most")
 
 
 def _spread(value) -> list:
@@ -244,6 +265,23 @@ def j20_stale_share(spark: SparkSession, d: str) -> DataFrame:
     return t.select("career_id", "champion_id", "games", R(1 - F.col("fresh") / F.col("games")).alias("stale"), R((F.col("fw") + 12) / (F.col("fresh") + 24) - (F.col("wins") + 12) / (F.col("games") + 24)).alias("hard_cut"))
 
 
+SELF_LIVES, AGE_LIVES = [X.NO_DECAY, 2.0, 1.0, 0.5, X.HARD_CUT], [X.NO_DECAY, 4.0, 1.0]
+DECAY = V.SQL + f""",
+dg as (select self_life, life, champion_id, round((sum(gw * is_winner::int) + 12) / (sum(gw) + 24), 9) as rate, sum(gw) as sw from (
+  select champion_id, is_winner, s.self_life, a.life, case when s.self_life = 0 then (self_d = 0)::int::double else pow(0.5, self_d / s.self_life) end * pow(0.5, elapsed / a.life) as gw
+  from wt, (values {", ".join(f"({x}::double)" for x in SELF_LIVES)}) s(self_life), (values {", ".join(f"({x}::double)" for x in AGE_LIVES)}) a(life)) group by all),
+dp as (select *, row_number() over (partition by self_life, life order by rate, champion_id) as place from dg),
+dc as (select distinct champion_id from wt where self_d > 0),
+dj as (select x.*, b.rate as r0, b.sw as w0, b.place as p0, dc.champion_id is not null as changed from dp x join dp b on b.champion_id = x.champion_id and b.self_life = 1e9 and b.life = 1e9 left join dc on dc.champion_id = x.champion_id)"""
+
+
+@query(sql("select self_life, life, count(*) filter (changed) as changed, round(sum(sw) filter (changed) / sum(w0) filter (changed), 6) as kept, round(avg(abs(rate - r0)) filter (changed), 6) as mean_shift, round(max(abs(rate - r0)) filter (changed), 6) as max_shift, max(abs(place - p0))::bigint as max_move from dj group by all", DECAY))
+def j20_decay_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Half-lives of own changes, down to a hard cut, beside half-lives of age: rates kept and moved, and rank moves."""
+    g = X.decay_grid(I.weighted(spark, d), SELF_LIVES, AGE_LIVES)
+    return g.select("self_life", "life", "changed", *(R(c).alias(c) for c in ("kept", "mean_shift", "max_shift")), "max_move")
+
+
 @query(sql("select champion_id, sum(attack) filter (career_id = 1)::bigint as first, sum(attack) filter (career_id = 2)::bigint as second from pe group by champion_id having count(distinct sign(attack)) filter (attack <> 0) > 1"))
 def j21_divergence(spark: SparkSession, d: str) -> DataFrame:
     e = I.events(spark, d)

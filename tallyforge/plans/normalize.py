@@ -51,6 +51,21 @@ def a12_canonical_digest(spark: SparkSession, d: str) -> DataFrame:
     return Q.canonical_digest(I.raw(spark, d), ["match_type"], "match_id", ["match_id", "blue_score", "red_score"])
 
 
+#: A manifest that was written before some ranges changed, came or went: ranges of 16 contests; unranked ones are the set without a name.
+_DIGESTS = "dg as (select nullif(match_type, 'SCRIM') as kind, match_id // 16 as range, count(*) as rows, sha256(string_agg(match_id || ':' || blue_score || ':' || red_score, ',' order by match_id)) as digest from mt group by all)"
+_MANIFEST = "mn as (select kind, case when range % 5 = 1 then range + 100000 else range end as range, case when range % 4 = 2 then rows + 1 else rows end as rows, case when range % 4 = 2 then 'x' || digest else digest end as digest from dg)"
+
+
+@query(sql("select coalesce(a.kind, m.kind) as kind, coalesce(a.range, m.range) as range, case when a.rows is null then 'missing' when m.rows is null then 'extra' else 'changed' end as state, a.rows as rows, m.rows as expected_rows from dg a full outer join mn m on coalesce(a.kind, '~') = coalesce(m.kind, '~') and a.range = m.range where a.digest is distinct from m.digest", f"{V.SQL_RAW}, {_DIGESTS}, {_MANIFEST}"))
+def a12_manifest_report(spark: SparkSession, d: str) -> DataFrame:
+    """Record sets compared with a manifest: which are missing, extra or changed."""
+    named = I.raw(spark, d).withColumn("kind", F.expr("nullif(match_type, 'SCRIM')"))
+    actual = Q.canonical_digest(named, ["kind"], "match_id", ["match_id", "blue_score", "red_score"], 16)
+    old = "range % 4 = 2"
+    manifest = actual.selectExpr("kind", "if(range % 5 = 1, range + 100000, range) as range", f"if({old}, rows + 1, rows) as rows", f"if({old}, concat('x', digest), digest) as digest")
+    return Q.reconciled(actual, manifest, ["kind", "range"])
+
+
 @query(sql("select career_id, count(*) filter (n = 8 and nd = 8 and winner_side is not null) as kept, count(*) filter (not (n = 8 and nd = 8)) as bad_format, count(*) filter (n = 8 and nd = 8 and winner_side is null) as no_winner from mt group by all", V.SQL_RAW))
 def b1_fixed_format(spark: SparkSession, d: str) -> DataFrame:
     return N.skipped(I.raw(spark, d))
