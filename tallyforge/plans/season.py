@@ -15,21 +15,21 @@ BASE = V.SQL_SCHEDULE + """,
 sw as (select *, progress >= 1 as played, case when progress >= 1 and blue_score > red_score then blue_team_id when progress >= 1 and red_score > blue_score then red_team_id end as winner_id from sc),
 tm as (select schedule_id, competition_id, season, day, played, winner_id, case s.me when 'blue' then blue_team_id else red_team_id end as team_id, case s.me when 'blue' then 1 else -1 end * (blue_score - red_score) as sd, case s.me when 'blue' then 1 else -1 end * (blue_kill - red_kill) as kd from sw, (values ('blue'), ('red')) s(me)),
 dl as (select competition_id, season, team_id, day, count(*) as n, count(*) filter (winner_id = team_id) as w, sum(sd) as s, sum(kd) as k from tm where played group by all),
-cu as (select competition_id, season, team_id, day, sum(n) over w as n, sum(w) over w as w, sum(s) over w as s, sum(k) over w as k from dl window w as (partition by competition_id, season, team_id order by day)),
-sp as (select d.*, team_id from (select distinct competition_id, season, day from sc) d join (select distinct competition_id, season, team_id from dl) using (competition_id, season)),
-st0 as (select sp.competition_id, sp.season, sp.day, sp.team_id, cu.n::bigint as played, cu.w::bigint as wins, cu.s::bigint as set_diff, cu.k::bigint as kill_diff from sp asof join cu on cu.competition_id = sp.competition_id and cu.season = sp.season and cu.team_id = sp.team_id and sp.day > cu.day),
-st as (select *, rank() over (partition by competition_id, season, day order by wins desc, set_diff desc, kill_diff desc) as rank from st0),
+sp as (select d.competition_id, d.season, d.day, t.team_id from (select distinct competition_id, season, day from sc) d join (select distinct competition_id, season, team_id from dl) t on t.competition_id = d.competition_id and t.season = d.season),
+st0 as (select * from (select sp.*, (sum(coalesce(n, 0)) over w)::bigint as played, (sum(coalesce(w, 0)) over w)::bigint as wins, (sum(coalesce(s, 0)) over w)::bigint as set_diff, (sum(coalesce(k, 0)) over w)::bigint as kill_diff
+  from sp left join dl on dl.competition_id = sp.competition_id and dl.season = sp.season and dl.team_id = sp.team_id and dl.day = sp.day window w as (partition by sp.competition_id, sp.season, sp.team_id order by sp.day rows between unbounded preceding and 1 preceding)) where played > 0),
+st as materialized (select *, rank() over (partition by competition_id, season, day order by wins desc, set_diff desc, kill_diff desc) as rank from st0),
 br as (select competition_id, season, count(distinct schedule_id) as matches, count(distinct team_id) as teams, count(distinct schedule_id) = count(distinct team_id) - 1 as bracket from tm group by all),
-bf as (select sw.*, br.bracket, b.played as bp, b.wins as bw, r.played as rp, r.wins as rw, case when not bracket then b.rank end as blue_rank, case when not bracket then r.rank end as red_rank from sw join br using (competition_id, season)
+bf as materialized (select sw.*, br.bracket, b.played as bp, b.wins as bw, r.played as rp, r.wins as rw, case when not bracket then b.rank end as blue_rank, case when not bracket then r.rank end as red_rank from sw join br using (competition_id, season)
   left join st b on b.competition_id = sw.competition_id and b.season = sw.season and b.day = sw.day and b.team_id = sw.blue_team_id left join st r on r.competition_id = sw.competition_id and r.season = sw.season and r.day = sw.day and r.team_id = sw.red_team_id),
-rt as (select schedule_id, case when bp >= 5 then bw / bp end as blue_rate, case when rp >= 5 then rw / rp end as red_rate from bf),
+rt as materialized (select schedule_id, case when bp >= 5 then bw / bp end as blue_rate, case when rp >= 5 then rw / rp end as red_rate from bf),
 ch as (select *, case when blue_rate is not null and red_rate is not null then case when blue_rate * (1 - red_rate) + red_rate * (1 - blue_rate) <= 0 then 0.5 else blue_rate * (1 - red_rate) / (blue_rate * (1 - red_rate) + red_rate * (1 - blue_rate)) end end as chance from rt),
 mb as (select m.schedule_id, coalesce(f.first < m.season, false)::int as met from sw m left join (select least(blue_team_id, red_team_id) as a, greatest(blue_team_id, red_team_id) as b, min(season) as first from sw where played group by all) f on f.a = least(blue_team_id, red_team_id) and f.b = greatest(blue_team_id, red_team_id)),
 pl as (select *, case when winner_id is null then -1 when winner_id = team_id then 1 else 0 end as r from tm where played),
 il as (select *, sum(nw) over (partition by competition_id, season, team_id order by day, schedule_id) as isle from (select *, case when lag(r) over (partition by competition_id, season, team_id order by day, schedule_id) = r then 0 else 1 end as nw from pl)),
 rn as (select *, row_number() over (partition by competition_id, season, team_id, isle order by day, schedule_id) as run from il),
 en as (select competition_id, season, team_id, day, arg_max(case r when 1 then run when 0 then -run else 0 end, schedule_id) as s from rn group by all),
-sk as (select tm.schedule_id, tm.team_id, coalesce(arg_max(en.s, en.day), 0)::bigint as streak from tm left join en on en.competition_id = tm.competition_id and en.season = tm.season and en.team_id = tm.team_id and en.day < tm.day group by tm.schedule_id, tm.team_id),
+sk as materialized (select tm.schedule_id, tm.team_id, coalesce(arg_max(en.s, en.day), 0)::bigint as streak from tm left join en on en.competition_id = tm.competition_id and en.season = tm.season and en.team_id = tm.team_id and en.day < tm.day group by tm.schedule_id, tm.team_id),
 pv as (select bf.schedule_id, (blue_team_id = 3 or red_team_id = 3)::int as plays, case when blue_team_id = 3 or red_team_id = 3 then case when winner_id is null then 0 when winner_id = 3 then 1 else -1 end end as outcome,
   case when not (blue_team_id = 3 or red_team_id = 3) and not bracket and winner_id is not null and o.rank is not null then (o.wins - case when winner_id = blue_team_id then bw else rw end - 1)::bigint end as gap from bf left join st o on o.competition_id = bf.competition_id and o.season = bf.season and o.day = bf.day and o.team_id = 3 where bf.played)"""
 TEAM = 3
