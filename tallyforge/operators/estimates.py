@@ -182,7 +182,8 @@ def feature_counts(obs: DataFrame) -> DataFrame:
 
 
 KINDS = ("TEAM", "MATE_ROLE", "FOE_ROLE", "MATE", "FOE")
-_FIELD = 1 << 20  # ids in a feature's number are below this
+#: A feature's number is its kind above so many bits of an id; a pair term needs only the other champion's, since its equations are grouped by the subject.
+_BITS = 60
 
 
 def wide_standardised(obs: DataFrame) -> DataFrame:
@@ -196,14 +197,17 @@ def wide_standardised(obs: DataFrame) -> DataFrame:
 
 
 def _numbered() -> Column:
-    """The features of an observation as numbers: kind, subject and other in one long."""
-    def term(kind: str, subject: str, other: str) -> str:
-        return f"{KINDS.index(kind) * _FIELD * _FIELD}L + {subject} * {_FIELD}L + {other}"
+    """The features of an observation as numbers: kind, and the id of a team, of two roles or of the other champion. Ids that do not fit are an error, never another feature."""
 
+    def term(kind: str, ident: str, bits: int = _BITS) -> str:
+        fits = f"if({ident} >= 0 and {ident} < {1 << bits}L, cast({ident} as bigint), cast(raise_error('an id is negative or has more than {bits} bits') as bigint))"
+        return f"{KINDS.index(kind) << _BITS}L + {fits}"
+
+    roles = "cast(role as bigint) * 1073741824L + m.role"
     return F.expr(
-        f"""concat(if(team_id is null, array(), array({term('TEAM', 'team_id', '0')})),
-        transform(mates, m -> {term('MATE_ROLE', 'role', 'm.role')}), transform(foes, m -> {term('FOE_ROLE', 'role', 'm.role')}),
-        transform(mates, m -> {term('MATE', 'champion_id', 'm.id')}), transform(foes, m -> {term('FOE', 'champion_id', 'm.id')}))"""
+        f"""concat(if(team_id is null, array(), array({term('TEAM', 'team_id')})),
+        transform(mates, m -> {term('MATE_ROLE', roles)}), transform(foes, m -> {term('FOE_ROLE', roles)}),
+        transform(mates, m -> {term('MATE', 'm.id')}), transform(foes, m -> {term('FOE', 'm.id')}))"""
     )
 
 
@@ -219,15 +223,17 @@ def normal_equations(z: DataFrame) -> DataFrame:
     return both.groupBy("career_id", "champion_id", F.col("a.f").alias("j"), F.col("b.f").alias("k")).agg(*(F.sum(v).alias(m) for m, v in value.items()))
 
 
-def feature_name(number: Column) -> Column:
-    """kind:subject:other of a feature's number."""
+def feature_name(number: Column, champion: Column) -> Column:
+    """kind:subject:other of a feature's number; ``champion`` is the subject of a pair term."""
     n = number.cast("bigint")
-    kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.shiftright(n, 40) + 1).cast("int"))
-    return F.concat_ws(":", kind, F.shiftright(n, 20) % _FIELD, n % _FIELD)
+    code, ident = F.shiftright(n, _BITS).cast("int"), F.pmod(n, F.lit(1 << _BITS))
+    subject = F.when(code >= KINDS.index("MATE"), champion).when(code == 0, ident).otherwise(F.shiftright(ident, 30))
+    other = F.when(code >= KINDS.index("MATE"), ident).when(code == 0, 0).otherwise(ident.bitwiseAND(F.lit((1 << 30) - 1)))
+    return F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), code + 1), subject, other)
 
 
 #: Numbers from here on are pair terms, which belong to one champion; those below (teams, roles) are shared by all.
-_OWN = KINDS.index("MATE") * _FIELD * _FIELD
+_OWN = KINDS.index("MATE") << _BITS
 
 
 def _systems(part: pd.DataFrame, columns: tuple[str, ...] = METRICS) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
@@ -266,8 +272,8 @@ def ridge(obs: DataFrame) -> DataFrame:
 
     def shared(part: pd.DataFrame) -> pd.DataFrame:
         ((_, names, m, right),) = _systems(part, ("value",))
-        theta = np.linalg.solve(m + np.diag(np.where(names < _FIELD * _FIELD, RIDGE_TEAM, RIDGE_OTHER)), right)
-        return pd.DataFrame({"career_id": part["career_id"].iloc[0], "metric": part["metric"].iloc[0], "number": names, "theta": theta})
+        theta = np.linalg.solve(m + np.diag(np.where(names < 1 << _BITS, RIDGE_TEAM, RIDGE_OTHER)), right)
+        return pd.DataFrame({"career_id": part["career_id"].iloc[0], "metric": part["metric"].iloc[0], "champion": None, "number": names, "theta": theta})
 
     def restore(part: pd.DataFrame, top: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -275,16 +281,16 @@ def ridge(obs: DataFrame) -> DataFrame:
             own = names >= _OWN
             known = top[top["metric"] == metric].set_index("number")["theta"].reindex(names[~own]).to_numpy(float)
             theta = np.linalg.solve(m[np.ix_(own, own)] + RIDGE_OTHER * np.eye(own.sum()), right[own] - m[np.ix_(own, ~own)] @ known)
-            out.append(pd.DataFrame({"career_id": part["career_id"].iloc[0], "metric": metric, "number": names[own], "theta": theta}))
+            out.append(pd.DataFrame({"career_id": part["career_id"].iloc[0], "metric": metric, "champion": part["champion_id"].iloc[0], "number": names[own], "theta": theta}))
         return pd.concat(out)
 
-    fit = "career_id int, metric string, number bigint, theta double"
+    fit = "career_id int, metric string, champion bigint, number bigint, theta double"
     left = rows.groupBy("career_id", "champion_id").applyInPandas(eliminate, "career_id int, metric string, j bigint, k bigint, value double")
     left = left.where("j <= k or k = -1").groupBy("career_id", "metric", "j", "k").agg(F.sum("value").alias("value"))
     top = left.groupBy("career_id", "metric").applyInPandas(shared, fit)
-    each = obs.select("career_id", "champion_id").distinct().join(top, "career_id").toDF("of", "subject", "metric", "number", "theta")
+    each = obs.select("career_id", "champion_id").distinct().join(top.drop("champion"), "career_id").toDF("of", "subject", "metric", "number", "theta")
     own = rows.groupBy("career_id", "champion_id").cogroup(each.groupBy("of", "subject")).applyInPandas(restore, fit)
-    return top.unionByName(own).select("career_id", "metric", feature_name(F.col("number")).alias("feature"), "theta")
+    return top.unionByName(own).select("career_id", "metric", feature_name(F.col("number"), F.col("champion")).alias("feature"), "theta")
 
 
 def pair_observations(obs: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ RANK_VALUE = f"""case bucket when 'HARD_FOE' then {X} when 'EASY_FOE' then -{X}
 LEAD_METRIC = f"case when bucket <> 'DUO' or -{X} >= {D} then 'deaths' else 'dealing' end"
 AFFINITY = {"HARD_FOE": X, "EASY_FOE": f"-{X}", "DUO": f"greatest(-{X}, {D})", "ANTI_SYNERGY": f"least({X}, -{D})"}
 SIDE_OF = {"HARD_FOE": "FOE", "EASY_FOE": "FOE", "DUO": "ALLY", "ANTI_SYNERGY": "ALLY"}
+#: The cases and their order are fixed values: signatures have to agree with those that users know.
 SIGNATURE = f"""case when dealing is null or deaths is null or tanking is null then null
   when side = 'ALLY' and dealing < -{SIGNAL} and deaths > {SIGNAL} then 'hinders'
   when side = 'ALLY' and deaths < -{SIGNAL} and tanking < -{SIGNAL} then 'draws_fire'
@@ -86,11 +87,11 @@ def tried_pairs(rows: DataFrame, match_type: str) -> DataFrame:
     return pairs.groupBy("career_id", "a", "b").agg(F.count("*").alias("times"))
 
 
-def unexplored(entities: int, careers: DataFrame, known: DataFrame, tried: DataFrame) -> DataFrame:
-    """Pairs of a catalogue of bounded size that are neither known nor tried."""
-    pairs = careers.withColumn("a", F.explode(F.sequence(F.lit(1), F.lit(entities)))).withColumn("b", F.explode(F.expr(f"filter(sequence(1, {entities}), x -> x > a)")))
-    typed = pairs.select("career_id", F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"))
-    return typed.join(known, ["career_id", "a", "b"], "left_anti").join(tried, ["career_id", "a", "b"], "left_anti")
+def unexplored(catalogue: DataFrame, known: DataFrame, tried: DataFrame) -> DataFrame:
+    """Pairs of each career's catalogue (career_id, champion_id) that are neither known nor tried. All pairs are asked for, so the result grows with the square of the catalogue, never with contests."""
+    ids = catalogue.groupBy("career_id").agg(F.array_sort(F.collect_set("champion_id")).alias("ids"))
+    pairs = ids.withColumn("a", F.explode("ids")).select("career_id", "a", F.explode(F.expr("filter(ids, x -> x > a)")).alias("b"))
+    return pairs.join(known, ["career_id", "a", "b"], "left_anti").join(tried, ["career_id", "a", "b"], "left_anti")
 
 
 def combos(rows: DataFrame, size: int) -> DataFrame:

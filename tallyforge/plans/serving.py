@@ -29,6 +29,17 @@ def mean_effects(spark: SparkSession, d: str) -> DataFrame:
     return g.where("observations >= 10")
 
 
+def champions(spark: SparkSession, d: str) -> DataFrame:
+    """The catalogue: every champion that any record names, valid or not."""
+    return I.raw(spark, d).select(F.explode("stats.champion_id").alias("champion_id")).distinct()
+
+
+def catalogue(spark: SparkSession, d: str) -> DataFrame:
+    """The champions of each career; all have the same."""
+    careers = I.patches(spark).agg(F.collect_set("career_id").alias("careers"))
+    return champions(spark, d).join(F.broadcast(careers), how="cross").select(F.explode("careers").alias("career_id"), "champion_id")  # one row
+
+
 def fitted_effects(spark: SparkSession, d: str) -> DataFrame:
     """The effects of the ridge fit, which serving uses in earnest."""
     return O.pair_effects(I.weighted(spark, d))
@@ -38,11 +49,12 @@ def classified(spark: SparkSession, d: str) -> DataFrame:
     return S.classified(S.pair_pivot(mean_effects(spark, d)))
 
 
-@query(sql("select career_id, include_scrim::varchar as include_scrim, c.champion_id, coalesce(games, 0) as games, adjusted from (select i as champion_id from range(1, 41) r(i)) c cross join (select distinct career_id, include_scrim from tr) k left join tr using (career_id, include_scrim, champion_id)", TIER))
+@query(sql("select career_id, include_scrim::varchar as include_scrim, c.champion_id, coalesce(games, 0) as games, adjusted from (select distinct champion_id from pr) c cross join (select distinct career_id, include_scrim from tr) k left join tr using (career_id, include_scrim, champion_id)", TIER))
 def f1_tier_list(spark: SparkSession, d: str) -> DataFrame:
     """All playable champions with their estimate, best first, those without one last."""
     t = I.tiers(spark, d)
-    all_ = t.select("career_id", "include_scrim").distinct().withColumn("champion_id", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(40).cast("bigint"))))
+    ids = champions(spark, d).agg(F.array_sort(F.collect_set("champion_id")).alias("ids"))
+    all_ = t.select("career_id", "include_scrim").distinct().join(F.broadcast(ids), how="cross").select("career_id", "include_scrim", F.explode("ids").alias("champion_id"))  # one row
     joined = all_.join(t, ["career_id", "include_scrim", "champion_id"], "left").select("career_id", "include_scrim", "champion_id", F.coalesce("games", F.lit(0)).alias("games"), "adjusted")
     return I.flag_text(joined).orderBy("career_id", "include_scrim", F.col("adjusted").desc_nulls_last(), "champion_id")
 
@@ -180,15 +192,15 @@ def g5_pair_coverage(spark: SparkSession, d: str) -> DataFrame:
     return k.join(t, ["career_id", "a", "b"], "full_outer").select("career_id", "a", "b", F.coalesce("known", F.lit(0)).alias("known"), F.coalesce("times", F.lit(0)).alias("tried"))
 
 
-@query(sql(f"select c.career_id, x.i as a, y.i as b from (select distinct career_id from pt) c, range(1, 41) x(i), range(1, 41) y(i) where x.i < y.i and (c.career_id, x.i, y.i) not in (select career_id, a, b from ({KNOWN_SQL})) and (c.career_id, x.i, y.i) not in (select career_id, a, b from ({SIDES_SQL.format('SCRIM')}))", EF))
+@query(sql(f"select c.career_id, x.i as a, y.i as b from (select distinct career_id from pt) c, (select distinct champion_id as i from pr) x, (select distinct champion_id as i from pr) y where x.i < y.i and (c.career_id, x.i, y.i) not in (select career_id, a, b from ({KNOWN_SQL})) and (c.career_id, x.i, y.i) not in (select career_id, a, b from ({SIDES_SQL.format('SCRIM')}))", EF))
 def g6_unexplored_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return S.unexplored(40, I.patches(spark).select("career_id").distinct(), known_pairs(spark, d), S.tried_pairs(I.facts(spark, d), "SCRIM"))
+    return S.unexplored(catalogue(spark, d), known_pairs(spark, d), S.tried_pairs(I.facts(spark, d), "SCRIM"))
 
 
 def built_decks(spark: SparkSession, d: str) -> DataFrame:
     t = I.tiers(spark, d)
     pool = t.where("not include_scrim").select("career_id", "champion_id", F.expr("(champion_id - 1) div 8").alias("role"), "games")
-    free = S.unexplored(40, I.patches(spark).select("career_id").distinct(), known_pairs(spark, d), S.tried_pairs(I.facts(spark, d), "SCRIM"))
+    free = S.unexplored(catalogue(spark, d), known_pairs(spark, d), S.tried_pairs(I.facts(spark, d), "SCRIM"))
     return S.decks(S.best_counters(candidates(spark, d, fitted_effects)), pool, free)
 
 

@@ -142,6 +142,37 @@ def test_ridge_equals_dense_solution(spark, sf):
     assert seen == len(got) > 0
 
 
+def test_large_ids_stay_apart(spark):
+    """Terms of different champions and teams, with ids above 2 ** 20 and 2 ** 40, keep a coefficient each; what does not fit is an error."""
+    rng = np.random.default_rng(2)
+    ids = [1, 2, 1 << 20, (1 << 20) + 1, 3 << 21, 1 << 41, (1 << 41) + 5, 77, 78, 79]
+    rows = []
+    for m in range(300):
+        c = rng.permutation(len(ids))[:8]
+        for k, x in enumerate(c):
+            v = [float(rng.normal() + (5 if ids[x] == 1 << 20 and 5 in c[:4] and k < 4 else 0)) for _ in range(6)]
+            rows.append((1, m, "OFFICIAL", "BLUE" if k < 4 else "RED", k % 4 + 1, ids[x], int(x) % 3, (1 << 33) + m % 4 if k < 4 else 7 + m % 3, 1.0, *v))
+    schema = "career_id int, match_id long, match_type string, side string, pick_order int, champion_id long, role int, team_id long, w double, " + ", ".join(f"{x} double" for x in O.METRICS)
+    o = O.observations(spark.createDataFrame(rows, schema))
+    z = O.standardised(O.unpivoted(o)).where("metric = 'dealing'")
+    part = z.select("w", "z", F.transform(O.features(z), lambda f: F.concat_ws(":", f["kind"], f["subject"], f["other"])).alias("f")).collect()
+    got = {r["feature"]: r["theta"] for r in O.ridge(o).where("metric = 'dealing'").collect()}
+    names = sorted({f for r in part for f in r["f"]})
+    assert got.keys() == set(names) and f"MATE:{1 << 20}:{1 << 41}" in got
+    x = np.array([[r["f"].count(f) for f in names] for r in part], float)
+    w, y = np.array([r["w"] for r in part]), np.array([r["z"] for r in part])
+    theta = np.linalg.solve(x.T @ (x * w[:, None]) + np.diag([O.RIDGE_TEAM if f.startswith("TEAM") else O.RIDGE_OTHER for f in names]), x.T @ (w * y))
+    assert max(abs(got[f] - t) for f, t in zip(names, theta, strict=True)) < 1e-9
+    with pytest.raises(Exception, match="more than 60 bits"):
+        O.ridge(o.withColumn("team_id", F.lit(1 << 60))).collect()
+
+
+def test_unexplored_pairs_of_any_catalogue(spark):
+    c = spark.createDataFrame([(1, 5), (1, 1 << 40), (1, 60), (2, 9)], "career_id int, champion_id long")
+    none = spark.createDataFrame([(1, 5, 60)], "career_id int, a long, b long")
+    assert {tuple(r) for r in V.unexplored(c, none, none.limit(0)).collect()} == {(1, 5, 1 << 40), (1, 60, 1 << 40)}
+
+
 def test_runs_are_all_or_nothing(spark, tmp_path):
     one = spark.range(3)
     L.record_run(str(tmp_path), 1, {"a": one, "b": one.where("id > 0")}, {"k0": 8.0})
