@@ -7,7 +7,6 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -128,59 +127,53 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
-#: A large band gets another hub as long as at least one in so many of its rows joined another component.
-MOVING = 16
-#: In bands of up to so many rows all pairs of different components are compared.
-SMALL_BAND = 8
+#: In bands of up to so many rows all pairs of different components are compared; larger ones are cut.
+SMALL_BAND = 16
 
 
-def clusters(members: DataFrame, similar: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def clusters(members: DataFrame, similar: Callable[[DataFrame], DataFrame], residue: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Components (node, component) of similar pairs among rows (band, k) that share a band.
 
-    ``similar`` gets pairs with the columns a and b and returns those that are similar. Pairs are compared only while their
-    ends lie in different components. The copies of one original resemble it more than each other, and it shares bands with most of
-    them. So the row whose bands hold the most rows (the hub) is compared with the others of a band: first each row with the greatest
-    hub of its bands, then each band's rows with its hub as long as the band has several components. Bands of up to SMALL_BAND rows
-    compare all pairs that are left; in a larger band the next hub follows as long as enough of its rows joined others.
-    So the comparisons grow with the rows and not with the pairs of a band.
+    ``similar`` gets pairs (a, b, ...) and returns those that are similar. ``residue`` gets rows (band, k, hub) and returns (band, k) again with smaller bands: rows of a band share a
+    new one if they share something that their hub lacks. Pairs are compared only while their ends lie in different components.
+
+    The copies of one original resemble it more than each other, so the row whose bands hold the most rows (the hub) is compared with all others of its band. In a band of at most
+    SMALL_BAND rows all pairs that are left are compared. A larger one is given up for the bands of its residue: rows of one template are unlike each other because of what
+    the template lacks, and a similar pair among them shares part of just that. So no band is dropped with pairs that nothing else would
+    compare, and what is compared grows with the rows that share something rare. A residue band lacks what all hubs above it have, so
+    bands shrink from level to level until none is left.
     """
     spark = members.sparkSession
     size = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     sized = stored(members.join(size, "band"), "cluster-sizes")
     weight = sized.groupBy("k").agg(F.sum("n").alias("g"))
-    shared = stored(sized.join(weight, "k").select("band", "k", "n", "g"), "cluster-bands")
+    live = stored(sized.join(weight, "k").select("band", "k", "n", "g"), "cluster-bands")
     delete(spark, sized)
-    hub = F.struct("g", "k")
-    hubs = shared.groupBy("band").agg(F.max(hub).alias("hub"))
-    best = shared.join(hubs, "band").groupBy("k").agg(F.max("hub").alias("hub"))
-    tried = [stored(best.where("hub.k <> k").select(F.greatest("k", "hub.k").alias("a"), F.least("k", "hub.k").alias("b")).distinct(), "cluster-pairs")]
-    found = [stored(similar(tried[0]), "cluster-links")]
-    first = components(found[0])
-    live = shared.join(first, shared["k"] == first["node"], "left").select("band", "k", "n", "g", F.coalesce("component", "k").alias("c"), F.lit(True).alias("moved"))
-    old = shared
+    best = live.join(live.groupBy("band").agg(F.max(F.struct("g", "k")).alias("hub")), "band").groupBy("k").agg(F.max("hub").alias("hub"))
+    first = stored(best.where("hub.k <> k").select(F.greatest("k", "hub.k").alias("a"), F.least("k", "hub.k").alias("b")).distinct(), "cluster-pairs")
+    found = [stored(similar(first), "cluster-links")]
+    component = stored(components(found[0]), "cluster-components")
     while True:
-        several = live.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), (F.count_if("moved") * MOVING >= F.count("*")).alias("on")).where("low < high and on").select("band")
-        now = stored(live.join(several, "band").select("band", "k", "n", "g", "c"), "cluster-live")
-        delete(spark, old)
-        old, small, large = now, now.where(f"n <= {SMALL_BAND}"), now.where(f"n > {SMALL_BAND}")
-        hubs = stored(large.groupBy("band").agg(F.max(F.struct("g", "k", "c")).alias("hub")).select("band", F.col("hub.k").alias("p"), F.col("hub.c").alias("pc")), "cluster-hubs")
-        ends = F.greatest("k", "p").alias("a"), F.least("k", "p").alias("b"), F.least("pc", "c").alias("ca"), F.greatest("pc", "c").alias("cb")
-        pairs = large.join(hubs, "band").where("pc <> c").select(*ends)
-        if len(tried) == 1:
-            pairs = pairs.unionByName(small.join(small.select("band", F.col("k").alias("p"), F.col("c").alias("pc")), "band").where("pc <> c and p < k").select(*ends))
-        pairs = pairs.distinct()
-        for t in tried:
-            pairs = pairs.join(t.select("a", "b"), ["a", "b"], "left_anti")
-        tried.append(stored(pairs, "cluster-pairs"))
-        new = stored(similar(tried[-1]), "cluster-links")
-        if new.isEmpty():
-            delete(spark, old, hubs, new)
-            break
+        placed = live.join(component, live["k"] == component["node"], "left").select("band", "k", "n", "g", F.coalesce("component", "k").alias("c"))
+        several = placed.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band")
+        now = stored(placed.join(several, "band"), "cluster-live")
+        delete(spark, live)
+        small, large = now.where(f"n <= {SMALL_BAND}"), now.where(f"n > {SMALL_BAND}")
+        hubs = large.groupBy("band").agg(F.max(F.struct("g", "k", "c")).alias("hub")).select("band", F.col("hub.k").alias("p"), F.col("hub.c").alias("pc"))
+        under = stored(large.join(hubs, "band").where("k <> p").select("band", "k", "g", "c", "p", "pc"), "cluster-hubs")
+        with_hub = under.where("pc <> c").select(F.greatest("k", "p").alias("a"), F.least("k", "p").alias("b")).join(first, ["a", "b"], "left_anti")
+        other = small.select("band", F.col("k").alias("p"), F.col("c").alias("pc"))
+        among = small.join(other, "band").where("pc <> c and p < k").select(F.col("k").alias("a"), F.col("p").alias("b"))
+        new = stored(similar(with_hub.unionByName(among).distinct()), "cluster-links")
         found.append(new)
-        joined = components(new.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-        rest = large.join(hubs.select("band", F.col("p").alias("k")), ["band", "k"], "left_anti")
-        live = rest.join(joined, rest["c"] == joined["node"], "left").select("band", "k", "n", "g", F.coalesce("component", "c").alias("c"), F.col("node").isNotNull().alias("moved"))
-    if len(found) > 1:
-        first = components(reduce(DataFrame.unionByName, (x.select("a", "b") for x in found)))
-    delete(spark, *tried, *found)
-    return first
+        old, component = component, stored(components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new.select("a", "b"))), "cluster-components")
+        cut = stored(residue(under.select("band", "k", F.col("p").alias("hub"))), "cluster-residue")
+        sizes = cut.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+        # A row weighs as much as the bands that it shares now.
+        next_ = cut.join(sizes, "band")
+        live = stored(next_.join(next_.groupBy("k").agg(F.sum("n").alias("g")), "k").select("band", "k", "n", "g"), "cluster-bands")
+        delete(spark, now, under, old, cut)
+        if live.isEmpty():
+            break
+    delete(spark, live, first, *found)
+    return component

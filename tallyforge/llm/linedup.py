@@ -89,8 +89,27 @@ def similar(pairs: DataFrame, texts: DataFrame, mask: DataFrame) -> DataFrame:
     return counted.where(f"both >= {SIMILARITY} * (n - both)").select(*pairs.columns)
 
 
+#: Residue bands of a row: the least shingle of each of so many bins.
+RESIDUE = 16
+
+
+def residue(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """(band, k) of the residue of rows (band, k, hub), by texts (k, line): each row's shingles that its hub lacks fall into bins, and the least of each bin names a band.
+
+    So rows whose residues are small share a band with every row that has one of their shingles. A row that
+    has next to nothing that its hub lacks is banded by what it lacks itself as well.
+    """
+    keys = rows.select("k").unionByName(rows.select(F.col("hub").alias("k"))).distinct()
+    sets = stored(hashed(texts.join(keys, "k", "left_semi")).groupBy("k").agg(F.collect_set("h").alias("h")), "residue-shingles")
+    both = rows.join(sets, "k").join(sets.select(F.col("k").alias("hub"), F.col("h").alias("hub_h")), "hub")
+    parts = both.select("band", "k", F.array_except("h", "hub_h").alias("own"), F.array_except("hub_h", "h").alias("lacks"))
+    chosen = parts.select("band", "k", F.explode(F.array(F.struct(F.lit(1).alias("sign"), F.col("own").alias("x")), F.struct(F.lit(-1).alias("sign"), F.when(F.size("own") * 8 < F.size("lacks"), F.col("lacks")).otherwise(F.array().cast("array<bigint>")).alias("x")))).alias("p"))
+    least = F.expr(f"filter(transform(sequence(0, {RESIDUE - 1}), b -> array_min(filter(p.x, h -> pmod(shiftright(h, 8), {RESIDUE}) = b))), h -> h is not null)")
+    return chosen.select("band", "k", F.col("p.sign").alias("sign"), F.explode(least).alias("h")).select(F.xxhash64("band", "sign", "h").alias("band"), "k")
+
+
 def components_of_lines(docs: DataFrame) -> DataFrame:
-    """(node, component) of the hashes of distinct lines that are similar to another. Shuffle files of each step are given up before the next."""
+    """(node, component, k2) of the hashes of distinct lines that are similar to another. Shuffle files of each step are given up before the next."""
     spark = docs.sparkSession
     distinct = lines(docs).groupBy("k").agg(F.min("line").alias("line"))
     every = stored(bands(distinct), "line-bands")
@@ -103,21 +122,22 @@ def components_of_lines(docs: DataFrame) -> DataFrame:
     texts = stored(lines(docs).select("k", "line").join(keys, "k", "left_semi").groupBy("k").agg(F.min("line").alias("line")), "band-lines")
     release(spark)
     mask = stored(masks(texts), "line-masks")
-    found = clusters(members, lambda pairs: similar(pairs, texts, mask))
-    release(spark, texts, mask, members)
-    return found
+    found = clusters(members, lambda pairs: similar(pairs, texts, mask), lambda rows: residue(rows, texts))
+    named = stored(found.join(texts.select(F.col("k").alias("node"), F.xxhash64(F.lit("second"), "line").alias("k2")), "node"), "line-components")
+    release(spark, texts, mask, members, found)
+    return named
 
 
 def doomed(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, line_no) of lines that go: all but the first of each component of similar lines."""
+    """(doc_id, digest, line_no) of lines that go: all but the first of each component of similar lines. Lines are equal if both their hashes are."""
     member = components_of_lines(docs)
     where = lines(docs).drop("line")
-    # Lines without similar ones are equal if both hashes are.
-    classed = where.join(member, where["k"] == member["node"], "left").select("doc_id", "digest", "line_no", F.coalesce("component", "k").alias("c"), F.when(F.col("component").isNull(), F.col("k2")).otherwise(0).alias("c2"))
+    joined = where.join(member.withColumnRenamed("k2", "m2"), (where["k"] == member["node"]) & (where["k2"] == F.col("m2")), "left")
+    classed = joined.select("doc_id", "digest", "line_no", F.coalesce("component", "k").alias("c"), F.when(F.col("component").isNull(), F.col("k2")).otherwise(0).alias("c2"))
     classed = stored(classed, "line-classes")
     first = stored(classed.groupBy("c", "c2").agg(F.min(F.struct("doc_id", "digest", "line_no")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first-lines")
     gone = stored(classed.join(first, ["c", "c2"]).where("not (first <=> struct(doc_id, digest, line_no))").select("doc_id", "digest", "line_no"), "gone-lines")
-    delete(docs.sparkSession, classed, first)
+    delete(docs.sparkSession, classed, first, member)
     return gone
 
 

@@ -1,6 +1,6 @@
-"""Near-duplicate documents by MinHash over five-word shingles, verified by exact Jaccard similarity.
+"""Near-duplicate documents by SimHash and MinHash over five-word shingles, verified by exact Jaccard similarity.
 
-Texts with equal words (ASCII letters in lower case) become one row first. Bands of minima give candidates, which are
+Texts with equal words (ASCII letters in lower case) become one row first. SimHash components and bands of minima give candidates, which are
 compared as long as they are not yet connected (see ``common.clusters``).
 """
 
@@ -14,6 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import WORD_BYTES, clusters, delete, stored
 from .simhash import _LOWER
 
@@ -65,14 +66,41 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").where(F.pandas_udf(_close, "boolean")("text_a", "text_b")).select(*pairs.columns)
 
 
+#: Residue bands of a row: the least shingle of each of so many bins.
+RESIDUE = 16
+
+
+def _residue(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for x, y in pairs:
+        out = []
+        for p, q in zip(x, y, strict=True):
+            h, hub = shingles(p), shingles(q)
+            own, lacks = np.setdiff1d(h, hub, assume_unique=True), np.setdiff1d(hub, h, assume_unique=True)
+            chosen = [(0, own)] + ([(1, lacks)] if 8 * len(own) < len(lacks) else [])
+            # Sorted, so the first of a bin is its least.
+            out.append(np.array([xxhash.xxh64_intdigest(v.tobytes(), sign) for sign, s in chosen for v in s[np.unique(s >> np.uint64(8) & np.uint64(RESIDUE - 1), return_index=True)[1]]], np.uint64).view(np.int64))
+        yield pd.Series(out)
+
+
+def residue(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """(band, k) of the residue of rows (band, k, hub), by texts (k, text): the least of each bin of the shingles that the hub lacks, and if these are few, of those that the row lacks."""
+    hub = texts.select(F.col("k").alias("hub"), F.col("text").alias("hub_text"))
+    both = rows.join(texts.hint("merge"), "k").join(hub.hint("merge"), "hub")
+    return both.select("band", "k", F.explode(F.pandas_udf(_residue, "array<long>")("text", "hub_text")).alias("h")).select(F.xxhash64("band", "h").alias("band"), "k")
+
+
 def components_of_texts(texts: DataFrame) -> DataFrame:
-    """(node, component) of the keys of distinct texts (k, text) that are similar to another."""
+    """(node, component) of the keys of distinct texts (k, text) that are similar to another.
+
+    Candidates are texts of one SimHash component (see ``simhash``) over the same shingles, and texts that share a band of minima.
+    """
     spark = texts.sparkSession
-    each = stored(texts.select("k", F.explode(F.pandas_udf(_bands, "array<long>")("text")).alias("band")), "near-bands")
+    near = simhash.classes(texts, "text", "k", SHINGLE).select("k", F.xxhash64(F.lit("simhash"), "component_id").alias("band"))
+    each = stored(texts.select("k", F.explode(F.pandas_udf(_bands, "array<long>")("text")).alias("band")).unionByName(near), "near-bands")
     shared = each.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     members = stored(each.join(shared, "band"), "near-members")
     delete(spark, each)
-    found = clusters(members, lambda pairs: similar(pairs, texts))
+    found = clusters(members, lambda pairs: similar(pairs, texts), lambda rows: residue(rows, texts))
     delete(spark, members)
     return found
 
