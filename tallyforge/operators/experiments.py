@@ -119,22 +119,35 @@ def decomposition(moments: DataFrame, least: int, by: list[str] | None = None) -
     return m.groupBy(*by).agg(*aggs) if by else m.agg(*aggs)
 
 
-def half_life_grid(rows: DataFrame, lives: list[float], k: float = 24.0) -> DataFrame:
-    """(half_life, champion, rate, kept, ess): shrunk rates under each half-life of elapsed boundaries; 0 means no decay."""
-    g = rows.withColumn("half_life", F.explode(F.array(*map(F.lit, lives))))
+def shrunk_combos(moments: DataFrame, least: int, top: int) -> DataFrame:
+    """The ``top`` combos by shrunk effect: observed less expected rate, pulled to 0 by v / (v + noise), where v is the variance beyond chance of all combos."""
+    m = moments.where(F.col("n") >= least)
+    v = m.agg(F.greatest(F.var_pop((F.col("wins") - F.col("expected")) / F.col("n")) - F.avg(F.col("noise") / (F.col("n") * F.col("n"))), F.lit(0.0)).alias("v"))
+    each = m.join(F.broadcast(v), how="cross").withColumn("reliability", F.col("v") / (F.col("v") + F.col("noise") / (F.col("n") * F.col("n"))))  # one row
+    each = each.withColumns({"observed": F.col("wins") / F.col("n"), "expected": F.col("expected") / F.col("n")}).withColumn("shrunk", (F.col("observed") - F.col("expected")) * F.col("reliability"))
+    # To nine places, so that equal effects order by id.
+    return each.orderBy(F.round(F.abs("shrunk"), 9).desc(), "a", "b").limit(top)
+
+
+def half_life_grid(rows: DataFrame, lives: list[float], k: float = 24.0, by: list[str] | None = None) -> DataFrame:
+    """(half_life, by, champion, rate, kept, ess): shrunk rates under each half-life of elapsed boundaries; 0 means no decay. Rows are counted by distance before they meet the grid."""
+    keys = [*(by or []), "champion_id"]
+    sums = rows.groupBy(*keys, "elapsed").agg(F.count("*").alias("c"), F.sum(F.col("is_winner").cast("int")).alias("v"))
+    g = sums.withColumn("half_life", F.explode(F.array(*map(F.lit, lives))))
     w = F.when(F.col("half_life") == 0, 1.0).otherwise(F.pow(F.lit(0.5), F.col("elapsed") / F.when(F.col("half_life") > 0, F.col("half_life"))))
-    t = g.withColumn("_w", w).groupBy("half_life", "champion_id").agg(F.count("*").alias("n"), F.sum("_w").alias("sw"), F.sum(F.col("_w") * F.col("is_winner").cast("int")).alias("sv"), F.sum(F.col("_w") * F.col("_w")).alias("sq"))
-    return t.select("half_life", "champion_id", ((F.col("sv") + k / 2) / (F.col("sw") + k)).alias("rate"), "n", "sw", (F.col("sw") * F.col("sw") / F.col("sq")).alias("ess"))
+    t = g.withColumn("_w", w).groupBy("half_life", *keys).agg(F.sum("c").alias("n"), F.sum(F.col("_w") * F.col("c")).alias("sw"), F.sum(F.col("_w") * F.col("v")).alias("sv"), F.sum(F.col("_w") * F.col("_w") * F.col("c")).alias("sq"))
+    return t.select("half_life", *keys, ((F.col("sv") + k / 2) / (F.col("sw") + k)).alias("rate"), "n", "sw", (F.col("sw") * F.col("sw") / F.col("sq")).alias("ess"))
 
 
-def grid_summary(grid: DataFrame) -> DataFrame:
+def grid_summary(grid: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Per half-life: kept share of weight, entities with ess of at least 10, rank correlation with no decay, largest and mean shift, largest rank move."""
-    w = Window.partitionBy("half_life").orderBy(F.col("rate").desc(), "champion_id")
+    by = by or []
+    w = Window.partitionBy(*by, "half_life").orderBy(F.col("rate").desc(), "champion_id")
     r = grid.withColumn("place", F.row_number().over(w))
-    base = r.where("half_life = 0").select("champion_id", F.col("rate").alias("r0"), F.col("place").alias("p0"))
-    j = r.join(base, "champion_id")
+    base = r.where("half_life = 0").select(*by, "champion_id", F.col("rate").alias("r0"), F.col("place").alias("p0"))
+    j = r.join(base, [*by, "champion_id"])
     shift, move = F.abs(F.col("rate") - F.col("r0")), F.abs(F.col("place") - F.col("p0"))
-    return j.groupBy("half_life").agg(
+    return j.groupBy(*by, "half_life").agg(
         (F.sum("sw") / F.sum("n")).alias("kept"), F.count_if(F.col("ess") >= 10).alias("solid"), F.coalesce(F.corr("place", "p0"), F.lit(1.0)).alias("spearman"), F.max(shift).alias("max_shift"), F.avg(shift).alias("mean_shift"), F.max(move).cast("bigint").alias("max_move")
     )
 

@@ -170,3 +170,48 @@ def notability(matches: DataFrame, team: int | None) -> DataFrame:
     why = F.array(F.when(F.col("t_player") == 1, "own"), F.when(F.col("t_close") > 0.7, "close"), F.when(F.col("t_standings") >= 0.7, "standings"), F.when(F.col("t_upset") >= 0.6, "upset"), F.when(F.col("t_rivalry") == 1, "rivalry"))
     s = j.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), earned / known)))
     return s.select("schedule_id", "score", (F.lit(3) + F.floor(F.col("score") * 3 + 0.5)).cast("bigint").alias("paragraphs"), (F.lit(6) + F.floor(F.col("score") * 9 + 0.5)).cast("bigint").alias("comments"), F.array_join(F.array_compact(why), ",").alias("reasons"))
+
+
+def sides_of_match(sets: DataFrame, matches: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Sets seen from the sides of their match: where the teams sat the other way round, blue_x and red_x of each of ``columns`` and the winner's side are exchanged.
+
+    matches: keys, blue_team_id, red_team_id. Adds ``swapped``. A set of other teams than its match's is an error, since a join that is wrong elsewhere would show only here.
+    """
+    m = matches.select(*keys, F.col("blue_team_id").alias("_blue"), F.col("red_team_id").alias("_red"))
+    same = (F.col("blue_team_id") == F.col("_blue")) & (F.col("red_team_id") == F.col("_red"))
+    turned = (F.col("blue_team_id") == F.col("_red")) & (F.col("red_team_id") == F.col("_blue"))
+    foreign = F.raise_error(F.concat_ws(" ", F.lit("a set of teams"), "blue_team_id", "red_team_id", F.lit("in a match of"), "_blue", "_red")).cast("boolean")
+    j = sets.join(m, keys).withColumn("swapped", F.when(same, F.lit(False)).when(turned, F.lit(True)).otherwise(foreign))
+    flipped = {f"{x}_{c}": F.when(F.col("swapped"), F.col(f"{y}_{c}")).otherwise(F.col(f"{x}_{c}")) for c in ["team_id", *columns] for x, y in (("blue", "red"), ("red", "blue"))}
+    winner_side = F.when(F.col("swapped"), F.when(F.col("winner_side") == "BLUE", "RED").when(F.col("winner_side") == "RED", "BLUE")).otherwise(F.col("winner_side"))
+    return j.withColumns(flipped | {"winner_side": winner_side}).drop("_blue", "_red")
+
+
+def next_unwritten(candidates: DataFrame, written: DataFrame, keys: list[str], by: list[str], first: str | None = None) -> DataFrame:
+    """The latest (season, day) row of each group that ``written`` (keys) does not hold; of equal ones the least ``first``. Keys may be null."""
+    same = [F.col(k).eqNullSafe(F.col(f"_w_{k}")) for k in keys]
+    open_ = candidates.join(written.select(*(F.col(k).alias(f"_w_{k}") for k in keys)).distinct(), same, "left_anti")
+    order = F.struct("season", "day", *([-F.col(first)] if first else []))
+    return open_.groupBy(*by).agg(F.max_by(F.struct(*(c for c in candidates.columns if c not in by)), order).alias("x")).select(*by, "x.*")
+
+
+#: What a match of the timeline has: nothing yet, an article, a gallery.
+STAGES = (0, 1, 2)
+
+
+def timeline(contests: DataFrame, articles: DataFrame, batches: DataFrame, team: int) -> DataFrame:
+    """Official contests as matches (career, season, day, unordered teams): sets, wins of the smaller id, whether ``team`` won, the article, the latest gallery
+    batch and how many there are, and the stage that this makes. Articles (article_id) and batches (batch_id) name a match by its teams in either order."""
+    keys = ["career_id", "season", "day", "team_a", "team_b"]
+
+    def named(df: DataFrame) -> DataFrame:
+        return df.withColumns({"team_a": F.least("blue_team_id", "red_team_id"), "team_b": F.greatest("blue_team_id", "red_team_id")})
+
+    won = F.when(F.col("winner_side") == "BLUE", F.col("blue_team_id")).otherwise(F.col("red_team_id"))
+    dated = contests.where("match_type = 'OFFICIAL' and season is not null and day is not null and blue_team_id is not null and red_team_id is not null")
+    m = named(dated).groupBy(*keys).agg(F.count("*").alias("sets"), F.count_if(won == F.col("team_a")).alias("wins_a"), F.max("match_id").alias("last_set"))
+    a = named(articles).groupBy(*keys).agg(F.max("article_id").alias("article_id"))
+    b = named(batches).groupBy(*keys).agg(F.max("batch_id").alias("batch_id"), F.count("*").alias("batches"))
+    j = m.join(a, keys, "left").join(b, keys, "left").withColumn("batches", F.coalesce("batches", F.lit(0)))
+    own = F.when(F.col("team_a") == team, F.col("wins_a") * 2 > F.col("sets")).when(F.col("team_b") == team, F.col("wins_a") * 2 < F.col("sets"))
+    return j.withColumn("own_won", own.cast("int")).withColumn("stage", F.when(F.col("batches") > 0, STAGES[2]).when(F.col("article_id").isNotNull(), STAGES[1]).otherwise(STAGES[0]))

@@ -61,6 +61,15 @@ def buckets(rows: DataFrame, top: int = TOP, shown: int = SHOWN) -> DataFrame:
     return kept.select(*keys, "other", F.when(F.col("hit"), "sure").otherwise("leans").alias("kind"), F.col("rn").cast("bigint").alias("rn"))
 
 
+def lookup(catalogue: DataFrame, overall: DataFrame, in_role: DataFrame, keys: list[str]) -> DataFrame:
+    """Each champion of ``catalogue`` (keys) with its rank within its role; without one its overall rank, and without that bare: (keys, found, rank, games, adjusted)."""
+    r = in_role.select(*keys, F.col("rank").alias("_r"), F.lit(True).alias("_in_role"))
+    o = overall.select(*keys, F.col("rank").alias("_o"), "games", "adjusted", F.lit(True).alias("_in_all"))
+    j = catalogue.select(*keys).join(o, keys, "left").join(r, keys, "left")
+    found = F.when(F.col("_in_all").isNull(), "bare").when(F.col("_in_role").isNull(), "overall").otherwise("role")
+    return j.select(*keys, found.alias("found"), F.when(F.col("_in_all"), F.when(F.col("_in_role"), F.col("_r")).otherwise(F.col("_o"))).alias("rank"), F.coalesce("games", F.lit(0)).alias("games"), "adjusted")
+
+
 def meta_targets(tiers: DataFrame, games: int = META_GAMES, top: int = META_TARGETS) -> DataFrame:
     """The best champions of each career in official contests with enough games."""
     w = Window.partitionBy("career_id").orderBy(F.col("adjusted").desc(), "champion_id")

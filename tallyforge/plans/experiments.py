@@ -176,6 +176,21 @@ def j13_power(spark: SparkSession, d: str) -> DataFrame:
     return RF.power(oriented(spark, d), [0.0, 0.1, 0.2, 0.3, 0.45, 0.6], 10, FOLDS, SEED)
 
 
+@query(sql("""select a, b, n, round(observed, 6) as observed, round(expected, 6) as expected, round(r, 6) as reliability, round(shrunk, 6) + 0.0 as shrunk from (
+  select *, v / (v + nz) as r, (observed - expected) * v / (v + nz) as shrunk, row_number() over (order by round(abs((observed - expected) * v / (v + nz)), 9) desc, a, b) as place from (
+    select a, b, n, wins / n as observed, expected / n as expected, noise / (n * n) as nz, (select greatest(var_pop((wins - expected) / n) - avg(noise / (n * n)), 0) from cm where n >= 5) as v from cm where n >= 5)) where place <= 8""", SIDES))
+def j12_top_combos(spark: SparkSession, d: str) -> DataFrame:
+    """The eight largest effects of pairs (a report of fixed length), each shrunk by its own reliability."""
+    return X.shrunk_combos(moments(spark, d), LEAST, 8).select("a", "b", "n", R("observed").alias("observed"), R("expected").alias("expected"), R("reliability").alias("reliability"), R("shrunk").alias("shrunk"))
+
+
+@query(sql("select career_id, axis, distance::bigint as distance, count(*) as n, round(sum(w), 6) as kept from (select career_id, 'elapsed' as axis, elapsed as distance, w from wt union all select career_id, 'self', self_d, w from wt) group by all"))
+def j14_distance_histograms(spark: SparkSession, d: str) -> DataFrame:
+    """How many observations lie how far back on either axis, and the weight that they keep."""
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("axis"), F.col(c).cast("bigint").alias("distance")) for k, c in (("elapsed", "elapsed"), ("self", "self_d"))))).alias("x")
+    return I.weighted(spark, d).select("career_id", "w", each).groupBy("career_id", "x.axis", "x.distance").agg(F.count("*").alias("n"), R(F.sum("w")).alias("kept"))
+
+
 @query(sql("select career_id, coalesce(patch_seq, 0)::bigint as patch_seq, count(distinct match_id) as contests, round(sum(w) / count(*), 6) as kept, max(elapsed)::bigint as elapsed, max(self_d)::bigint as self_d from wt group by all"))
 def j14_patch_measures(spark: SparkSession, d: str) -> DataFrame:
     w = I.weighted(spark, d)
@@ -295,6 +310,15 @@ def j22_meta_grid(spark: SparkSession, d: str) -> DataFrame:
     return s.select("half_life", "solid", R("mean_shift").alias("mean_shift"), "max_move")
 
 
+GRID_CAREERS = GRID.replace("select h.half_life, champion_id,", "select h.half_life, career_id, champion_id,").replace("partition by half_life order by", "partition by career_id, half_life order by").replace("b.champion_id = g.champion_id", "b.champion_id = g.champion_id and b.career_id = g.career_id")
+
+
+@query(sql("select career_id, half_life::double as half_life, round(sum(sw) / sum(n), 6) as kept, count(*) filter (ess >= 10) as solid, round(avg(abs(rate - r0)), 6) as mean_shift, round(max(abs(rate - r0)), 6) as max_shift, max(abs(place - p0))::bigint as max_move from gj group by all", GRID_CAREERS))
+def j22_meta_grid_by_career(spark: SparkSession, d: str) -> DataFrame:
+    s = X.grid_summary(X.half_life_grid(I.weighted(spark, d), LIVES, by=["career_id"]), ["career_id"])
+    return s.select("career_id", "half_life", R("kept").alias("kept"), "solid", R("mean_shift").alias("mean_shift"), R("max_shift").alias("max_shift"), "max_move")
+
+
 @query(sql("select match_type, count(*) filter (a.side <> b.side) as enemies, count(*) filter (a.side = b.side) as allies from pa a join (select match_id, side from pa where champion_id = 9) b using (match_id) where a.champion_id = 4 group by all"))
 def j23_head_to_head(spark: SparkSession, d: str) -> DataFrame:
     ids = lambda s: F.transform(F.filter("stats", lambda x: x["side"] == s), lambda x: x["champion_id"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +53,24 @@ def a12_canonical_digest(spark: SparkSession, d: str) -> DataFrame:
     return Q.canonical_digest(I.raw(spark, d), ["match_type"], "match_id", ["match_id", "blue_score", "red_score"])
 
 
+@query(sql("""select 'bans' as what, match_type, n as value, count(*) as contests from (select mt.match_id, mt.match_type, count(bn.match_id) as n from mt left join bn using (match_id) group by all) group by all
+  union all select 'size', match_type, n, count(*) from mt group by all union all select 'champions', match_type, nd, count(*) from mt group by all
+  union all select 'version', match_type, patch_seq, count(*) from ct group by all"""))
+def a13_distributions(spark: SparkSession, d: str) -> DataFrame:
+    """How many contests have how many bans, participants and distinct champions, and belong to which version, by kind of contest."""
+    raw = I.raw(spark, d)
+    valid = I.contests(spark, d)
+    bans = I.bans(spark, d).groupBy("match_id").agg(F.count("*").alias("n"))
+    shown = lambda df, what, value: df.select(F.lit(what).alias("what"), "match_type", value.cast("bigint").alias("value"))
+    parts = [
+        shown(raw.join(bans, "match_id", "left"), "bans", F.coalesce("n", F.lit(0))),
+        shown(raw, "size", F.size("stats")),
+        shown(raw, "champions", F.size(F.array_distinct("stats.champion_id"))),
+        shown(valid.select("match_id", "match_type").join(I.facts(spark, d).select("match_id", "patch_seq").distinct(), "match_id"), "version", F.col("patch_seq")),
+    ]
+    return reduce(DataFrame.unionByName, parts).groupBy("what", "match_type", "value").agg(F.count("*").alias("contests"))
+
+
 #: A manifest that was written before some ranges changed, came or went: ranges of 16 contests; unranked ones are the set without a name.
 _DIGESTS = "dg as (select nullif(match_type, 'SCRIM') as kind, match_id // 16 as range, count(*) as rows, sha256(string_agg(match_id || ':' || blue_score || ':' || red_score, ',' order by match_id)) as digest from mt group by all)"
 _MANIFEST = "mn as (select kind, case when range % 5 = 1 then range + 100000 else range end as range, case when range % 4 = 2 then rows + 1 else rows end as rows, case when range % 4 = 2 then 'x' || digest else digest end as digest from dg)"

@@ -60,6 +60,29 @@ def h3_side_normalised(spark: SparkSession, d: str) -> DataFrame:
     return matches(spark, d).select("schedule_id", F.when(swap, F.col("red_score")).otherwise(F.col("blue_score")).alias("score_a"), F.when(swap, F.col("blue_score")).otherwise(F.col("red_score")).alias("score_b"), F.when(swap, F.col("red_kill")).otherwise(F.col("blue_kill")).alias("kill_a"))
 
 
+_SETS = """
+cy as (select *, first_value(blue_team_id) over (partition by career_id, season, day, least(blue_team_id, red_team_id), greatest(blue_team_id, red_team_id) order by match_id) as m_blue from ct where match_type = 'OFFICIAL'),
+pk as (select match_id, side, string_agg(champion_id, '-' order by pick_order) as picks from p0 group by all),
+bk as (select match_id, side, string_agg(champion_id, '-' order by ban_order) as bans from bn group by all),
+sd as (select cy.match_id, m_blue <> blue_team_id as swapped, blue_team_id, red_team_id, blue_score, red_score, winner_side, pb.picks as bp, pr2.picks as rp, bb.bans as bb, rb.bans as rb from cy
+  join pk pb on pb.match_id = cy.match_id and pb.side = 'BLUE' join pk pr2 on pr2.match_id = cy.match_id and pr2.side = 'RED' join bk bb on bb.match_id = cy.match_id and bb.side = 'BLUE' join bk rb on rb.match_id = cy.match_id and rb.side = 'RED')"""
+
+
+@query(sql("""select match_id, swapped::int as swapped, case when swapped then red_team_id else blue_team_id end as blue_team_id, ((winner_side = 'BLUE') <> swapped)::int as blue_won, case when swapped then red_score else blue_score end as blue_score, case when swapped then blue_score else red_score end as red_score,
+  case when swapped then rp else bp end as blue_picks, case when swapped then bp else rp end as red_picks, case when swapped then rb else bb end as blue_bans, case when swapped then bb else rb end as red_bans from sd""", V.SQL + "," + _SETS))
+def h3_sets_by_match(spark: SparkSession, d: str) -> DataFrame:
+    """Scores, picks, bans and winners of all sets, from the sides that the first set of the match had."""
+    keys = ["career_id", "season", "day", "team_a", "team_b"]
+    c = I.contests(spark, d).where("match_type = 'OFFICIAL'").withColumns({"team_a": F.least("blue_team_id", "red_team_id"), "team_b": F.greatest("blue_team_id", "red_team_id")})
+    listed = lambda x: F.array_join(F.transform(x, lambda i: i.cast("string")), "-")
+    side = lambda name: F.transform(F.array_sort(F.transform(F.filter("stats", lambda x: x["side"] == name), lambda x: F.struct(x["pick_order"], x["champion_id"]))), lambda x: x["champion_id"])
+    bans = I.bans(spark, d).groupBy("match_id").agg(*(listed(F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == x.upper(), F.struct("ban_order", "champion_id")))), lambda b: b["champion_id"])).alias(f"{x}_bans") for x in ("blue", "red")))
+    sets = c.withColumns({f"{x}_picks": listed(side(x.upper())) for x in ("blue", "red")}).join(bans, "match_id")
+    matches_ = c.groupBy(*keys).agg(F.min_by(F.struct("blue_team_id", "red_team_id"), "match_id").alias("m")).select(*keys, "m.*")
+    out = S.sides_of_match(sets, matches_, keys, ["score", "picks", "bans"])
+    return out.select("match_id", F.col("swapped").cast("int").alias("swapped"), "blue_team_id", (F.col("winner_side") == "BLUE").cast("int").alias("blue_won"), "blue_score", "red_score", "blue_picks", "red_picks", "blue_bans", "red_bans")
+
+
 @query(sql("select match_id, blue_score, (sum(kills) filter (side = 'BLUE') = blue_score and sum(kills) filter (side = 'RED') = red_score)::int as reconciled from p0 join ct using (match_id) group by match_id, blue_score, red_score"))
 def h4_reconciliation(spark: SparkSession, d: str) -> DataFrame:
     blue, red = (F.sum(F.when(F.col("side") == s, F.col("kills"))) for s in ("BLUE", "RED"))
@@ -177,6 +200,21 @@ def h21_next_unwritten(spark: SparkSession, d: str) -> DataFrame:
     return open_.groupBy("competition_id").agg(F.max_by(F.col("season") * 1000 + F.col("day"), F.struct("season", "day")).alias("latest"))
 
 
+@query(q("""select 'match' as kind, competition_id, season, day, schedule_id from (select *, row_number() over (partition by competition_id order by season desc, day desc, schedule_id) as rn from sw where played and schedule_id % 4 <> 1 and schedule_id % 3 <> 0) where rn = 1
+  union all select 'gallery', competition_id, season, day, schedule_id from (select *, row_number() over (partition by competition_id order by season desc, day desc, schedule_id) as rn from sw where played and schedule_id % 4 <> 1 and schedule_id % 6 <> 0) where rn = 1
+  union all select 'round', competition_id, (max(season * 1000 + day)) // 1000, (max(season * 1000 + day)) % 1000, null from sw where played and (season * 31 + day) % 4 <> 0 group by competition_id"""))
+def h21_next_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """What is to be written next for each competition: the latest match that has sets and no article, the latest that has sets and no gallery, and the latest day without a round summary."""
+    m = S.winner(matches(spark, d)).where("played").select("competition_id", "season", "day", "schedule_id")
+    with_sets, by = m.where("schedule_id % 4 <> 1"), ["competition_id"]
+    match = S.next_unwritten(with_sets, m.where("schedule_id % 3 = 0"), ["schedule_id"], by, "schedule_id")
+    gallery = S.next_unwritten(with_sets, m.where("schedule_id % 6 = 0"), ["schedule_id"], by, "schedule_id")
+    days = m.select("competition_id", "season", "day").distinct()
+    rounds = S.next_unwritten(days, days.where("(season * 31 + day) % 4 = 0"), ["competition_id", "season", "day"], by).withColumn("schedule_id", F.lit(None).cast("bigint"))
+    made = [x.select(F.lit(k).alias("kind"), "competition_id", "season", "day", "schedule_id") for k, x in (("match", match), ("gallery", gallery), ("round", rounds))]
+    return made[0].unionByName(made[1]).unionByName(made[2])
+
+
 @query(q("select season, count(*) as matches from sc group by all"))
 def h22_matches_per_season(spark: SparkSession, d: str) -> DataFrame:
     return matches(spark, d).groupBy("season").agg(F.count("*").alias("matches"))

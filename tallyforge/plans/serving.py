@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import estimates as O
+from ..operators import season as SE
 from ..operators import serving as S
 from ..sources import views as V
 from . import inputs as I
@@ -45,8 +46,8 @@ def fitted_effects(spark: SparkSession, d: str) -> DataFrame:
     return O.pair_effects(I.weighted(spark, d))
 
 
-def classified(spark: SparkSession, d: str) -> DataFrame:
-    return S.classified(S.pair_pivot(mean_effects(spark, d)))
+def classified(spark: SparkSession, d: str, effects=mean_effects) -> DataFrame:
+    return S.classified(S.pair_pivot(effects(spark, d)))
 
 
 @query(sql("select career_id, include_scrim::varchar as include_scrim, c.champion_id, coalesce(games, 0) as games, adjusted from (select distinct champion_id from pr) c cross join (select distinct career_id, include_scrim from tr) k left join tr using (career_id, include_scrim, champion_id)", TIER))
@@ -75,6 +76,23 @@ def f3_rank_in_role(spark: SparkSession, d: str) -> DataFrame:
     return S_ranked(spark, d, ["career_id", "include_scrim", "role"]).select("career_id", "include_scrim", "champion_id", "rank")
 
 
+#: Champions whose number ends in zero have no role yet; one more was never played.
+_LOOKUP = TIER + """,
+cg as (select k.career_id, c.champion_id from (select distinct career_id from pt) k cross join (select distinct champion_id from pr union all select max(champion_id) + 1 from pr) c),
+ov as (select career_id, champion_id, games, adjusted, case when games > 0 then rank() over (partition by career_id order by adjusted desc nulls last) end as rank from tr where not include_scrim),
+ro as (select career_id, champion_id, case when games > 0 then rank() over (partition by career_id, (champion_id - 1) // 8 order by adjusted desc nulls last) end as rank from tr where not include_scrim and champion_id % 10 <> 0)"""
+
+
+@query(sql("select cg.career_id, cg.champion_id, case when ov.champion_id is null then 'bare' when ro.champion_id is null then 'overall' else 'role' end as found, case when ro.champion_id is null then ov.rank else ro.rank end as rank, coalesce(ov.games, 0) as games, adjusted from cg left join ov using (career_id, champion_id) left join ro using (career_id, champion_id)", _LOOKUP))
+def f3_champion_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Every champion by its rank in its role, in all, or bare."""
+    t = I.tiers(spark, d).where("not include_scrim").withColumn("role", F.expr("(champion_id - 1) div 8"))
+    ids = catalogue(spark, d)
+    never = ids.groupBy("career_id").agg((F.max("champion_id") + 1).alias("champion_id"))
+    in_role = O.ranked(t.where("champion_id % 10 <> 0"), ["career_id", "role"])
+    return S.lookup(ids.unionByName(never), O.ranked(t, ["career_id"]), in_role, ["career_id", "champion_id"])
+
+
 @query(sql("select career_id, side, subject, other, dealing, tanking, healing, kills, deaths, assists, observations from pv", EF))
 def f4_pair_pivot(spark: SparkSession, d: str) -> DataFrame:
     return S.pair_pivot(mean_effects(spark, d)).select("career_id", "side", "subject", "other", "dealing", "tanking", "healing", "kills", "deaths", "assists", "observations")
@@ -98,7 +116,7 @@ def f7_signature(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def f7_fitted_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Buckets, rank values, lead metrics and signatures over the fitted effects. No SQL for the fit; the rules are those of f5 to f7, the effects those of e10."""
-    c = S.classified(S.pair_pivot(fitted_effects(spark, d)))
+    c = classified(spark, d, fitted_effects)
     return c.select("career_id", "side", "subject", "other", "bucket", F.round("rank_value", 6).alias("rank_value"), "lead_metric", "favourable", "signature")
 
 
@@ -119,7 +137,7 @@ def f8_bucket_top(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def f8_fitted_top(spark: SparkSession, d: str) -> DataFrame:
     """The lists of f8 over the fitted effects."""
-    return S.buckets(S.classified(S.pair_pivot(fitted_effects(spark, d))))
+    return S.buckets(classified(spark, d, fitted_effects))
 
 
 @query(sql("select career_id, subject, other, round(rank_value, 6) as rank_value from cl where bucket = 'ANTI_SYNERGY'", CL))
@@ -127,6 +145,12 @@ def f9_warnings(spark: SparkSession, d: str) -> DataFrame:
     return classified(spark, d).where("bucket = 'ANTI_SYNERGY'").select("career_id", "subject", "other", F.round("rank_value", 6).alias("rank_value")).orderBy(F.col("rank_value").desc())
 
 
+@query()
+def f9_fitted_warnings(spark: SparkSession, d: str) -> DataFrame:
+    """The warnings of f9 over the fitted effects."""
+    return classified(spark, d, fitted_effects).where("bucket = 'ANTI_SYNERGY'").select("career_id", "subject", "other", F.round("rank_value", 6).alias("rank_value")).orderBy(F.col("rank_value").desc())
+
+
 @query(sql("select p.career_id, (t.career_id is not null)::int as filled, (row_number() over (order by (t.career_id is not null) desc, p.career_id) = 1)::int as chosen from (select distinct career_id from pt) p left join (select distinct career_id from tr) t using (career_id)", TIER))
 def f10_careers(spark: SparkSession, d: str) -> DataFrame:
     """Careers, whether they have aggregates, and the default: the first filled one, else the first. A row a career."""
@@ -135,11 +159,19 @@ def f10_careers(spark: SparkSession, d: str) -> DataFrame:
     return j.withColumn("chosen", (F.row_number().over(Window.orderBy(F.col("filled").desc(), "career_id")) == 1).cast("int"))
 
 
-@query(sql("select career_id, season, day, least(blue_team_id, red_team_id) as team_a, greatest(blue_team_id, red_team_id) as team_b, count(*) as sets, count(*) filter (case winner_side when 'BLUE' then blue_team_id else red_team_id end = least(blue_team_id, red_team_id)) as wins_a, max(match_id) as last_set from ct where match_type = 'OFFICIAL' group by all"))
+PLAYER_TEAM = 3
+_NUMBER = "season * 100000 + day * 1000 + blue_team_id * 31 + red_team_id * 31"
+
+
+@query(sql(f"""select m.*, case when 3 = team_a then (wins_a * 2 > sets)::int when 3 = team_b then (wins_a * 2 < sets)::int end as own_won, article_id, batch_id, coalesce(batches, 0) as batches, case when batches > 0 then 2 when article_id is not null then 1 else 0 end as stage
+  from (select career_id, season, day, team_a, team_b, count(*) as sets, count(*) filter (case winner_side when 'BLUE' then blue_team_id else red_team_id end = team_a) as wins_a, max(match_id) as last_set from oc group by all) m
+  left join (select career_id, season, day, team_a, team_b, max({_NUMBER}) as article_id from oc where ({_NUMBER}) % 3 = 0 group by all) a using (career_id, season, day, team_a, team_b)
+  left join (select career_id, season, day, team_a, team_b, max(match_id) as batch_id, count(*) as batches from oc where match_id % 4 = 0 group by all) b using (career_id, season, day, team_a, team_b)""", V.SQL + ",\noc as (select *, least(blue_team_id, red_team_id) as team_a, greatest(blue_team_id, red_team_id) as team_b from ct where match_type = 'OFFICIAL')"))
 def f11_cycle_timeline(spark: SparkSession, d: str) -> DataFrame:
-    winner = F.when(F.col("winner_side") == "BLUE", F.col("blue_team_id")).otherwise(F.col("red_team_id"))
-    c = I.contests(spark, d).where("match_type = 'OFFICIAL'").withColumn("team_a", F.least("blue_team_id", "red_team_id")).withColumn("team_b", F.greatest("blue_team_id", "red_team_id"))
-    return c.groupBy("career_id", "season", "day", "team_a", "team_b").agg(F.count("*").alias("sets"), F.count_if(winner == F.col("team_a")).alias("wins_a"), F.max("match_id").alias("last_set"))
+    """Matches with their sets, articles and galleries. A third of the matches have an article, every fourth contest a batch."""
+    c = I.contests(spark, d)
+    official = c.where("match_type = 'OFFICIAL'").select("career_id", "season", "day", "blue_team_id", "red_team_id", "match_id", F.expr(_NUMBER).alias("article_id"))
+    return SE.timeline(c, official.where("article_id % 3 = 0"), official.where("match_id % 4 = 0").withColumn("batch_id", F.col("match_id")), PLAYER_TEAM)
 
 
 TG_SQL = """tg as (select career_id, champion_id as target, adjusted, row_number() over (partition by career_id order by adjusted desc, champion_id) as place from tr where not include_scrim and games >= 20 qualify place <= 6),
@@ -178,12 +210,18 @@ def g4_worth_testing(spark: SparkSession, d: str) -> DataFrame:
     return candidates(spark, d).select("career_id", "champion_id", "target", (F.col("observations") < S.TESTED).cast("int").alias("to_test"))
 
 
+@query()
+def g3_fitted_counters(spark: SparkSession, d: str) -> DataFrame:
+    """The counters of g3 and g4 over the fitted effects."""
+    return S.best_counters(candidates(spark, d, fitted_effects)).select("career_id", "champion_id", "target", "observations", "to_test")
+
+
 SIDES_SQL = "select a.career_id, a.champion_id as a, b.champion_id as b, count(*) as times from pa a join pa b on a.match_id = b.match_id and a.side = b.side and a.champion_id < b.champion_id where a.match_type = '{}' group by all"
 KNOWN_SQL = "select distinct career_id, least(subject, other) as a, greatest(subject, other) as b from ef where side = 'ALLY'"
 
 
-def known_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return mean_effects(spark, d).where("side = 'ALLY'").select("career_id", F.least("subject", "other").alias("a"), F.greatest("subject", "other").alias("b")).distinct()
+def known_pairs(spark: SparkSession, d: str, effects=mean_effects) -> DataFrame:
+    return effects(spark, d).where("side = 'ALLY'").select("career_id", F.least("subject", "other").alias("a"), F.greatest("subject", "other").alias("b")).distinct()
 
 
 @query(sql(f"select coalesce(k.career_id, t.career_id) as career_id, coalesce(k.a, t.a) as a, coalesce(k.b, t.b) as b, (k.a is not null)::int as known, coalesce(times, 0) as tried from ({KNOWN_SQL}) k full join ({SIDES_SQL.format('SCRIM')}) t on k.career_id = t.career_id and k.a = t.a and k.b = t.b", EF))
@@ -197,10 +235,16 @@ def g6_unexplored_pairs(spark: SparkSession, d: str) -> DataFrame:
     return S.unexplored(catalogue(spark, d), known_pairs(spark, d), S.tried_pairs(I.facts(spark, d), "SCRIM"))
 
 
+@query()
+def g6_fitted_unexplored(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs of g6 beside those that the fitted effects know."""
+    return S.unexplored(catalogue(spark, d), known_pairs(spark, d, fitted_effects), S.tried_pairs(I.facts(spark, d), "SCRIM"))
+
+
 def built_decks(spark: SparkSession, d: str) -> DataFrame:
     t = I.tiers(spark, d)
     pool = t.where("not include_scrim").select("career_id", "champion_id", F.expr("(champion_id - 1) div 8").alias("role"), "games")
-    free = S.unexplored(catalogue(spark, d), known_pairs(spark, d), S.tried_pairs(I.facts(spark, d), "SCRIM"))
+    free = S.unexplored(catalogue(spark, d), known_pairs(spark, d, fitted_effects), S.tried_pairs(I.facts(spark, d), "SCRIM"))
     return S.decks(S.best_counters(candidates(spark, d, fitted_effects)), pool, free)
 
 
@@ -212,7 +256,7 @@ def g7_decks(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def g8_deck_scores(spark: SparkSession, d: str) -> DataFrame:
-    return S.deck_scores(built_decks(spark, d), known_pairs(spark, d), S.tried_pairs(I.facts(spark, d), "SCRIM"))
+    return S.deck_scores(built_decks(spark, d), known_pairs(spark, d, fitted_effects), S.tried_pairs(I.facts(spark, d), "SCRIM"))
 
 
 @query(sql("select a.career_id, a.champion_id as a, b.champion_id as b, count(*) as games, sum(a.is_winner::int)::bigint as wins from pa a join pa b on a.match_id = b.match_id and a.side = b.side and a.champion_id < b.champion_id group by all"))
