@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 TURNS = "array<struct<role:string,text:string>>"
 #: All fields that a layout may read.
 RECORD = (
@@ -79,22 +81,27 @@ def unescape(text: Column) -> Column:
 
 
 def canonical(records: DataFrame, record: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """``records`` with layout (the mapping's name, 'unknown' if no mapping has the record's paths) and turns (null then)."""
+    """``records`` with layout (the mapping's name, 'unknown' if no mapping has the record's paths) and turns (null then).
+
+    Null records are unknown; rows are independent, and an empty table stays empty. Columns of any name may be there: one named layout or turns stays, and the new one gets an underscore.
+    """
     spark = records.sparkSession
     known = spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(x.name).alias("layout"), F.lit(x.example).alias("_e")) for x in layouts))))
     known = known.select("layout", fingerprint("_e").alias("_print"))
-    marked = records.withColumn("_print", fingerprint(record)).join(F.broadcast(known), "_print", "left")  # one row a layout
+    rows = records.select(F.struct(*(F.col(f"`{c}`") for c in records.columns)).alias("_row"), F.col(f"`{record}`").alias("_record"))
+    marked = rows.withColumn("_print", fingerprint("_record")).join(F.broadcast(known), "_print", "left")  # one row a layout
     # What the skeleton leaves out may still be no JSON: such records are unknown.
-    parsed = marked.withColumn("r", F.from_json(record, f"{RECORD}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "maxStringLen": str(2**31 - 1)}))
+    parsed = marked.withColumn("r", F.from_json("_record", f"{RECORD}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "maxStringLen": str(2**31 - 1)}))
     parsed = parsed.withColumn("layout", F.when(F.col("r._bad").isNull(), F.col("layout")))
     turns = F.expr("case layout " + " ".join(f"when '{x.name}' then {x.turns}" for x in layouts) + " end")
-    return parsed.withColumn("turns", turns).withColumn("layout", F.coalesce("layout", F.lit("unknown"))).drop("_print", "r")
+    own = (F.col("_row").getField(c).alias(c) for c in records.columns)
+    return parsed.select(*own, F.coalesce("layout", F.lit("unknown")).alias(fresh("layout", records.columns)), turns.alias(fresh("turns", records.columns)))
 
 
 def formatted(turned: DataFrame, turns: str = "turns") -> DataFrame:
     """Adds segments, an array of (text, loss) whose texts joined are the formatted conversation, and formatted.
 
-    The loss mask covers assistant texts only. Null turns give nulls; no turns the empty string.
+    The loss mask covers assistant texts only. Null turns give nulls; no turns the empty string. Where columns have these names already, the new ones get an underscore.
     """
 
     def one(t: Column) -> Column:
@@ -105,8 +112,9 @@ def formatted(turned: DataFrame, turns: str = "turns") -> DataFrame:
             F.struct(before.alias("text"), F.lit(False).alias("loss")), F.struct(text.alias("text"), (role == "assistant").alias("loss")), F.struct(after.alias("text"), F.lit(False).alias("loss"))
         )
 
-    made = turned.withColumn("segments", F.flatten(F.transform(F.col(turns), one)))
-    return made.withColumn("formatted", F.array_join(F.transform("segments", lambda s: s["text"]), ""))
+    segments = fresh("segments", turned.columns)
+    made = turned.withColumn(segments, F.flatten(F.transform(F.col(turns), one)))
+    return made.withColumn(fresh("formatted", turned.columns), F.array_join(F.transform(segments, lambda s: s["text"]), ""))
 
 
 _PARSE = r"""transform(slice(split(formatted, '</s>'), 1, size(split(formatted, '</s>')) - 1), p -> case
@@ -160,7 +168,10 @@ def extra(spark: SparkSession) -> DataFrame:
 
 
 def digests(conversations: DataFrame) -> DataFrame:
-    """Per conversation, read back from the formatted text: turns, their digest, and the digest of the text under the loss mask."""
+    """Per conversation, read back from the formatted text: turns, their digest, and the digest of the text under the loss mask.
+
+    Null roles and texts are empty, repeated rows are turns of their own, and only conv_id, turn, role and text are read; an empty table gives no rows.
+    """
     out = formatted(canonical(records(conversations))).select("conv_id", "formatted", "segments").withColumn("back", parsed())
     told = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select("conv_id", F.size("back").cast("long").alias("n_turns"), told.alias("told"), loss_text().alias("loss"), F.length("formatted").cast("long").alias("formatted_chars")).select(

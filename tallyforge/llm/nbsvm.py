@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hash_bound, with_columns
+from .common import fresh, hash_bound, with_columns
 from .rlz import word_hashes
 
 BITS = 17
@@ -158,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     # The sample is drawn from the labels alone: its size is proven, so it may be broadcast.
     # Twice as many labels as needed pass a bound on the hash; only those are sorted, so no partition sends fit_rows of its own.
     draw = F.xxhash64(F.col("doc_id").cast("string"), F.lit("fit"))
-    share = min(1.0, 2 * fit_rows / max(1.0, n.sum()))
+    share = min(1.0, 2 * fit_rows / max(1.0, min(n.sum(), labels.count())))  # rows may repeat an id
     drawn = labels.where(draw <= F.lit(hash_bound(share))).orderBy(draw, "doc_id").limit(fit_rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", F.col("y").cast("int").alias("y"), F.col("doc_id").cast("string").alias("k"))
 
@@ -168,8 +168,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
             found = [indicators(x.as_py(), flags) for x in b.column(0)]
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([0] * len(found), pa.int32()), pa.array([x.tobytes() for x in found], pa.binary())], names=["y", "k", "one", "marks"])
 
-    # What meets in one task are at most fit_rows rows of at most SIZE indicators, however long the texts are.
-    sample = texts.mapInArrow(marks, "y int, k string, one int, marks binary")
+    # What meets in one task are at most fit_rows rows of at most SIZE indicators, however long the texts are and however often rows repeat an id.
+    distinct = texts.mapInArrow(marks, "y int, k string, one int, marks binary").dropDuplicates(["k", "marks"])
+    sample = distinct.orderBy(F.xxhash64("k", "marks"), "k", "marks").limit(fit_rows)
 
     def learn(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["k", "marks", "y"], ignore_index=True)
@@ -194,8 +195,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
 
 
 def with_score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with the score appended; texts only, no shuffle. Null and empty texts get the score of the bias."""
-    at = docs.columns.index(text_col)
+    """``docs`` with the score appended; texts only, no shuffle. Null and empty texts get the score of the bias, equal texts equal scores, an empty table stays empty.
+    A column of that name that is there already stays, and the new one gets an underscore."""
+    at, name = docs.columns.index(text_col), fresh(name, docs.columns)
     field = [T.StructField(name, T.DoubleType())]
     return docs.mapInArrow(with_columns(docs.schema, field, lambda b: [model.scores(b.column(at).to_pylist())]), T.StructType([*docs.schema.fields, *field]))
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, components, stored
+from .common import WORD_BYTES, components, fresh, stored
 
 SEED = 42
 #: Up to so many fingerprints of one variant are compared pair by pair;
@@ -59,8 +59,8 @@ def _hashes(size: int) -> Callable[[Iterator[pd.Series]], Iterator[pd.Series]]:
 
 
 def with_fingerprint(docs: DataFrame, text_col: str = "text", size: int = 3, name: str = "fp") -> DataFrame:
-    """``docs`` with the fingerprint appended as a long; no shuffle."""
-    return docs.withColumn(name, _hashes(size)(F.col(text_col)))
+    """``docs`` with the fingerprint appended as a long; no shuffle. Null and empty texts have fingerprint 0. A column of that name that is there already stays, and the new one gets an underscore."""
+    return docs.withColumn(fresh(name, docs.columns), _hashes(size)(F.col(text_col)))
 
 
 def _segment(fp: str, high: bool) -> str:
@@ -112,7 +112,7 @@ def classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", siz
     Texts without words share fingerprint zero and are linked like any other. Null ids are not
     smaller than any id; rows with equal ids keep a row each.
     """
-    rows = stored(with_fingerprint(docs.select(id_col, text_col), text_col, size).select(id_col, "fp"), "fingerprints")
+    rows = stored(docs.select(F.col(id_col).alias("_id"), _hashes(size)(F.col(text_col)).alias("fp")), "fingerprints").withColumnRenamed("_id", id_col)
     least = rows.groupBy("fp").agg(F.min(id_col).alias("low"))
     joined = components(links(least.select("fp")))
     of = least.join(joined, least["fp"] == joined["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
@@ -122,7 +122,7 @@ def classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", siz
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id."""
+    """doc_id, fingerprint (16 hex digits), component_id of each row: texts that are null or have no words share fingerprint 0, repeated rows keep a row each, an empty table gives none, and other columns are not read."""
     return classes(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
