@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -211,16 +212,55 @@ def _numbered() -> Column:
     )
 
 
+def _moments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of ``normal_equations`` over each batch: all pairs of an observation's terms by one sort of their codes, then one weighted count a metric."""
+    for b in batches:
+        n = b.num_rows
+        if not n:
+            continue
+        careers, champions = b.column("career_id").to_numpy(), b.column("champion_id").to_numpy()
+        _, first, group = np.unique(np.stack([careers, champions]), axis=1, return_index=True, return_inverse=True)
+        group, w = group.ravel(), b.column("w").to_numpy().astype(float)
+        z = np.stack([b.column(f"z_{m}").to_numpy(zero_copy_only=False).astype(float) for m in METRICS])
+        listed = b.column("t")
+        row, (names, term) = np.repeat(np.arange(n), np.diff(listed.offsets.to_numpy())), np.unique(listed.flatten().to_numpy(), return_inverse=True)
+        u = len(names)
+        if not u:
+            continue
+        # Distinct terms of each row in order, with how often they occur, as the columns of a matrix that ends in blanks.
+        codes, times = np.unique(row.astype(np.int64) * u + term, return_counts=True)
+        row, term = codes // u, codes % u
+        place = np.arange(len(row)) - np.r_[0, np.cumsum(np.bincount(row, minlength=n))[:-1]][row]
+        width = int(place.max()) + 1
+        at, much = np.zeros((n, width), np.int64), np.zeros((n, width))
+        at[row, place], much[row, place] = term, times
+        i, j = np.triu_indices(width)
+        used = (much[:, i] > 0) & (much[:, j] > 0)
+        owner, pair = np.nonzero(used)
+        key, inverse = np.unique((group[owner] * u + at[owner, i[pair]]) * u + at[owner, j[pair]], return_inverse=True)
+        weight = w[owner] * much[owner, i[pair]] * much[owner, j[pair]]
+        known = ~np.isnan(z)
+        whole = np.bincount(inverse, weight, len(key))
+        left = [whole if known[m].all() else np.bincount(inverse, weight * known[m][owner], len(key)) for m in range(len(METRICS))]
+        side, back = np.unique(group[row] * u + term, return_inverse=True)
+        share = w[row] * times
+        right, seen = [], []
+        for m in range(len(METRICS)):
+            right.append(np.bincount(back, share * np.nan_to_num(z[m])[row], len(side)))
+            seen.append(np.bincount(back, known[m][row], len(side)) > 0)
+        g = np.r_[key // u // u, side // u]
+        numbers = [np.r_[names[key // u % u], names[side % u]], np.r_[names[key % u], np.full(len(side), -1)]]
+        sums = [pa.array(np.r_[x, y], mask=np.r_[np.zeros(len(key), bool), ~s]) for x, y, s in zip(left, right, seen, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(careers[first][g], pa.int32()), pa.array(champions[first][g], pa.int64()), *(pa.array(x, pa.int64()) for x in numbers), *sums], names=["career_id", "champion_id", "j", "k", *METRICS])
+
+
 def normal_equations(z: DataFrame) -> DataFrame:
     """Rows (career_id, champion_id, j, k, one column a metric) of the weighted least squares over ``wide_standardised`` rows: sum of w x_j x_k, and with k = -1
-    sum of w x_j z. These are the data-sized sums; they are combined before the one shuffle, and the pairs come from an observation's own 15 terms.
+    sum of w x_j z, null where no observation has the metric. These are the data-sized sums: batches of rows are summed where they are, and the sums are combined before and after the one shuffle.
     """
-    t = z.withColumn("t", _numbered()).withColumn("x", F.expr("array_sort(transform(array_distinct(t), f -> struct(f as f, cast(size(filter(t, g -> g = f)) as double) as m)))"))
-    part = t.select("career_id", "champion_id", "w", *(f"z_{m}" for m in METRICS), F.posexplode("x").alias("at", "a"), "x")
-    # Each term with itself and those after it, and with -1 for the right side.
-    both = part.withColumn("b", F.explode(F.expr("concat(array(struct(-1L as f, 0.0D as m)), slice(x, at + 1, size(x)))")))
-    value = {m: F.when(F.col("b.f") == -1, F.col("w") * F.col("a.m") * F.col(f"z_{m}")).otherwise(F.when(F.col(f"z_{m}").isNotNull(), F.col("w") * F.col("a.m") * F.col("b.m"))) for m in METRICS}
-    return both.groupBy("career_id", "champion_id", F.col("a.f").alias("j"), F.col("b.f").alias("k")).agg(*(F.sum(v).alias(m) for m, v in value.items()))
+    t = z.select("career_id", F.col("champion_id").cast("bigint").alias("champion_id"), F.col("w").cast("double").alias("w"), *(f"z_{m}" for m in METRICS), _numbered().alias("t"))
+    sums = t.mapInArrow(_moments, f"career_id int, champion_id bigint, j bigint, k bigint, {', '.join(f'{m} double' for m in METRICS)}")
+    return sums.groupBy("career_id", "champion_id", "j", "k").agg(*(F.sum(m).alias(m) for m in METRICS))
 
 
 def feature_name(number: Column, champion: Column) -> Column:
