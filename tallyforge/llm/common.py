@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -116,10 +116,12 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least, "a")
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        old, e = e, stored(small.where("a <> b").distinct(), "links")
+        seen = Observation()  # counted while the links are written
+        links = small.where("a <> b").distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("sum"))
+        old, e = e, stored(links, "links")
         delete(spark, old)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if now == before or not now[0]:
+        now = seen.get
+        if now == before or not now["n"]:
             break
         before = now
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
@@ -153,6 +155,7 @@ def clusters(members: DataFrame, similar: Callable[[DataFrame], DataFrame], resi
     first = stored(best.where("hub.k <> k").select(F.greatest("k", "hub.k").alias("a"), F.least("k", "hub.k").alias("b")).distinct(), "cluster-pairs")
     found = [stored(similar(first), "cluster-links")]
     component = stored(components(found[0]), "cluster-components")
+    release(spark)
     while True:
         placed = live.join(component, live["k"] == component["node"], "left").select("band", "k", "n", "g", F.coalesce("component", "k").alias("c"))
         several = placed.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band")
@@ -166,13 +169,15 @@ def clusters(members: DataFrame, similar: Callable[[DataFrame], DataFrame], resi
         among = small.join(other, "band").where("pc <> c and p < k").select(F.col("k").alias("a"), F.col("p").alias("b"))
         new = stored(similar(with_hub.unionByName(among).distinct()), "cluster-links")
         found.append(new)
-        old, component = component, stored(components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new.select("a", "b"))), "cluster-components")
+        if not new.isEmpty():
+            old, component = component, stored(components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new.select("a", "b"))), "cluster-components")
+            release(spark, old)
         cut = stored(residue(under.select("band", "k", F.col("p").alias("hub"))), "cluster-residue")
         sizes = cut.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
         # A row weighs as much as the bands that it shares now.
         next_ = cut.join(sizes, "band")
         live = stored(next_.join(next_.groupBy("k").agg(F.sum("n").alias("g")), "k").select("band", "k", "n", "g"), "cluster-bands")
-        delete(spark, now, under, old, cut)
+        release(spark, now, under, cut)
         if live.isEmpty():
             break
     delete(spark, live, first, *found)
