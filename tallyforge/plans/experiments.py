@@ -344,6 +344,27 @@ def j24_tier_report(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(sql("""select career_id, include_scrim::varchar as include_scrim, champions, round(sqrt(ov), 6) as observed, round(sqrt(nv), 6) as noise, case when ov > nv + 1e-12 then round(sqrt(ov - nv), 5) end as real, case when ov > nv + 1e-12 then round(pq / (ov - nv), 2) end as implied_k0, case when ov > 0 then round(nv / ov, 5) end as noise_share
+  from (select career_id, include_scrim, count(*) as champions, var_samp(wins / games) as ov, avg(wins / games * (1 - wins / games) / games) as nv, avg(wins / games * (1 - wins / games)) as pq from tr where games > 0 group by all)""", TIER))
+def j24_signal_noise(spark: SparkSession, d: str) -> DataFrame:
+    """How far raw rates scatter, how far chance alone would, what is left, and the strength of shrinkage that this implies."""
+    p, n = F.col("wins") / F.col("games"), F.col("games")
+    t = I.tiers(spark, d).where("games > 0").groupBy("career_id", "include_scrim").agg(F.count("*").alias("champions"), F.var_samp(p).alias("ov"), F.avg(p * (1 - p) / n).alias("nv"), F.avg(p * (1 - p)).alias("pq"))
+    some = F.col("ov") > F.col("nv") + 1e-12
+    out = t.select(
+        "career_id", "include_scrim", "champions", F.round(F.sqrt("ov"), 6).alias("observed"), F.round(F.sqrt("nv"), 6).alias("noise"), F.when(some, F.round(F.sqrt(F.col("ov") - F.col("nv")), 5)).alias("real"),
+        F.when(some, F.round(F.col("pq") / (F.col("ov") - F.col("nv")), 2)).alias("implied_k0"), F.when(F.col("ov") > 0, F.round(F.col("nv") / F.col("ov"), 5)).alias("noise_share"),
+    )
+    return I.flag_text(out)
+
+
+@query(sql("select career_id, include_scrim::varchar as include_scrim, count(*) as pairs, count(distinct a) as champions, max(games) as most from (select career_id, include_scrim, a, b, count(*) as games from dr group by all) group by all", PAIRS))
+def j25_rows_per_scope(spark: SparkSession, d: str) -> DataFrame:
+    """How many directed pairs each scope has, of how many champions, and the games of the commonest."""
+    p = O.directed(O.outcomes(I.weighted(spark, d)))
+    return I.flag_text(p.groupBy("career_id", "include_scrim").agg(F.count("*").alias("pairs"), F.count_distinct("a").alias("champions"), F.max("games").alias("most")))
+
+
 @query(sql("select career_id, a, b, games, wins, rn from (select career_id, a, b, count(*) as games, sum(won)::bigint as wins, row_number() over (partition by career_id order by sum(won) / count(*) desc, count(*) desc, a, b) as rn from dr where include_scrim group by career_id, a, b having count(*) >= 3) where rn <= 20", PAIRS))
 def j25_counter_report(spark: SparkSession, d: str) -> DataFrame:
     """The twenty directed pairs of each career with the best raw rate among those seen often enough."""
