@@ -156,6 +156,7 @@ def clusters(members: DataFrame, similar: Callable[[DataFrame], DataFrame], resi
     found = [stored(similar(first), "cluster-links")]
     component = stored(components(found[0]), "cluster-components")
     release(spark)
+    lineage = F.lit(0).cast("bigint")  # at first bands with the same hub are cut as one; later each by itself, so that they shrink
     while True:
         placed = live.join(component, live["k"] == component["node"], "left").select("band", "k", "n", "g", F.coalesce("component", "k").alias("c"))
         several = placed.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band")
@@ -172,7 +173,8 @@ def clusters(members: DataFrame, similar: Callable[[DataFrame], DataFrame], resi
         if not new.isEmpty():
             old, component = component, stored(components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new.select("a", "b"))), "cluster-components")
             release(spark, old)
-        cut = stored(residue(under.select("band", "k", F.col("p").alias("hub"))), "cluster-residue")
+        cut = stored(residue(under.select(lineage.alias("band"), "k", F.col("p").alias("hub")).distinct()), "cluster-residue")
+        lineage = F.col("band")
         sizes = cut.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
         # A row weighs as much as the bands that it shares now.
         next_ = cut.join(sizes, "band")

@@ -99,13 +99,16 @@ def residue(rows: DataFrame, texts: DataFrame) -> DataFrame:
     So rows whose residues are small share a band with every row that has one of their shingles. A row that
     has next to nothing that its hub lacks is banded by what it lacks itself as well.
     """
-    keys = rows.select("k").unionByName(rows.select(F.col("hub").alias("k"))).distinct()
+    pairs = rows.select("k", "hub").distinct()
+    keys = pairs.select("k").unionByName(pairs.select(F.col("hub").alias("k"))).distinct()
     sets = stored(hashed(texts.join(keys, "k", "left_semi")).groupBy("k").agg(F.collect_set("h").alias("h")), "residue-shingles")
-    both = rows.join(sets, "k").join(sets.select(F.col("k").alias("hub"), F.col("h").alias("hub_h")), "hub")
-    parts = both.select("band", "k", F.array_except("h", "hub_h").alias("own"), F.array_except("hub_h", "h").alias("lacks"))
-    chosen = parts.select("band", "k", F.explode(F.array(F.struct(F.lit(1).alias("sign"), F.col("own").alias("x")), F.struct(F.lit(-1).alias("sign"), F.when(F.size("own") * 8 < F.size("lacks"), F.col("lacks")).otherwise(F.array().cast("array<bigint>")).alias("x")))).alias("p"))
+    both = pairs.join(sets, "k").join(sets.select(F.col("k").alias("hub"), F.col("h").alias("hub_h")), "hub")
+    parts = both.select("k", "hub", F.array_except("h", "hub_h").alias("own"), F.array_except("hub_h", "h").alias("lacks"))
+    chosen = parts.select("k", "hub", F.explode(F.array(F.struct(F.lit(1).alias("sign"), F.col("own").alias("x")), F.struct(F.lit(-1).alias("sign"), F.when(F.size("own") * 8 < F.size("lacks"), F.col("lacks")).otherwise(F.array().cast("array<bigint>")).alias("x")))).alias("p"))
     least = F.expr(f"filter(transform(sequence(0, {RESIDUE - 1}), b -> array_min(filter(p.x, h -> pmod(shiftright(h, 8), {RESIDUE}) = b))), h -> h is not null)")
-    return chosen.select("band", "k", F.col("p.sign").alias("sign"), F.explode(least).alias("h")).select(F.xxhash64("band", "sign", "h").alias("band"), "k")
+    # The sets of a row and its hub are read once, however many bands hold the two.
+    each = stored(chosen.select("k", "hub", F.col("p.sign").alias("sign"), F.explode(least).alias("h")), "residue-least")
+    return rows.join(each, ["k", "hub"]).select(F.xxhash64("band", "hub", "sign", "h").alias("band"), "k")
 
 
 def components_of_lines(docs: DataFrame) -> DataFrame:

@@ -84,9 +84,10 @@ def _residue(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series
 
 def residue(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """(band, k) of the residue of rows (band, k, hub), by texts (k, text): the least of each bin of the shingles that the hub lacks, and if these are few, of those that the row lacks."""
-    hub = texts.select(F.col("k").alias("hub"), F.col("text").alias("hub_text"))
-    both = rows.join(texts.hint("merge"), "k").join(hub.hint("merge"), "hub")
-    return both.select("band", "k", F.explode(F.pandas_udf(_residue, "array<long>")("text", "hub_text")).alias("h")).select(F.xxhash64("band", "h").alias("band"), "k")
+    pairs, hub = rows.select("k", "hub").distinct(), texts.select(F.col("k").alias("hub"), F.col("text").alias("hub_text"))
+    both = pairs.join(texts.hint("merge"), "k").join(hub.hint("merge"), "hub")
+    each = both.select("k", "hub", F.explode(F.pandas_udf(_residue, "array<long>")("text", "hub_text")).alias("h"))
+    return rows.join(each, ["k", "hub"]).select(F.xxhash64("band", "hub", "h").alias("band"), "k")
 
 
 def components_of_texts(texts: DataFrame) -> DataFrame:
