@@ -129,58 +129,61 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
-#: In bands of up to so many rows all pairs of different components are compared; larger ones are cut.
-SMALL_BAND = 16
+#: Bands with up to so many rows outside the component of their hub compare these with all rows; others are cut. Each level takes
+#: DEEPER times as many, since a cut puts each row into as many bands as its residue has bins.
+OUTSIDERS, DEEPER = 16, 4
 
 
 def clusters(members: DataFrame, similar: Callable[[DataFrame], DataFrame], residue: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Components (node, component) of similar pairs among rows (band, k) that share a band.
 
-    ``similar`` gets pairs (a, b, ...) and returns those that are similar. ``residue`` gets rows (band, k, hub) and returns (band, k) again with smaller bands: rows of a band share a
+    ``similar`` gets pairs (a, b) and returns those that are similar. ``residue`` gets rows (band, k, hub) and returns (band, k) again with smaller bands: rows of a band share a
     new one if they share something that their hub lacks. Pairs are compared only while their ends lie in different components.
 
-    The copies of one original resemble it more than each other, so the row whose bands hold the most rows (the hub) is compared with all others of its band. In a band of at most
-    SMALL_BAND rows all pairs that are left are compared. A larger one is given up for the bands of its residue: rows of one template are unlike each other because of what
+    The copies of one original resemble it more than each other, so the row whose bands hold the most rows (the hub) is compared with all others of its band. What is left to compare are
+    the rows outside the hub's component: if they are at most OUTSIDERS (more on deeper levels), each is compared with all rows of the band in other components, which is linear in the band and
+    closes it. A band with more is given up for the bands of its residue: rows of one template are unlike each other because of what
     the template lacks, and a similar pair among them shares part of just that. So no band is dropped with pairs that nothing else would
-    compare, and what is compared grows with the rows that share something rare. A residue band lacks what all hubs above it have, so
+    compare, and what is compared grows with the rows that share something rare. Bands of the same rows are one. A residue band lacks its hub, so
     bands shrink from level to level until none is left.
     """
     spark = members.sparkSession
     size = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     sized = stored(members.join(size, "band"), "cluster-sizes")
     weight = sized.groupBy("k").agg(F.sum("n").alias("g"))
-    live = stored(sized.join(weight, "k").select("band", "k", "n", "g"), "cluster-bands")
+    live = stored(sized.join(weight, "k").select("band", "k", "g"), "cluster-bands")
     delete(spark, sized)
     best = live.join(live.groupBy("band").agg(F.max(F.struct("g", "k")).alias("hub")), "band").groupBy("k").agg(F.max("hub").alias("hub"))
-    first = stored(best.where("hub.k <> k").select(F.greatest("k", "hub.k").alias("a"), F.least("k", "hub.k").alias("b")).distinct(), "cluster-pairs")
-    found = [stored(similar(first), "cluster-links")]
+    found = [stored(similar(best.where("hub.k <> k").select(F.greatest("k", "hub.k").alias("a"), F.least("k", "hub.k").alias("b")).distinct()), "cluster-links")]
     component = stored(components(found[0]), "cluster-components")
     release(spark)
     lineage = F.lit(0).cast("bigint")  # at first bands with the same hub are cut as one; later each by itself, so that they shrink
+    limit = OUTSIDERS
     while True:
-        placed = live.join(component, live["k"] == component["node"], "left").select("band", "k", "n", "g", F.coalesce("component", "k").alias("c"))
-        several = placed.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band")
-        now = stored(placed.join(several, "band"), "cluster-live")
+        placed = live.join(component, live["k"] == component["node"], "left").select("band", "k", "g", F.coalesce("component", "k").alias("c"))
+        several = placed.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max(F.struct("g", "k", "c")).alias("hub")).where("low < high")
+        now = stored(placed.join(several, "band").select("band", "k", "g", "c", F.col("hub.k").alias("p"), F.col("hub.c").alias("pc")), "cluster-live")
         delete(spark, live)
-        small, large = now.where(f"n <= {SMALL_BAND}"), now.where(f"n > {SMALL_BAND}")
-        hubs = large.groupBy("band").agg(F.max(F.struct("g", "k", "c")).alias("hub")).select("band", F.col("hub.k").alias("p"), F.col("hub.c").alias("pc"))
-        under = stored(large.join(hubs, "band").where("k <> p").select("band", "k", "g", "c", "p", "pc"), "cluster-hubs")
-        with_hub = under.where("pc <> c").select(F.greatest("k", "p").alias("a"), F.least("k", "p").alias("b")).join(first, ["a", "b"], "left_anti")
-        other = small.select("band", F.col("k").alias("p"), F.col("c").alias("pc"))
-        among = small.join(other, "band").where("pc <> c and p < k").select(F.col("k").alias("a"), F.col("p").alias("b"))
-        new = stored(similar(with_hub.unionByName(among).distinct()), "cluster-links")
+        outside = now.where("c <> pc")
+        many = outside.groupBy("band").agg(F.count("*").alias("n")).where(f"n > {limit}").select("band")
+        under = stored(now.join(many, "band").where("k <> p"), "cluster-hubs")
+        few = outside.join(many, "band", "left_anti").select("band", F.col("k").alias("o"), F.col("c").alias("oc"))
+        closed = now.join(few, "band").where("oc <> c").select("k", F.col("o").alias("p"))
+        pairs = closed.unionByName(under.where("pc <> c").select("k", "p")).select(F.greatest("k", "p").alias("a"), F.least("k", "p").alias("b"))
+        new = stored(similar(pairs.distinct()), "cluster-links")
         found.append(new)
+        last = under.isEmpty()
         if not new.isEmpty():
-            old, component = component, stored(components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new.select("a", "b"))), "cluster-components")
+            old, component = component, stored(components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new)), "cluster-components")
             release(spark, old)
+        if last:
+            delete(spark, now, under, *found)
+            return component
         cut = stored(residue(under.select(lineage.alias("band"), "k", F.col("p").alias("hub")).distinct()), "cluster-residue")
-        lineage = F.col("band")
-        sizes = cut.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+        lineage, limit = F.col("band"), limit * DEEPER
+        sets = cut.groupBy("band").agg(F.count("*").alias("n"), F.sum(F.xxhash64("k").cast("decimal(20,0)")).alias("rows")).where("n > 1")
+        once = sets.groupBy("rows", "n").agg(F.min("band").alias("band"))
         # A row weighs as much as the bands that it shares now.
-        next_ = cut.join(sizes, "band")
-        live = stored(next_.join(next_.groupBy("k").agg(F.sum("n").alias("g")), "k").select("band", "k", "n", "g"), "cluster-bands")
-        release(spark, now, under, cut)
-        if live.isEmpty():
-            break
-    delete(spark, live, first, *found)
-    return component
+        next_ = stored(cut.join(once, "band").select("band", "k", "n"), "cluster-sizes")
+        live = stored(next_.join(next_.groupBy("k").agg(F.sum("n").alias("g")), "k").select("band", "k", "g"), "cluster-bands")
+        release(spark, now, under, cut, next_)
