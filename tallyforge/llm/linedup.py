@@ -60,10 +60,10 @@ def bands(distinct: DataFrame) -> DataFrame:
 
 
 def _shingles(line: str) -> str:
-    """SQL: the distinct shingles of a line, read as runs of neighbours from each of the first SHINGLE characters."""
+    """SQL: the hashes of the distinct shingles of a line, as in ``hashed``."""
     n = SHINGLE
-    runs = (rf"split(substring({line}, {p}, greatest(0, (length({line}) - {p - 1}) div {n} * {n})), r'(?s)(?<=\G.{{{n}}})')" for p in range(1, n + 1))
-    return f"if(length({line}) < {n}, array({line}), array_remove(array_distinct(concat({', '.join(runs)})), ''))"
+    cut = f"transform(sequence(0, greatest(0, cast(octet_length(u) div 4 as int) - {n})), i -> xxhash64(substring(u, 4 * i + 1, {4 * n})))"
+    return f"transform(array(encode({line}, 'UTF-32')), u -> array_distinct({cut}))[0]"
 
 
 def masks(distinct: DataFrame) -> DataFrame:
@@ -117,11 +117,11 @@ def components_of_lines(docs: DataFrame) -> DataFrame:
     distinct = lines(docs).groupBy("k").agg(F.min("line").alias("line"))
     every = stored(bands(distinct), "line-bands")
     release(spark)
-    each = every.select("k", F.explode("bands").alias("band"))
+    each = every.select("k", F.explode("bands").alias("band")).repartition("band")  # shuffled once, for counting and for the join
     shared = each.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    members = stored(each.join(shared, "band"), "line-members")
+    members = stored(each.join(shared.hint("shuffle_hash"), "band"), "line-members")
     release(spark, every)
-    keys = members.select("k").distinct().hint("merge")
+    keys = members.select("k").distinct().hint("shuffle_hash")
     texts = stored(lines(docs).select("k", "line").join(keys, "k", "left_semi").groupBy("k").agg(F.min("line").alias("line")), "band-lines")
     release(spark)
     mask = stored(masks(texts), "line-masks")
@@ -154,7 +154,7 @@ def marked(docs: DataFrame) -> DataFrame:
     gone = doomed(valid).groupBy("doc_id", "digest").agg(F.sort_array(F.collect_set("line_no")).alias("gone"))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     on = (F.col("row.doc_id") == gone["doc_id"]) & (F.xxhash64("row.text") == gone["digest"])
-    return rows.join(gone.hint("merge"), on, "left").select("row", "gone")
+    return rows.join(gone.hint("shuffle_hash"), on, "left").select("row", "gone")
 
 
 def _kept(text: str) -> str:
