@@ -95,6 +95,15 @@ def groups_for(rows: int, per_group: int) -> int:
     return max(1, -(-rows // per_group))
 
 
+def joined(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """An equi-join of two tables that grow with the input, shuffled on both sides.
+
+    Before a query runs, Spark takes an exploded table for as small as the file that it comes from, and a filtered one of compressed files for less than its rows hold; left to that,
+    it collects such a table on the driver in order to broadcast it.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the links (a, b): rows (node, component), component = smallest node.
 
@@ -112,10 +121,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = joined(both.where("b > a"), low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
-        small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        lowest = joined(large, least, "a")
+        small = lowest.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         seen = Observation()  # counted while the links are written
         links = small.where("a <> b").distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("sum"))
         old, e = e, stored(links, "links")

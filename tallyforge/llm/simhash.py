@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, components, fresh, stored
+from .common import WORD_BYTES, components, fresh, joined, stored
 
 SEED = 42
 #: Up to so many fingerprints of one variant are compared pair by pair;
@@ -87,9 +87,9 @@ def links(fps: DataFrame) -> DataFrame:
     the components of all pairs that differ in at most two bits; every link is such a pair."""
     v = _variants(fps)
     counted = v.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = stored(v.join(counted, "key"), "simhash-variants")
+    shared = stored(joined(v, counted, "key"), "simhash-variants")
     few, many = shared.where(f"n <= {PAIRWISE}"), shared.where(f"n > {PAIRWISE}")
-    pairs = few.select("key", "w", F.col("fp").alias("a")).join(few.select("key", F.col("fp").alias("b")), "key").where(f"a > b and {_OWN}").select("a", "b")
+    pairs = joined(few.select("key", "w", F.col("fp").alias("a")), few.select("key", F.col("fp").alias("b")), "key").where(f"a > b and {_OWN}").select("a", "b")
     # Here all that share a key and the wildcards of the other segment are linked to the smallest: the wildcard w of the low
     # segment and one of the high one; no wildcard in one segment and two in the other.
     low, high = _segment("fp", False), _segment("fp", True)
@@ -102,7 +102,7 @@ def links(fps: DataFrame) -> DataFrame:
     )
     dense = one.unionByName(two)
     least = dense.groupBy("key", "rest", "y").agg(F.min("fp").alias("b"), F.max("fp").alias("most")).where("b < most")
-    stars = dense.join(least.select("key", "rest", "y", "b"), ["key", "rest", "y"]).where("fp <> b").select(F.col("fp").alias("a"), "b")
+    stars = joined(dense, least.select("key", "rest", "y", "b"), ["key", "rest", "y"]).where("fp <> b").select(F.col("fp").alias("a"), "b")
     return pairs.unionByName(stars).distinct()
 
 
@@ -114,11 +114,11 @@ def classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", siz
     """
     rows = stored(docs.select(F.col(id_col).alias("_id"), _hashes(size)(F.col(text_col)).alias("fp")), "fingerprints").withColumnRenamed("_id", id_col)
     least = rows.groupBy("fp").agg(F.min(id_col).alias("low"))
-    joined = components(links(least.select("fp")))
-    of = least.join(joined, least["fp"] == joined["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
+    linked = components(links(least.select("fp")))
+    of = joined(least, linked, least["fp"] == linked["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
     low = of.groupBy("component").agg(F.min("low").alias("component_id"))
-    to = of.join(low, "component").select("fp", "component_id")
-    return rows.join(to, "fp").select(id_col, "fp", "component_id")
+    to = joined(of, low, "component").select("fp", "component_id")
+    return joined(rows, to, "fp").select(id_col, "fp", "component_id")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
