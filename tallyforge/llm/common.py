@@ -158,26 +158,26 @@ def clusters(members: DataFrame, similar: Callable[[DataFrame], DataFrame], resi
     """
     spark = members.sparkSession
     size = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    sized = stored(members.join(size, "band"), "cluster-sizes")
+    sized = stored(joined(members, size, "band"), "cluster-sizes")
     weight = sized.groupBy("k").agg(F.sum("n").alias("g"))
-    live = stored(sized.join(weight, "k").select("band", "k", "g"), "cluster-bands")
+    live = stored(joined(sized, weight, "k").select("band", "k", "g"), "cluster-bands")
     delete(spark, sized)
-    best = live.join(live.groupBy("band").agg(F.max(F.struct("g", "k")).alias("hub")), "band").groupBy("k").agg(F.max("hub").alias("hub"))
+    best = joined(live, live.groupBy("band").agg(F.max(F.struct("g", "k")).alias("hub")), "band").groupBy("k").agg(F.max("hub").alias("hub"))
     found = [stored(similar(best.where("hub.k <> k").select(F.greatest("k", "hub.k").alias("a"), F.least("k", "hub.k").alias("b")).distinct()), "cluster-links")]
     component = stored(components(found[0]), "cluster-components")
     release(spark)
     lineage = F.lit(0).cast("bigint")  # at first bands with the same hub are cut as one; later each by itself, so that they shrink
     limit = OUTSIDERS
     while True:
-        placed = live.join(component, live["k"] == component["node"], "left").select("band", "k", "g", F.coalesce("component", "k").alias("c"))
+        placed = joined(live, component, live["k"] == component["node"], "left").select("band", "k", "g", F.coalesce("component", "k").alias("c"))
         several = placed.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max(F.struct("g", "k", "c")).alias("hub")).where("low < high")
-        now = stored(placed.join(several, "band").select("band", "k", "g", "c", F.col("hub.k").alias("p"), F.col("hub.c").alias("pc")), "cluster-live")
+        now = stored(joined(placed, several, "band").select("band", "k", "g", "c", F.col("hub.k").alias("p"), F.col("hub.c").alias("pc")), "cluster-live")
         delete(spark, live)
         outside = now.where("c <> pc")
         many = outside.groupBy("band").agg(F.count("*").alias("n")).where(f"n > {limit}").select("band")
-        under = stored(now.join(many, "band").where("k <> p"), "cluster-hubs")
-        few = outside.join(many, "band", "left_anti").select("band", F.col("k").alias("o"), F.col("c").alias("oc"))
-        closed = now.join(few, "band").where("oc <> c").select("k", F.col("o").alias("p"))
+        under = stored(joined(now, many, "band").where("k <> p"), "cluster-hubs")
+        few = joined(outside, many, "band", "left_anti").select("band", F.col("k").alias("o"), F.col("c").alias("oc"))
+        closed = joined(now, few, "band").where("oc <> c").select("k", F.col("o").alias("p"))
         pairs = closed.unionByName(under.where("pc <> c").select("k", "p")).select(F.greatest("k", "p").alias("a"), F.least("k", "p").alias("b"))
         new = stored(similar(pairs.distinct()), "cluster-links")
         found.append(new)
@@ -193,6 +193,6 @@ def clusters(members: DataFrame, similar: Callable[[DataFrame], DataFrame], resi
         sets = cut.groupBy("band").agg(F.count("*").alias("n"), F.sum(F.xxhash64("k").cast("decimal(20,0)")).alias("rows")).where("n > 1")
         once = sets.groupBy("rows", "n").agg(F.min("band").alias("band"))
         # A row weighs as much as the bands that it shares now.
-        next_ = stored(cut.join(once, "band").select("band", "k", "n"), "cluster-sizes")
-        live = stored(next_.join(next_.groupBy("k").agg(F.sum("n").alias("g")), "k").select("band", "k", "g"), "cluster-bands")
+        next_ = stored(joined(cut, once, "band").select("band", "k", "n"), "cluster-sizes")
+        live = stored(joined(next_, next_.groupBy("k").agg(F.sum("n").alias("g")), "k").select("band", "k", "g"), "cluster-bands")
         release(spark, now, under, cut, next_)

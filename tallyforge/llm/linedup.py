@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import clusters, delete, release, stored
+from .common import clusters, delete, joined, release, stored
 
 SHINGLE = 6
 SIMILARITY = 0.8
@@ -81,10 +81,10 @@ def similar(pairs: DataFrame, texts: DataFrame, mask: DataFrame) -> DataFrame:
     """
     a, b = mask.selectExpr("k as a", "shingles as n_a", "mask as mask_a"), mask.selectExpr("k as b", "shingles as n_b", "mask as mask_b")
     differ = " + ".join(f"bit_count(mask_a[{j}] ^ mask_b[{j}])" for j in range(WORDS))
-    close = pairs.join(a, "a").join(b, "b").where(f"{differ} <= {1 / SIMILARITY - 1} * least(n_a, n_b)").select(*pairs.columns)
+    close = joined(joined(pairs, a, "a"), b, "b").where(f"{differ} <= {1 / SIMILARITY - 1} * least(n_a, n_b)").select(*pairs.columns)
     a, b = texts.selectExpr("k as a", "line as line_a"), texts.selectExpr("k as b", "line as line_b")
     # inline() sees to it that the sets of a pair are made once.
-    sets = close.join(a, "a").join(b, "b").selectExpr(*pairs.columns, f"inline(array(struct({_shingles('line_a')} as x, {_shingles('line_b')} as y)))")
+    sets = joined(joined(close, a, "a"), b, "b").selectExpr(*pairs.columns, f"inline(array(struct({_shingles('line_a')} as x, {_shingles('line_b')} as y)))")
     counted = sets.selectExpr(*pairs.columns, "size(x) + size(y) as n", "inline(array(struct(size(array_intersect(x, y)) as both)))")
     return counted.where(f"both >= {SIMILARITY} * (n - both)").select(*pairs.columns)
 
@@ -101,14 +101,14 @@ def residue(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """
     pairs = rows.select("k", "hub").distinct()
     keys = pairs.select("k").unionByName(pairs.select(F.col("hub").alias("k"))).distinct()
-    sets = stored(hashed(texts.join(keys, "k", "left_semi")).groupBy("k").agg(F.collect_set("h").alias("h")), "residue-shingles")
-    both = pairs.join(sets, "k").join(sets.select(F.col("k").alias("hub"), F.col("h").alias("hub_h")), "hub")
+    sets = stored(hashed(joined(texts, keys, "k", "left_semi")).groupBy("k").agg(F.collect_set("h").alias("h")), "residue-shingles")
+    both = joined(joined(pairs, sets, "k"), sets.select(F.col("k").alias("hub"), F.col("h").alias("hub_h")), "hub")
     parts = both.select("k", "hub", F.array_except("h", "hub_h").alias("own"), F.array_except("hub_h", "h").alias("lacks"))
     chosen = parts.select("k", "hub", F.explode(F.array(F.struct(F.lit(1).alias("sign"), F.col("own").alias("x")), F.struct(F.lit(-1).alias("sign"), F.when(F.size("own") * 8 < F.size("lacks"), F.col("lacks")).otherwise(F.array().cast("array<bigint>")).alias("x")))).alias("p"))
     least = F.expr(f"filter(transform(sequence(0, {RESIDUE - 1}), b -> array_min(filter(p.x, h -> pmod(shiftright(h, 8), {RESIDUE}) = b))), h -> h is not null)")
     # The sets of a row and its hub are read once, however many bands hold the two.
     each = stored(chosen.select("k", "hub", F.col("p.sign").alias("sign"), F.explode(least).alias("h")), "residue-least")
-    return rows.join(each, ["k", "hub"]).select(F.xxhash64("band", "hub", "sign", "h").alias("band"), "k")
+    return joined(rows, each, ["k", "hub"]).select(F.xxhash64("band", "hub", "sign", "h").alias("band"), "k")
 
 
 def components_of_lines(docs: DataFrame) -> DataFrame:
@@ -126,7 +126,7 @@ def components_of_lines(docs: DataFrame) -> DataFrame:
     release(spark)
     mask = stored(masks(texts), "line-masks")
     found = clusters(members, lambda pairs: similar(pairs, texts, mask), lambda rows: residue(rows, texts))
-    named = stored(found.join(texts.select(F.col("k").alias("node"), F.xxhash64(F.lit("second"), "line").alias("k2")), "node"), "line-components")
+    named = stored(joined(found, texts.select(F.col("k").alias("node"), F.xxhash64(F.lit("second"), "line").alias("k2")), "node"), "line-components")
     release(spark, texts, mask, members, found)
     return named
 
@@ -135,11 +135,11 @@ def doomed(docs: DataFrame) -> DataFrame:
     """(doc_id, digest, line_no) of lines that go: all but the first of each component of similar lines. Lines are equal if both their hashes are."""
     member = components_of_lines(docs)
     where = lines(docs).drop("line")
-    joined = where.join(member.withColumnRenamed("k2", "m2"), (where["k"] == member["node"]) & (where["k2"] == F.col("m2")), "left")
-    classed = joined.select("doc_id", "digest", "line_no", F.coalesce("component", "k").alias("c"), F.when(F.col("component").isNull(), F.col("k2")).otherwise(0).alias("c2"))
+    placed = joined(where, member.withColumnRenamed("k2", "m2"), (where["k"] == member["node"]) & (where["k2"] == F.col("m2")), "left")
+    classed = placed.select("doc_id", "digest", "line_no", F.coalesce("component", "k").alias("c"), F.when(F.col("component").isNull(), F.col("k2")).otherwise(0).alias("c2"))
     classed = stored(classed, "line-classes")
     first = stored(classed.groupBy("c", "c2").agg(F.min(F.struct("doc_id", "digest", "line_no")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first-lines")
-    gone = stored(classed.join(first, ["c", "c2"]).where("not (first <=> struct(doc_id, digest, line_no))").select("doc_id", "digest", "line_no"), "gone-lines")
+    gone = stored(joined(classed, first, ["c", "c2"]).where("not (first <=> struct(doc_id, digest, line_no))").select("doc_id", "digest", "line_no"), "gone-lines")
     delete(docs.sparkSession, classed, first, member)
     return gone
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import WORD_BYTES, clusters, delete, stored
+from .common import WORD_BYTES, clusters, delete, joined, stored
 from .simhash import _LOWER
 
 SHINGLE = 5
@@ -87,7 +87,7 @@ def residue(rows: DataFrame, texts: DataFrame) -> DataFrame:
     pairs, hub = rows.select("k", "hub").distinct(), texts.select(F.col("k").alias("hub"), F.col("text").alias("hub_text"))
     both = pairs.join(texts.hint("merge"), "k").join(hub.hint("merge"), "hub")
     each = both.select("k", "hub", F.explode(F.pandas_udf(_residue, "array<long>")("text", "hub_text")).alias("h"))
-    return rows.join(each, ["k", "hub"]).select(F.xxhash64("band", "hub", "h").alias("band"), "k")
+    return joined(rows, each, ["k", "hub"]).select(F.xxhash64("band", "hub", "h").alias("band"), "k")
 
 
 def components_of_texts(texts: DataFrame) -> DataFrame:
@@ -99,7 +99,7 @@ def components_of_texts(texts: DataFrame) -> DataFrame:
     near = simhash.classes(texts, "text", "k", SHINGLE).select("k", F.xxhash64(F.lit("simhash"), "component_id").alias("band"))
     each = stored(texts.select("k", F.explode(F.pandas_udf(_bands, "array<long>")("text")).alias("band")).unionByName(near), "near-bands")
     shared = each.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    members = stored(each.join(shared, "band"), "near-members")
+    members = stored(joined(each, shared, "band"), "near-members")
     delete(spark, each)
     found = clusters(members, lambda pairs: similar(pairs, texts), lambda rows: residue(rows, texts))
     delete(spark, members)
@@ -112,7 +112,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     rows = stored(docs.where("doc_id is not null").select("doc_id", "text").withColumn("k", F.pandas_udf(_key, "long")("text")), "near-keys")
     texts = stored(rows.groupBy("k").agg(F.first("text").alias("text")), "near-texts")
     member = components_of_texts(texts)
-    of = rows.select("doc_id", "k").join(member, F.col("k") == member["node"], "left").select("doc_id", F.coalesce("component", "k").alias("c"))
+    of = joined(rows.select("doc_id", "k"), member, F.col("k") == member["node"], "left").select("doc_id", F.coalesce("component", "k").alias("c"))
     first = of.groupBy("c").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    gone = of.join(first, "c").where("doc_id <> low").select("doc_id").distinct()
+    gone = joined(of, first, "c").where("doc_id <> low").select("doc_id").distinct()
     return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*(F.col(f"`{x}`") for x in docs.columns))

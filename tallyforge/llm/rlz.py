@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, WORD_BYTES, release, stored, with_columns
+from .common import WORD, WORD_BYTES, joined, release, stored, with_columns
 
 WINDOW = 20
 GROUP = 6
@@ -156,13 +156,13 @@ def factors(docs: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFr
     long = p.where(f"n_words >= {window}")
     place = F.struct(*doc)
     first = long.groupBy("d1", "d2").agg(F.min(place).alias("source"), F.count("*").alias("n")).where("n > 1").drop("n")
-    copies = stored(long.select(*doc, "n_words", "d1", "d2").join(first, ["d1", "d2"]).where("struct(doc_id, tie) <> source").select(*doc, "n_words").distinct(), "copies")
+    copies = stored(joined(long.select(*doc, "n_words", "d1", "d2"), first, ["d1", "d2"]).where("struct(doc_id, tie) <> source").select(*doc, "n_words").distinct(), "copies")
     # What grows with the corpus is always joined by sorting.
     own = long.join(copies.select(*doc).hint("merge"), doc, "left_anti").select(*doc, F.explode(F.arrays_zip("anchors", "times")).alias("x"))
     own = own.select(*doc, F.col("x.anchors").alias("h"), F.col("x.times").alias("times"))
     # Repeated rows are one document, but what they hold counts twice here: that only makes more windows enter the index.
     shared = own.groupBy("h").agg(F.sum("times").alias("n")).where("n > 1").select("h")
-    hits = stored(own.select(*doc, "h").join(shared, "h").groupBy(*doc).agg(F.collect_set("h").alias("hits")), "hits")
+    hits = stored(joined(own.select(*doc, "h"), shared, "h").groupBy(*doc).agg(F.collect_set("h").alias("hits")), "hits")
     release(spark, p)
     marked = stored(docs.join(hits.hint("merge"), doc), "marked")
     release(spark, hits)

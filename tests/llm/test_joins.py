@@ -35,3 +35,10 @@ def documents(spark):
 def test_fingerprints_are_not_broadcast(spark, planned):
     assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "10485760b"
     unbroadcast(simhash.fingerprints(documents(spark)), planned)
+
+
+def test_stages_of_the_pipeline_are_not_broadcast(spark, planned):
+    docs = documents(spark)
+    docs = docs.unionByName(docs.limit(20).selectExpr("doc_id + 100000 as doc_id", *(f"`{c}`" for c in docs.columns if c != "doc_id")))
+    for stage in (linedup.remove, neardup.keep_first, rlz.remove):
+        unbroadcast(stage(docs), planned)
