@@ -39,8 +39,11 @@ BASE_KINDS = ("champion", "team")
 CONTESTS_PER_BLOCK = 4096
 #: Coefficients that travel at once, in doubles.
 LOT = 1 << 22
-PASSES = 400
-TOLERANCE = 1e-7
+PASSES = 2000
+#: A fit ends when no coefficient would move by more than TOLERANCE and no slope is steeper than SLOPE.
+TOLERANCE, SLOPE = 1e-7, 1e-4
+#: Steps remembered by a fit, and the most columns of the dense part of its scaling.
+MEMORY, CORE = 6, 1024
 
 
 @dataclass(frozen=True)
@@ -101,6 +104,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Up to so many keys, by their count, are taken to the terms; more are met by sorting.
+FEW = 1 << 17
+
+
+def by_contest(left: DataFrame, right: DataFrame, on: str = "match_id") -> DataFrame:
+    """A join of tables that grow with the contests. Spark takes exploded terms and scored blocks for as small as their file, and would collect them on the driver to broadcast them."""
+    return left.join(right.hint("merge"), on)
+
+
 @dataclass
 class Problem:
     """Packed contests: blocks (a row each), the numbered keys, and how many keys each kind has."""
@@ -121,8 +133,9 @@ def packed(o: DataFrame, labels: Column, folds: Column, keys: tuple[DataFrame, d
     terms = signed_terms(o)
     names, sizes = keys or numbered(terms)
     kind = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
-    listed = terms.join(names, ["kind", "a", "b", "c"]).groupBy("match_id").agg(F.array_sort(F.collect_list(F.struct(kind.alias("kind"), "id", "sign"))).alias("t"))
-    rows = o.select("match_id", labels.cast("array<int>").alias("labels"), folds.cast("array<int>").alias("folds")).join(listed, "match_id")
+    few = sum(sizes.values()) <= FEW
+    listed = terms.join(names.hint("broadcast" if few else "merge"), ["kind", "a", "b", "c"]).groupBy("match_id").agg(F.array_sort(F.collect_list(F.struct(kind.alias("kind"), "id", "sign"))).alias("t"))
+    rows = by_contest(o.select("match_id", labels.cast("array<int>").alias("labels"), folds.cast("array<int>").alias("folds")), listed)
     flat = rows.select("match_id", "labels", "folds", *(F.col(f"t.{c}").alias(c) for c in ("kind", "id", "sign")))
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,30 +188,199 @@ def _added(x: dict[int, np.ndarray], y: dict[int, np.ndarray]) -> dict[int, np.n
     return {k: x[k] + y[k] for k in x}
 
 
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b without BLAS, whose threads can stand still on a driver beside Spark."""
+    return np.einsum("...i,i->..." if b.ndim == 1 else "ki,ij->kj", a, b)
+
+
+def _inverse(a: np.ndarray) -> np.ndarray:
+    """The inverse of a positive definite matrix by Gauss-Jordan steps, without BLAS as well."""
+    a = a.copy()
+    for k in range(len(a)):
+        pivot, column, row = a[k, k], a[:, k].copy(), a[k] / a[k, k]
+        column[k] = 0
+        a -= np.multiply.outer(column, row)
+        a[:, k] = -column / pivot
+        a[k] = row
+        a[k, k] = 1 / pivot
+    return (a + a.T) / 2
+
+
+@dataclass
+class Nesting:
+    """How the columns of a block are sums of those of a finer one: champions and pairs of triples, champions of pairs and of counters. With sides of m champions a champion's
+    column is the sum of its counters' by 1 / m, of its pairs' by 1 / (m - 1), and a pair's that of its triples by 1 / (m - 2). ``parts[fine]`` holds (coarse kind, ids of the coarse
+    keys of each fine key, factor)."""
+
+    sizes: dict[str, int]
+    uses: dict[str, np.ndarray]
+    parts: dict[str, list[tuple[str, np.ndarray, float]]]
+    careers: np.ndarray
+    cancel: set[str]
+
+    @staticmethod
+    def of(problem: Problem, uses: dict[str, np.ndarray], cancel: set[str]) -> Nesting:
+        sizes, parts = problem.sizes, {k: [] for k in KINDS}
+        total = {k: v.sum() for k, v in uses.items()}
+        careers = np.zeros(sizes["team"], int)
+        if not total["champion"] or sizes["champion"] > CORE:
+            return Nesting(sizes, uses, parts, careers, cancel)
+        side = max(1 + 2 * total["pair"] / total["champion"], 2 * total["counter"] / total["champion"])
+        wanted = [k for k in KINDS if k in BASE_KINDS or (k in ("triple", "counter", "pair") and sizes[k])]
+        keys = {k: p.sort_values("id")[["a", "b", "c"]].to_numpy() for k, p in problem.keys.where(F.col("kind").isin(*wanted)).toPandas().groupby("kind")}  # as many as coefficients
+        names = keys["champion"][:, 0]
+        if sizes["team"]:
+            careers = keys["team"][:, 0]
+        order = np.argsort(names)
+        place = lambda c: order[np.searchsorted(names[order], c)]
+        if "pair" in keys and side > 1:
+            parts["pair"].append(("champion", np.stack([place(keys["pair"][:, j]) for j in (0, 1)], 1), 1 / (side - 1)))
+        if "counter" in keys:
+            parts["counter"].append(("champion", np.stack([place(keys["counter"][:, j]) for j in (0, 1)], 1), 1 / side))
+        if "triple" in keys and side > 2:
+            three = np.stack([place(keys["triple"][:, j]) for j in range(3)], 1)
+            parts["triple"].append(("champion", three, 2 / ((side - 1) * (side - 2))))
+            if sizes["champion"] + sizes["pair"] <= CORE:
+                number = np.zeros((len(names), len(names)), np.int64)
+                two = np.sort(parts["pair"][0][1], 1)
+                number[two[:, 0], two[:, 1]] = np.arange(len(two))
+                low = np.sort(three, 1)
+                parts["triple"].append(("pair", np.stack([number[low[:, i], low[:, j]] for i, j in ((0, 1), (0, 2), (1, 2))], 1), 1 / (side - 2)))
+        return Nesting(sizes, uses, parts, careers, cancel)
+
+
+class Scaling:
+    """The inverse of a bound of a model's Hessian, as first guess of its curvature.
+
+    A champion's column is a sum of its pairs' columns, and so on: what one block gains another can lose at no more than the penalty, so the Hessian's diagonal says nothing about
+    these directions, and the more contests there are the more passes it takes. So columns of coarse blocks are written as sums of those of the finest block, whose square is close to a multiple of its
+    diagonal whatever their number; then the finest block is eliminated by itself and a small dense system is left. Where counters stand beside triples, each spans the champions, and the
+    directions in which these cancel are taken out, as are those in which the columns of a block do.
+    """
+
+    def __init__(self, nesting: Nesting, model: str, penalty: dict[str, float], cores: dict):
+        sizes, at = nesting.sizes, 0
+        self.span: dict[str, slice] = {}
+        for k in MODELS[model]:
+            self.span[k] = slice(at, at := at + sizes[k])
+        self.n = at
+        # Twice the uses for combos: the squares of their blocks lie between one and four times the diagonal.
+        half = {k: nesting.uses[k] / (4 if k in BASE_KINDS else 2) for k in MODELS[model]}
+        self.diagonal = np.concatenate([np.zeros(0), *(1 / np.maximum(penalty[k] + half[k], 1e-9) for k in MODELS[model])])
+        top = next((k for k in ("triple", "pair", "counter") if k in self.span and sizes[k] and nesting.parts[k]), None)
+        self.top, self.core, self.correction = None, [], None
+        if top is None:
+            self._cancel(nesting, half, None)
+            return
+        self.top, self.d = self.span[top], half[top]
+        self.w = self.diagonal[self.top]
+        ids, factors = [], []
+        width = 0
+        for kind, index, factor in nesting.parts[top]:
+            signs = (1, -1) if top == "counter" else (1,) * index.shape[1]
+            if kind in self.span:
+                ids.append(index + width)
+                factors += [factor * s for s in signs]
+                self.core.append(self.span[kind])
+                width += sizes[kind]
+        self.index, self.factor, self.width = np.concatenate(ids, 1), np.array(factors), width
+        key = (top, width, *(penalty[k] for k in MODELS[model] if k in (top, "champion", "pair")))
+        if key not in cores:
+            s = self._square(self.d * penalty[top] * self.w)
+            own = np.concatenate([np.full(sizes[k], penalty[k]) for k, _, _ in nesting.parts[top] if k in self.span])
+            s[np.diag_indices(width)] += np.maximum(own, 1e-9)
+            cores[key] = _inverse(s)
+        self.inverse = cores[key]
+        self._cancel(nesting, half, top)
+
+    def _square(self, weight: np.ndarray) -> np.ndarray:
+        m = len(self.factor)
+        out = np.zeros(self.width * self.width)
+        for i in range(m):
+            for j in range(m):
+                out += np.bincount(self.index[:, i] * self.width + self.index[:, j], self.factor[i] * self.factor[j] * weight, self.width * self.width)
+        return out.reshape(self.width, self.width)
+
+    def _down(self, t: np.ndarray) -> np.ndarray:
+        return np.bincount(self.index.ravel(), (t[:, None] * self.factor).ravel(), self.width)
+
+    def _plain(self, g: np.ndarray) -> np.ndarray:
+        x = self.diagonal * g
+        if self.top is not None:
+            t, dw = g[self.top], self.d * self.w
+            c = _times(self.inverse, np.concatenate([g[s] for s in self.core]) - self._down(dw * t))
+            x[self.top] = self.w * t - dw * _times(c[self.index], self.factor)
+            at = 0
+            for s in self.core:
+                x[s] = c[at : (at := at + s.stop - s.start)]
+        return x
+
+    def _cancel(self, nesting: Nesting, half: dict[str, np.ndarray], top: str | None) -> None:
+        """Takes out the directions of the fine blocks in which columns cancel: teams of a career, champions, pairs and triples sum to nothing, as both sides have as many, and
+        with triples and counters each champion is there twice."""
+        sizes, columns, n = nesting.sizes, [], nesting.sizes["champion"]
+        twice = top == "triple" and "triple" in nesting.cancel and "counter" in self.span and len(nesting.parts["counter"]) > 0 and n <= 256
+        if twice:
+            of, by = nesting.parts["counter"][0][1:]
+            for a in range(n):  # the champions come first in the core
+                x = np.zeros(self.n)
+                x[self.top] = self.factor[0] * (self.index[:, :3] == a).sum(1)
+                x[self.span["counter"]] = -by * ((of[:, 0] == a).astype(float) - (of[:, 1] == a))
+                columns.append(x)
+        fine = [k for k in self.span if k == top or (k in BASE_KINDS and self.span[k] not in self.core)]
+        for k in fine:
+            if sizes[k] and k in nesting.cancel and k != "counter" and not (k == top and twice):
+                groups = nesting.careers if k == "team" else np.zeros(sizes[k], int)
+                for g in np.unique(groups):
+                    x = np.zeros(self.n)
+                    x[self.span[k]] = groups == g
+                    columns.append(x)
+        if columns:
+            fine_weight = np.concatenate([half[k] for k in self.span])
+            v, w = [], np.stack(columns, 1)
+            w = _times(w.T, fine_weight[:, None] * w)
+            for x in columns:
+                x = fine_weight * x
+                if self.top is not None:
+                    down, at = self._down(x[self.top]), 0
+                    for s in self.core:
+                        x[s] = down[at : (at := at + s.stop - s.start)]
+                v.append(x)
+            k = np.stack([self._plain(x) for x in v], 1)
+            self.correction = (k, _inverse(w - _times(np.stack(v), k)))
+
+    def __call__(self, g: np.ndarray) -> np.ndarray:
+        x = self._plain(g)
+        if self.correction is not None:
+            k, w = self.correction
+            x += _times(k, _times(w, _times(k.T, g)))
+        return x
+
+
 class Descent:
-    """Limited-memory BFGS of one fit, fed with one evaluation a step. Steps start from the diagonal of the Hessian's upper bound."""
+    """Limited-memory BFGS of one fit, fed with one evaluation a step. Steps start from ``scaling``, a guess of the inverse Hessian."""
 
-    def __init__(self, penalty: np.ndarray, uses: np.ndarray):
-        self.penalty, self.scale = penalty, 1 / (penalty + uses / 4)
+    def __init__(self, penalty: np.ndarray, scaling: Scaling):
+        self.penalty, self.scaling = penalty, scaling
         self.x = self.trial = np.zeros(len(penalty))
         self.f, self.g, self.kept, self.d, self.t, self.done = np.inf, None, [], None, 1.0, False
 
     def feed(self, loss: float, gradient: np.ndarray) -> None:
         f, g = loss + 0.5 * (self.penalty * self.trial**2).sum(), gradient + self.penalty * self.trial
-        if self.g is None or f <= self.f + 1e-4 * self.t * (self.g @ self.d) + 1e-13 * abs(self.f):
+        if self.g is None or f <= self.f + 1e-4 * self.t * _times(self.g, self.d) + 1e-13 * abs(self.f):
             if self.g is not None:
                 s, y = self.trial - self.x, g - self.g
-                if s @ y > 1e-14 * np.sqrt((s @ s) * (y @ y)):
-                    self.kept = [*self.kept[-9:], (s, y, 1 / (s @ y))]
+                if _times(s, y) > 1e-14 * np.sqrt(_times(s, s) * _times(y, y)):
+                    self.kept = [*self.kept[1 - MEMORY :], (s, y, 1 / _times(s, y))]
             self.x, self.f, self.g, self.t = self.trial, f, g, 1.0
-            self.done = not len(g) or np.abs(g * self.scale).max() < TOLERANCE
+            self.done = not len(g) or (np.abs(self.scaling(g)).max() < TOLERANCE and np.abs(g).max() < SLOPE)
             q, used = g.copy(), []
             for s, y, r in reversed(self.kept):
-                used.append(a := r * (s @ q))
+                used.append(a := r * _times(s, q))
                 q -= a * y
-            q *= self.scale
+            q = self.scaling(q)
             for (s, y, r), a in zip(self.kept, reversed(used), strict=True):
-                q += s * (a - r * (y @ q))
+                q += s * (a - r * _times(y, q))
             self.d = -q
         else:
             self.t /= 2
@@ -212,12 +394,15 @@ def solve(problem: Problem, fits: list[Fit]) -> list[np.ndarray]:
     if largest > LOT:
         raise ValueError(f"a model has {largest} coefficients; the driver takes {LOT}")
     spark, sizes = problem.blocks.sparkSession, problem.sizes
-    uses = {m: np.concatenate([np.zeros(0), *(_uses(problem)[k] for k in MODELS[m])]) for m in {f.model for f in fits}}
+    nesting, cores, scalings = Nesting.of(problem, *_uses(problem)), {}, {}
+    for f in fits:
+        if (f.model, f.base, f.extra) not in scalings:
+            scalings[f.model, f.base, f.extra] = Scaling(nesting, f.model, {k: f.penalty(k) for k in MODELS[f.model]}, cores)
     blocks: RDD = problem.blocks.rdd.map(lambda r: Block(*(bytes(x) if isinstance(x, (bytes, bytearray)) else x for x in r))).persist(StorageLevel.MEMORY_AND_DISK)
     found: list[np.ndarray] = []
     try:
         for lot in lots(problem, fits):
-            runs = [Descent(np.concatenate([np.zeros(0), *(np.full(sizes[k], f.penalty(k)) for k in MODELS[f.model])]), uses[f.model]) for f in lot]
+            runs = [Descent(np.concatenate([np.zeros(0), *(np.full(sizes[k], f.penalty(k)) for k in MODELS[f.model])]), scalings[f.model, f.base, f.extra]) for f in lot]
             for _ in range(PASSES):
                 at = [(k, f, r.trial) for k, (f, r) in enumerate(zip(lot, runs, strict=True)) if not r.done]
                 if not at:
@@ -249,28 +434,30 @@ def lots(problem: Problem, fits: list[Fit]) -> Iterator[list[Fit]]:
         yield lot
 
 
-def _uses(problem: Problem) -> dict[str, np.ndarray]:
-    """How many contests hold each key: the diagonal of the design's square."""
+def _uses(problem: Problem) -> tuple[dict[str, np.ndarray], set[str]]:
+    """How many contests hold each key (the diagonal of the design's square), and the kinds whose signs sum to nothing in every contest."""
     sizes = problem.sizes
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {k: np.zeros(sizes[k]) for k in KINDS}
+        total = {k: np.zeros(sizes[k] + 1) for k in KINDS}  # the last: contests whose signs do not cancel
         for b in batches:
-            for kind, ident in zip(b.column("kind").to_pylist(), b.column("id").to_pylist(), strict=True):
-                kind, ident = np.frombuffer(kind, np.int8), np.frombuffer(ident, np.int32)
+            for kind, ident, row, sign in zip(*(b.column(c).to_pylist() for c in ("kind", "id", "row", "sign")), strict=True):
+                kind, ident, row, sign = np.frombuffer(kind, np.int8), np.frombuffer(ident, np.int32), np.frombuffer(row, np.int32), np.frombuffer(sign, np.int8)
                 for j, k in enumerate(KINDS):
-                    total[k] += np.bincount(ident[kind == j], minlength=sizes[k])
+                    of = kind == j
+                    total[k][: sizes[k]] += np.bincount(ident[of], minlength=sizes[k])
+                    total[k][sizes[k]] += np.count_nonzero(np.bincount(row[of], sign[of]))
         held = [(k, np.flatnonzero(v)) for k, v in total.items()]
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.repeat([k for k, _ in held], [len(i) for _, i in held]).astype(str), pa.string()), pa.array(np.concatenate([i for _, i in held]), pa.int64()), pa.array(np.concatenate([total[k][i] for k, i in held]))],
             names=["kind", "id", "n"],
         )
 
-    n = problem.blocks.select("kind", "id").mapInArrow(count, "kind string, id long, n double").groupBy("kind", "id").agg(F.sum("n").alias("n")).toPandas()  # as many as coefficients
-    out = {k: np.zeros(v) for k, v in sizes.items()}
+    n = problem.blocks.select("kind", "id", "row", "sign").mapInArrow(count, "kind string, id long, n double").groupBy("kind", "id").agg(F.sum("n").alias("n")).toPandas()  # as many as coefficients
+    out = {k: np.zeros(v + 1) for k, v in sizes.items()}
     for k, part in n.groupby("kind"):
         out[k][part["id"]] = part["n"]
-    return out
+    return {k: v[:-1] for k, v in out.items()}, {k for k, v in out.items() if not v[-1]}
 
 
 SCORES = "match_id long, fit int, p double, log_likelihood double, hit int"

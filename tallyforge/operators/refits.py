@@ -45,7 +45,7 @@ def raw_variance(o: DataFrame, chances: DataFrame, least: int) -> DataFrame:
     """(replicate, measure, groups, raw): variance of observed less expected rates of combos of at least ``least`` contests, less what chance gives (the moments of a
     Poisson binomial), for chances (match_id, replicate, p, y) of the left side. Fewer than two combos give no row."""
     q, won = F.when(F.col("left"), F.col("p")).otherwise(1 - F.col("p")), F.when(F.col("left"), F.col("y")).otherwise(1 - F.col("y"))
-    each = measured(o).join(chances, "match_id").groupBy("replicate", "measure", "a", "b", "c").agg(F.count("*").alias("n"), F.sum(won).alias("wins"), F.sum(q).alias("sum_p"), F.sum(q * (1 - q)).alias("sum_pq"))
+    each = L.by_contest(measured(o), chances).groupBy("replicate", "measure", "a", "b", "c").agg(F.count("*").alias("n"), F.sum(won).alias("wins"), F.sum(q).alias("sum_p"), F.sum(q * (1 - q)).alias("sum_pq"))
     n = F.col("n")
     made = each.where(n >= least).groupBy("replicate", "measure").agg(F.count("*").alias("groups"), (F.var_pop((F.col("wins") - F.col("sum_p")) / n) - F.avg(F.col("sum_pq") / (n * n))).alias("raw"))
     return made.where("groups >= 2")
@@ -58,11 +58,11 @@ def bootstrap(o: DataFrame, model: str, replicates: int, least: int, seed: int)
     fit = [L.Fit(model, NULL_PENALTY, NULL_PENALTY)]
     fitted = L.scores(first, fit, L.solve(first, fit)).select("match_id", F.col("p").alias("p0"))
     redrawn = [(uniform("match_id", seed + 7919 * r) < F.col("p0")).cast("int") for r in range(1, replicates + 1)]
-    drawn = L.written(o.join(fitted, "match_id").withColumn("labels", F.array("y", *redrawn)), "bootstrap-labels")
+    drawn = L.written(L.by_contest(o, fitted).withColumn("labels", F.array("y", *redrawn)), "bootstrap-labels")
     fits = [L.Fit(model, NULL_PENALTY, NULL_PENALTY, label=r) for r in range(replicates + 1)]
     problem = L.packed(drawn, F.col("labels"), F.array(F.lit(0)), (first.keys, first.sizes))
     made = L.scores(problem, fits, L.solve(problem, fits)).select("match_id", F.col("fit").alias("replicate"), "p")
-    chances = made.join(drawn.select("match_id", "labels"), "match_id").select("match_id", "replicate", "p", F.col("labels")[F.col("replicate")].alias("y"))
+    chances = L.by_contest(made, drawn.select("match_id", "labels")).select("match_id", "replicate", "p", F.col("labels")[F.col("replicate")].alias("y"))
     raw = L.written(raw_variance(o, chances, least), "bootstrap-variance")
     seen = raw.where("replicate = 0").select("measure", "groups", F.col("raw").alias("seen"))
     null = raw.where("replicate > 0").join(F.broadcast(seen), "measure")  # a row for each measure
@@ -83,7 +83,7 @@ def power(o: DataFrame, spreads: list[float], repeats: int, folds: int, seed: in
         pairs = F.expr(f"flatten(transform({side}, x -> transform(filter({side}, y -> y > x), y -> struct(x as a, y as b))))")
         return F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + normal(x["a"], x["b"], F.lit(r), F.lit(seed)))
 
-    moved = o.join(base, "match_id").withColumn("shift", F.array(*(shift("left", r) - shift("right", r) for r in range(repeats))))
+    moved = L.by_contest(o, base).withColumn("shift", F.array(*(shift("left", r) - shift("right", r) for r in range(repeats))))
     label = [(uniform("match_id", seed + 104729 + 7919 * r) < 1 / (1 + F.exp(-(F.col("eta") + F.lit(s) * F.col("shift")[r])))).cast("int") for s in spreads for r in range(repeats)]
     fold = [(draw("match_id", seed + 15485863 + 6007 * r) % folds).cast("int") for r in range(repeats)]
     drawn = L.written(moved.withColumn("labels", F.array(*label)).withColumn("folds", F.array(*fold)), "power-labels")

@@ -61,7 +61,7 @@ def j3_ridge_logistic(spark: SparkSession, d: str) -> DataFrame:
     problem = L.packed(o, F.array("y"), F.array(F.lit(0)))
     thetas = L.solve(problem, fits)
     p = L.scores(problem, fits, thetas).select("match_id", "p")
-    sums = L.signed_terms(o).join(p, "match_id").groupBy("kind", "a", "b", "c").agg(F.count("*").alias("n"), F.sum(F.col("sign") * F.col("p")).alias("expected"))
+    sums = L.by_contest(L.signed_terms(o), p).groupBy("kind", "a", "b", "c").agg(F.count("*").alias("n"), F.sum(F.col("sign") * F.col("p")).alias("expected"))
     pull = F.when(F.col("kind").isin(*L.BASE_KINDS), 16.0).otherwise(64.0) * F.col("theta")
     return sums.join(L.coefficients(problem, "M6", thetas[0]), ["kind", "a", "b", "c"]).select("kind", "a", "b", "c", "n", R(F.col("expected") + pull, 3).alias("moment"))
 
@@ -72,7 +72,7 @@ def j4_log_likelihood(spark: SparkSession, d: str) -> DataFrame:
     o = oriented(spark, d)
     fits = [L.Fit("M2", 16.0)]
     problem = L.packed(o, F.array("y"), F.array(F.lit(0)))
-    held = L.scores(problem, fits, L.solve(problem, fits)).join(o.select("match_id", "career_id"), "match_id")
+    held = L.by_contest(L.scores(problem, fits, L.solve(problem, fits)), o.select("match_id", "career_id"))
     return held.groupBy("career_id").agg(F.count("*").alias("contests"), F.avg("log_likelihood").alias("log_likelihood"), F.avg("hit").alias("accuracy"))
 
 
