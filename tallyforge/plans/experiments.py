@@ -102,10 +102,8 @@ def j7_margin(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _outputs(spark: SparkSession, d: str) -> DataFrame:
-    z = O.standardised(O.unpivoted(O.observations(I.weighted(spark, d))))
-    keyed = z.withColumn("t", O.features(z)).withColumn("fold", (X.draw("match_id", SEED) % 4).cast("int"))
-    term = F.expr("transform(array_distinct(t), f -> struct(concat_ws(':', f.kind, f.subject, f.other) as f, cast(size(filter(t, g -> g = f)) as double) as m))")
-    return X.gram_by_fold(keyed, ["career_id", "metric"], term, "z", "w")
+    z = O.wide_standardised(O.observations(I.weighted(spark, d)), ("match_id",))
+    return O.gram_by_fold(z.withColumn("fold", (X.draw("match_id", SEED) % 4).cast("int")), 4)
 
 
 PENALTIES = {"TEAM": 64.0, "MATE_ROLE": 16.0, "FOE_ROLE": 16.0, "MATE": 16.0, "FOE": 16.0}

@@ -76,3 +76,9 @@ def test_likelihood_equals_newton(spark, sf):
     for r in registry.queries()["j4_log_likelihood"](spark, sf).collect():
         own = np.array([x["career_id"] == r["career_id"] for x in o])
         assert r["contests"] == own.sum() and abs(r["log_likelihood"] - ll[own].mean()) < 1e-6 and abs(r["accuracy"] - hit[own].mean()) < 1e-9
+
+
+def test_output_sums_are_formed_without_a_row_for_a_pair_of_features(spark, sf):
+    """Every observation has fifteen features, which were 136 rows a metric before the first sum."""
+    plan = P._outputs(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "explode(_x" not in plan
